@@ -1,4 +1,6 @@
 """All queries of the core with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from glasra.plans import corpus, manifest, scoring
+from glasra.plans.corpus import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "corpus", "manifest", "scoring"]
