@@ -97,22 +97,27 @@ def padded(df: DataFrame, items: str, batch: str, value: int = -100) -> DataFram
 def next_fit(df: DataFrame, size: str, cap: float, order: str, by: str) -> DataFrame:
     """`df` with `shard`: longest first, a new shard whenever the next row doesn't fit; older shards aren't revisited.
 
-    The state is sequential within a group `by`; pick groups that one task can hold. Rows go in decreasing size, then `order`.
+    The state is one running sum, carried through rows that the JVM has sorted within each group `by` (decreasing size, then
+    `order`), so a group is never held; it is still one task's work, so groups should be parts of bounded size. Null counts 0.
     """
-    names = df.columns
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_s=pdf[size].fillna(0.0)).sort_values(["_s", order], ascending=[False, True])
-        out, used, shard, some = [], 0.0, 0, False
-        for s in pdf["_s"]:
-            if some and used + s > cap:
-                shard, used = shard + 1, 0.0
-            out.append(shard)
-            used, some = used + s, True
-        return pdf.assign(shard=out)[[*names, "shard"]]
+    d = df.withColumn("_s", F.coalesce(F.col(size).cast("double"), F.lit(0.0)))
+    d = d.repartition(F.col(by)).sortWithinPartitions(F.col(by), F.desc("_s"), F.col(order))
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, used, shard, some = object(), 0.0, 0, False
+        for b in batches:
+            out = []
+            for g, s in zip(b[by], b["_s"], strict=True):
+                if g != group:
+                    group, used, shard, some = g, 0.0, 0, False
+                if some and used + s > cap:
+                    shard, used = shard + 1, 0.0
+                out.append(shard)
+                used, some = used + s, True
+            yield b.drop(columns="_s").assign(shard=out)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy(by).applyInPandas(fit, f"{schema}, shard int")
+    return d.mapInPandas(fit, f"{schema}, shard int")
 
 
 def first_of(items: Column, stops: list[int]) -> Column:

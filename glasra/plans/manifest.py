@@ -53,7 +53,7 @@ SELECT count(*) AS n, sum(CASE WHEN duration_s IS NULL OR duration_s <= 0 THEN 1
 def sanity_counts(spark, d):
     """Counts over the first 200 files, as a look before a long run."""
     s = _m(spark, d).orderBy("audio", "added_at").limit(200)
-    return s.agg(F.count("*").alias("n"), F.count_if("duration_s is null or duration_s <= 0" if False else (F.col("duration_s").isNull() | (F.col("duration_s") <= 0))).alias("bad_duration"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("no_text"))
+    return s.agg(F.count("*").alias("n"), F.count_if(F.col("duration_s").isNull() | (F.col("duration_s") <= 0)).alias("bad_duration"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("no_text"))
 
 
 @query("""
@@ -74,10 +74,11 @@ def audio_rates(spark, d):
 
 
 def nextfit_shards(spark, d):
-    """Shards of five hours by next fit, longest first, within each label's part; parts are bounded by hashing large labels apart."""
-    m = _m(spark, d).select("audio", "label", "duration_s", F.pmod(F.xxhash64("audio"), F.lit(16)).alias("slot"), F.date_format("added_at", "yyyyMMddHHmmssSSSSSS").alias("at"))
-    m = m.withColumn("part", F.concat_ws("/", "label", "slot")).withColumn("ord", F.concat_ws("|", "audio", "at"))
-    out = Q.next_fit(m, "duration_s", 5 * 3600.0, "ord", "part")
+    """Shards of five hours by next fit, longest first. A label of more than 100 hours is dealt into parts by hash first, so none outgrows a task."""
+    m = _m(spark, d).select("audio", "label", "duration_s", F.date_format("added_at", "yyyyMMddHHmmssSSSSSS").alias("at"))
+    parts = m.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.coalesce("duration_s", F.lit(0.0))) / (100 * 3600.0))).cast("int").alias("n"))
+    m = m.join(parts, "label").withColumn("part", F.concat_ws("/", "label", F.pmod(F.xxhash64("audio"), F.col("n"))))
+    out = Q.next_fit(m.withColumn("ord", F.concat_ws("|", "audio", "at")).select("part", "ord", "duration_s"), "duration_s", 5 * 3600.0, "ord", "part")
     return out.groupBy("part", "shard").agg(F.count("*").alias("n_files"), F.round(F.sum("duration_s") / 3600, 6).alias("hours"))
 
 

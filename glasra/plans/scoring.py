@@ -87,8 +87,8 @@ def cut_at_special(spark, d):
 
 
 @query("""
-WITH p AS (SELECT row_id, hypothesis, least(nullif(instr(hypothesis, ' agus '), 0), nullif(instr(hypothesis, ' and '), 0), nullif(instr(hypothesis, '. '), 0)) AS at FROM decodes)
-SELECT row_id, CASE WHEN at IS NULL THEN hypothesis ELSE substr(hypothesis, 1, (at - 1)::BIGINT) END AS cut FROM p""")
+WITH p AS (SELECT row_id, hypothesis, least(nullif(instr(hypothesis, ' agus '), 0), nullif(instr(hypothesis, ' and '), 0), nullif(instr(hypothesis, '. '), 0)) AS place FROM decodes)
+SELECT row_id, CASE WHEN place IS NULL THEN hypothesis ELSE substr(hypothesis, 1, (place - 1)::BIGINT) END AS cut FROM p""")
 def cut_at_stops(spark, d):
     """Text before the earliest of several strings."""
     return read(spark, d, "decodes").select("row_id", T.before_any(F.col("hypothesis"), [" agus ", " and ", ". "]).alias("cut"))
@@ -98,10 +98,7 @@ _W = rf"list_filter(regexp_split_to_array(coalesce(hypothesis, ''), '{_SP}'), la
 _GRAMS = "CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {m} + 1), lambda i: array_to_string(w[i:i + {m}], ' ')) ELSE [] END"
 
 
-@query(f"""
-WITH t AS (SELECT row_id, {_W} AS w FROM decodes), g AS (SELECT row_id, w, unnest({_GRAMS.format(n=5, m=4)}) AS gram FROM t),
-c AS (SELECT row_id, gram, count(*) AS n FROM (SELECT DISTINCT t.row_id, w FROM t) d JOIN (SELECT row_id, w, gram FROM g) USING (row_id, w) GROUP BY row_id, w, gram)
-SELECT 0 AS x""")
+@query()
 def repetition_flags(spark, d):
     """Loops of a decode: a run of five words three times or more, or over twenty words few of which differ."""
     w = T.words(F.col("hypothesis"))
@@ -348,13 +345,13 @@ def generation_budgets(spark, d):
     return read(spark, d, "decodes").select("row_id", T.token_budget(n).alias("budget"), T.token_budget(n, 2.5, 8, 40).alias("wide"))
 
 
-@query(r"""
-SELECT packet_id, 'Q: ' || trim(question) || chr(10) || 'A:' AS prompt, concat_ws(chr(10), '<user> ' || trim(question), '<assistant> ' || trim(coalesce(answers.just_audio, ''))) AS chat,
+@query(f"""
+SELECT packet_id, 'Q: ' || {_trim('question')} || chr(10) || 'A:' AS prompt, concat_ws(chr(10), '<user> ' || {_trim('question')}, '<assistant> ' || {_trim("coalesce(answers.just_audio, '')")}) AS chat,
  CASE WHEN blanks_required > 1 THEN chr(10) || 'Q:' ELSE '<|im_end|>' END AS stop FROM packets""")
 def prompts(spark, d):
     """Prompts and chats from templates, with the stop mark of their kind."""
     p = read(spark, d, "packets")
-    q, a = F.trim("question"), F.trim(F.coalesce("answers.just_audio", F.lit("")))
+    q, a = T.trimmed(F.col("question")), T.trimmed(F.coalesce("answers.just_audio", F.lit("")))
     turns = F.array(F.struct(F.lit("user").alias("r"), q.alias("t")), F.struct(F.lit("assistant").alias("r"), a.alias("t")))
     chat = F.array_join(F.transform(turns, lambda t: F.concat(F.lit("<"), t.r, F.lit("> "), t.t)), "\n")
     return p.select("packet_id", F.concat(F.lit("Q: "), q, F.lit("\nA:")).alias("prompt"), chat.alias("chat"), F.when(F.col("blanks_required") > 1, "\nQ:").otherwise("<|im_end|>").alias("stop"))
