@@ -217,7 +217,7 @@ def pair_defects(pairs: DataFrame, model: Model, key: str = "packet_id", questio
     n, end = F.coalesce("n", F.lit(0)), F.coalesce("n_end", F.lit(0))
     # a fragment ends few answers beside the words that it may be of; a word of its own, as one that is also a beginning, more
     cut = (n == 0) & (F.coalesce("begins", F.lit(0)) > 0) & ((end <= 2) | (end < FRAGMENT * F.col("begins")))
-    held = F.col("word").isin(*sorted(OPEN_WORDS)) & (end < 0.05 * (n + 1)) | (n >= OFTEN) & (end < SELDOM * n)
+    held = F.col("word").isin(*sorted(OPEN_WORDS)) & ((n < 20) | (end < 0.05 * n)) | (n >= OFTEN) & (end < SELDOM * n)
     open_words = seen.where(cut | held).select("word", F.lit(True).alias("open"))
     broken = F.coalesce("open", F.lit(False)) | F.col("tail").rlike(r"^[-‐‑,;:(–—]$")
     return (
