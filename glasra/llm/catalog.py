@@ -27,8 +27,8 @@ QUERIES = {
     for f in (
         sample.p1_sample,
         sample.p1_by_batch,
-        budget.p2_cube,
         budget.p2_documents,
+        budget.p2_cube,
         budget.p2_against_report,
         pairs.p3_found,
         pairs.p3_by_model,
