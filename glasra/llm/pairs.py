@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glasra.llm.language import LANGS, Model, Scorer, train
+from glasra.session import checkpointed
 from glasra.tables import read
 
 # What says that the answerer declines or is unable, by language; first person throughout.
@@ -209,8 +210,9 @@ def pair_defects(pairs: DataFrame, model: Model, key: str = "packet_id", questio
                             ends[ws[-1]] += 1
         yield pa.RecordBatch.from_pydict({"word": list(whole | ends), "n": [whole[w] for w in whole | ends], "n_end": [ends[w] for w in whole | ends]})
 
-    judged = flat.mapInArrow(judge, f"`{key}` {kind}, condition string, defect string, word string, tail string").distinct()
-    words = flat.mapInArrow(count, "word string, n bigint, n_end bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
+    # read twice below: a copy of these few rows is less than judging the pairs again
+    judged = checkpointed(flat.mapInArrow(judge, f"`{key}` {kind}, condition string, defect string, word string, tail string").distinct())
+    words = checkpointed(flat.mapInArrow(count, "word string, n bigint, n_end bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")))
     lasts = judged.where("word is not null").select("word").distinct()
     starts = words.where("n > 0").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("word"), "n").where("word <> ''").groupBy("word").agg(F.sum("n").alias("begins"))
     seen = lasts.join(words, "word", "left").join(starts, "word", "left")
