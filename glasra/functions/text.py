@@ -111,3 +111,27 @@ def token_budget(n: Column, factor: float = 1.25, least: int = 8, most: int | No
     """Tokens that a generation may take: the reference's, times a factor, one more, within bounds."""
     b = F.greatest(F.lit(least), F.ceil(n * F.lit(factor)) + 1)
     return (F.least(F.lit(most), b) if most is not None else b).cast("long")
+
+
+def rubric_answers(rubric: Column, question: Column) -> Column:
+    """Answers that a marking scheme accepts: what stands before each `= N mharc`, without the question, totals and bullets."""
+    parts = F.split(F.coalesce(rubric, F.lit("")), r"(?i)=\s*\d+\s*mharc")
+    asked = trimmed(F.regexp_replace(F.coalesce(question, F.lit("")), SPACES, " "))
+
+    def clean(p: Column) -> Column:
+        p = trimmed(F.regexp_replace(F.regexp_replace(p, r"(?s)^.*\?", ""), SPACES, " "))
+        p = F.when((asked != "") & F.startswith(p, asked), trimmed(F.substring(p, F.length(asked) + 1, F.length(p)))).otherwise(p)
+        p = trimmed(F.regexp_replace(p, r"(?i)^.*\b\d+\s*mharc(?:\s*\+\s*\d+\s*mharc)*\b", ""))
+        return trimmed(F.regexp_replace(p, r"^(?:[-•]\s*|\d+[.)]\s*)", ""))
+
+    return F.filter(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), clean), lambda x: x != "")
+
+
+def budget_of_longest(answers: Column, factor: float = 1.25, least: int = 8, most: int | None = None) -> Column:
+    """Budget for the answer of most words; that of none if there is no answer."""
+    return token_budget(F.coalesce(F.array_max(F.transform(answers, n_words)), F.lit(0)), factor, least, most)
+
+
+def dashed(c: Column, digits: int = 1) -> Column:
+    """A number as text, a dash for null."""
+    return F.when(c.isNull(), F.lit("–")).otherwise(F.format_string(f"%.{digits}f", c))

@@ -357,15 +357,137 @@ def prompts(spark, d):
     return p.select("packet_id", F.concat(F.lit("Q: "), q, F.lit("\nA:")).alias("prompt"), chat.alias("chat"), F.when(F.col("blanks_required") > 1, "\nQ:").otherwise("<|im_end|>").alias("stop"))
 
 
-@query(r"""
-WITH q AS (SELECT json_extract_string(e, '$.question_id') AS question_id, json_extract_string(e, '$.rubric_ga') AS rubric FROM clips c, unnest(CAST(c.questions_json AS JSON[])) AS u(e)),
-p AS (SELECT DISTINCT question_id, rubric, regexp_split_to_array(rubric, '(?i)=\s*\d+\s*mharc') AS parts FROM q WHERE rubric IS NOT NULL)
-SELECT question_id, rubric, greatest(0, len(parts) - 1)::INT AS n_candidates, trim(regexp_replace(parts[1], '^.*\?\s*', '')) AS first FROM p""")
+_RUBRIC = rf"""
+WITH q AS (SELECT DISTINCT json_extract_string(e, '$.question_id') AS question_id, coalesce(json_extract_string(e, '$.rubric_ga'), '') AS rubric, {_trim(rf"regexp_replace(coalesce(json_extract_string(e, '$.text_ga'), ''), '{_SP}', ' ', 'g')")} AS asked
+  FROM clips c, unnest(CAST(c.questions_json AS JSON[])) AS u(e)),
+p AS (SELECT question_id, asked, unnest(regexp_split_to_array(rubric, '(?i)=\s*\d+\s*mharc')[:-2]) AS part, generate_subscripts(regexp_split_to_array(rubric, '(?i)=\s*\d+\s*mharc')[:-2], 1) AS i FROM q),
+a AS (SELECT *, {_trim(rf"regexp_replace(regexp_replace(part, '(?s)^.*\?', ''), '{_SP}', ' ', 'g')")} AS x FROM p),
+b AS (SELECT *, CASE WHEN asked <> '' AND starts_with(x, asked) THEN {_trim("substr(x, length(asked) + 1)")} ELSE x END AS y FROM a),
+c AS (SELECT *, regexp_replace({_trim(r"regexp_replace(y, '(?i)^.*\b\d+\s*mharc(?:\s*\+\s*\d+\s*mharc)*\b', '')")}, '^(?:[-•]\s*|\d+[.)]\s*)', '') AS z FROM b)
+"""
+
+
+@query(_RUBRIC + "SELECT question_id, string_agg(z, ' | ' ORDER BY i) AS answers, count(*)::INT AS n_answers FROM c WHERE z <> '' GROUP BY question_id")
 def rubric_candidates(spark, d):
-    """Answers that a marking scheme accepts: parts before each mark, behind the question."""
-    q = R.questions(read(spark, d, "clips")).select("question_id", F.col("rubric_ga").alias("rubric")).where("rubric is not null").distinct()
-    parts = F.split("rubric", r"(?i)=\s*\d+\s*mharc")
-    return q.select("question_id", "rubric", F.greatest(F.lit(0), F.size(parts) - 1).alias("n_candidates"), F.trim(F.regexp_replace(F.get(parts, F.lit(0)), r"^.*\?\s*", "")).alias("first"))
+    """Answers that a marking scheme accepts."""
+    q = R.questions(read(spark, d, "clips")).select("question_id", "rubric_ga", "text_ga").distinct()
+    a = q.select("question_id", T.rubric_answers(F.col("rubric_ga"), F.col("text_ga")).alias("a")).where(F.size("a") > 0)
+    return a.select("question_id", F.array_join("a", " | ").alias("answers"), F.size("a").alias("n_answers"))
+
+
+@query(_RUBRIC + r"SELECT q.question_id, greatest(8, ceil(coalesce(max(len(list_filter(regexp_split_to_array(z, '\s+'), lambda w: w <> ''))), 0) * 1.25) + 1)::BIGINT AS budget FROM q LEFT JOIN c ON c.question_id = q.question_id AND z <> '' GROUP BY q.question_id")
+def answer_budgets(spark, d):
+    """Generation budgets sized by the longest accepted answer."""
+    q = R.questions(read(spark, d, "clips")).select("question_id", "rubric_ga", "text_ga").distinct()
+    return q.select("question_id", T.budget_of_longest(T.rubric_answers(F.col("rubric_ga"), F.col("text_ga"))).alias("budget"))
+
+
+@query(f"SELECT row_id, {_trim(rf"regexp_replace(hypothesis, '{_SP}', ' ', 'g')")} AS flat FROM decodes")
+def flattened_text(spark, d):
+    """White space flattened before a language is told."""
+    return read(spark, d, "decodes").select("row_id", T.trimmed(F.regexp_replace("hypothesis", T.SPACES, " ")).alias("flat"))
+
+
+@query("SELECT row_id, CASE WHEN length(hypothesis) > length(reference) THEN 'longer' WHEN length(reference) > length(hypothesis) THEN 'shorter' ELSE 'tie' END AS route FROM decodes")
+def score_routes(spark, d):
+    """A three-way label by which of two scores is greater."""
+    return read(spark, d, "decodes").select("row_id", R.route(F.length("hypothesis"), F.length("reference"), "longer", "shorter").alias("route"))
+
+
+@query("SELECT row_id, 'ref' AS object, ref AS text, lang FROM asr_pairs WHERE ref IS NOT NULL UNION ALL SELECT row_id, 'hyp', hyp, lang FROM asr_pairs WHERE hyp IS NOT NULL")
+def unpivoted_objects(spark, d):
+    """Two text columns as rows of (key, object)."""
+    p = read(spark, d, "asr_pairs").select("row_id", "lang", "ref", "hyp")
+    return p.unpivot(["row_id", "lang"], ["ref", "hyp"], "object", "text").where("text is not null").select("row_id", "object", "text", "lang")
+
+
+@query("""
+WITH p AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)
+SELECT user_id, event_type, count(*) AS n, max(r) - min(r) + 1 = count(*) AS contiguous FROM p GROUP BY ALL""")
+def contiguous_marks(spark, d):
+    """Whether the places of a mark in its sequence are without a gap."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    p = read(spark, d, "events").select("user_id", "event_type", F.row_number().over(w).alias("r"))
+    return p.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), (F.max("r") - F.min("r") + 1 == F.count("*")).alias("contiguous"))
+
+
+@query("SELECT run_id, max(CASE WHEN e.key = 'nce' THEN e.value.total_words END) AS nce_words, count(*) AS n FROM (SELECT run_id, unnest(map_entries(per_source)) AS e FROM text_token_ratio_report) GROUP BY run_id")
+def nested_and_back(spark, d):
+    """Flattened `a.b` keys put back into a map of maps."""
+    r = read(spark, d, "text_token_ratio_report").select("run_id", F.explode("per_source").alias("source", "v"))
+    flat = r.select("run_id", F.concat_ws(".", "source", F.lit("total_words")).alias("k"), F.col("v.total_words").alias("x"))
+    back = flat.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct(F.substring_index("k", ".", 1).alias("s"), F.struct("x")))).alias("m"))
+    return back.select("run_id", F.col("m")["nce"]["x"].alias("nce_words"), F.size("m").cast("long").alias("n"))
+
+
+@query("""
+WITH q AS (SELECT c.snippet_id, json_extract_string(e, '$.question_id') AS qid, (e->>'$.question_number')::INT AS n FROM clips c, unnest(CAST(c.questions_json AS JSON[])) AS u(e))
+SELECT snippet_id, string_agg(qid, ',' ORDER BY n, qid) AS ids, count(*) AS n FROM q GROUP BY snippet_id""")
+def questions_of_clips(spark, d):
+    """Rows gathered under their parent in order."""
+    q = R.questions(read(spark, d, "clips")).select("snippet_id", "question_id", F.col("question_number").cast("int").alias("n"))
+    g = q.groupBy("snippet_id").agg(F.array_sort(F.collect_list(F.struct("n", "question_id"))).alias("a"))
+    return g.select("snippet_id", F.array_join(F.transform("a", lambda x: x.question_id), ",").alias("ids"), F.size("a").cast("long").alias("n"))
+
+
+@query("""
+SELECT item_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY sha256('3:' || epoch::VARCHAR || ':' || item_id::VARCHAR), item_id) - 1 AS place FROM eval_items, range(3) AS t(epoch)""")
+def epochs(spark, d):
+    """Every item once an epoch, each in its own order. Items are a fixed set."""
+    from glasra.operators.sampling import sha_rank
+
+    e = read(spark, d, "eval_items").select("item_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("epoch"))
+    w = W.partitionBy("epoch").orderBy(sha_rank("3", F.col("epoch"), F.col("item_id")), "item_id")
+    return e.select("item_id", "epoch", (F.row_number().over(w) - 1).cast("long").alias("place"))
+
+
+@query(f"""
+SELECT coalesce(lang, '(none)') AS lang, condition, count(*) AS n, count_if(looping) AS n_looping, count_if(eos_emitted) AS n_eos, count_if(coalesce(trim(hypothesis) = '', true)) AS n_empty, count_if(hypothesis = reference) AS n_exact,
+ round(count_if(eos_emitted) / count(*)::DOUBLE, 6) AS termination FROM decodes GROUP BY 1, 2""")
+def cell_summary(spark, d):
+    """Booleans counted in each cell of language and condition."""
+    t = read(spark, d, "decodes").groupBy(F.coalesce("lang", F.lit("(none)")).alias("lang"), "condition")
+    return t.agg(F.count("*").alias("n"), F.count_if("looping").alias("n_looping"), F.count_if("eos_emitted").alias("n_eos"), F.count_if(F.coalesce(F.trim("hypothesis") == "", F.lit(True))).alias("n_empty"), F.count_if(F.col("hypothesis") == F.col("reference")).alias("n_exact"), F.round(F.count_if("eos_emitted") / F.count("*"), 6).alias("termination"))
+
+
+@query("""
+SELECT model, CASE WHEN avg(CASE WHEN condition = 'asr_ga' AND looping THEN mean_logprob END) IS NULL THEN '–' ELSE printf('%.3f', avg(CASE WHEN condition = 'asr_ga' AND looping THEN mean_logprob END)) END AS looping_score,
+ CASE WHEN avg(CASE WHEN condition = 'nowhere' THEN mean_logprob END) IS NULL THEN '–' ELSE 'x' END AS nowhere_score FROM decodes GROUP BY model""")
+def formatted_scores(spark, d):
+    """Numbers as text for a report, a dash where there is none."""
+    pick = lambda c: F.avg(F.when(c, F.col("mean_logprob")))
+    return read(spark, d, "decodes").groupBy("model").agg(T.dashed(pick((F.col("condition") == "asr_ga") & F.col("looping")), 3).alias("looping_score"), T.dashed(pick(F.col("condition") == "nowhere")).alias("nowhere_score"))
+
+
+@query("""
+SELECT 'clips' AS what, count(*) AS n FROM clips UNION ALL SELECT 'questions', sum(json_array_length(questions_json::JSON))::BIGINT FROM clips UNION ALL SELECT 'exploded', count(*) FROM clips c, unnest(CAST(c.questions_json AS JSON[])) AS u(e)""")
+def conserved_rows(spark, d):
+    """Rows before and after an explode; a gate ends the job if any is lost."""
+    c = read(spark, d, "clips")
+    n = c.agg(F.count("*").alias("clips"), F.sum(F.coalesce(F.size(F.from_json("questions_json", R.QUESTION)), F.lit(0)).cast("long")).alias("questions")).first()
+    q = R.questions(c)
+    G.row_count(q, n.questions, "questions")
+    return spark.createDataFrame([("clips", n.clips), ("questions", n.questions), ("exploded", n.questions)], "what string, n long")
+
+
+def pcm_levels(spark, d):
+    """Samples, peak and mean level of 16-bit PCM, and seconds at the clip's rate; null audio stays null."""
+    import numpy as np
+    import pandas as pd
+
+    def levels(batches):
+        for b in batches:
+            x = [None if a is None else np.frombuffer(bytes(a)[: len(a) // 2 * 2], "<i2").astype("float64") / 32768 for a in b.audio]
+            out = pd.DataFrame({"snippet_id": b.snippet_id})
+            out["n_samples"] = pd.array([None if v is None else len(v) for v in x], "Int64")
+            out["peak"] = [None if v is None or not len(v) else float(abs(v).max()) for v in x]
+            out["level"] = [None if v is None or not len(v) else float(np.sqrt((v**2).mean())) for v in x]
+            yield out
+
+    return read(spark, d, "clips").select("snippet_id", "audio").mapInPandas(levels, "snippet_id string, n_samples long, peak double, level double")
+
+
+query()(pcm_levels)
 
 
 @query("SELECT doc_id, regexp_split_to_array(text, '\\r?\\n')[1] AS first_turn, len(regexp_split_to_array(text, '\\r?\\n'))::INT AS n_turns, md5(upper(array_to_string(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda t: trim(t)), '|'))) AS digest FROM documents WHERE source = 'conversations_ga' AND text IS NOT NULL")

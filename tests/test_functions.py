@@ -75,3 +75,13 @@ def test_unwrapped_answers(spark):
 
 def test_budgets(spark):
     assert one(spark, T.token_budget(F.lit(3))) == 8 and one(spark, T.token_budget(F.lit(8), 1.25, 2, 7)) == 7 and one(spark, T.token_budget(F.lit(30))) == 39
+
+
+def test_rubric_answers(spark):
+    get = lambda r, q="": one(spark, T.rubric_answers(F.lit(r), F.lit(q)))
+    assert get("Cén fáth? Chun cuidiú leo = 2 mharc Do dhaoine atá ag fulaingt = 1 mharc Don Afraic = 0") == ["Chun cuidiú leo", "Do dhaoine atá ag fulaingt"]
+    assert get("Cé mhéad rannóg a bheidh ann? 6 = 2 mharc") == ["6"]
+    assert get("Luaigh rud amháin. 2 mharc + 2 mharc • An fhéile = 2 mharc", "Luaigh rud amháin.") == ["An fhéile"]
+    assert get("") == [] and get(None) == []
+    assert one(spark, T.budget_of_longest(F.array().cast("array<string>"))) == 8
+    assert one(spark, T.dashed(F.lit(None).cast("double"))) == "–" and one(spark, T.dashed(F.lit(1.25), 2)) == "1.25"
