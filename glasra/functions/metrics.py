@@ -6,8 +6,10 @@ Counts of a row are additive, so a corpus score is a sum of counts (partial on t
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,9 +106,54 @@ def chrf_score(counts: list[int]) -> float:
     return 100.0 * f / orders if orders else 0.0
 
 
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
+
+
+def _keys(items: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the runs of n items that stay within their row, the row mixed in, and their rows."""
+    if len(items) < n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    last = len(items) - n + 1
+    h = rows[:last].astype(np.uint64) * _MIX[0]
+    for k in range(n):
+        h = (h ^ (items[k : last + k].astype(np.uint64) + np.uint64(1))) * _MIX[1]
+        h ^= h >> np.uint64(29)
+    ok = rows[:last] == rows[n - 1 :]
+    return h[ok], rows[:last][ok]
+
+
+def ngram_counts(refs: list[np.ndarray], hyps: list[np.ndarray], orders: int) -> np.ndarray:
+    """[row, order, (matches, of hypothesis, of reference)] for whole batches of integer sequences, by sorting their runs."""
+    out = np.zeros((len(refs), orders, 3), np.int64)
+    flat = []
+    for seqs in (refs, hyps):
+        size = np.array([len(x) for x in seqs], np.int64)
+        flat.append((np.concatenate([*seqs, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(seqs)), size)))
+    for n in range(1, orders + 1):
+        (rk, rr), (hk, hr) = (_keys(items, rows, n) for items, rows in flat)
+        out[:, n - 1, 1] = np.bincount(hr, minlength=len(refs))
+        out[:, n - 1, 2] = np.bincount(rr, minlength=len(refs))
+        ru, ri, rc = np.unique(rk, return_index=True, return_counts=True)
+        hu, hc = np.unique(hk, return_counts=True)
+        _, i, j = np.intersect1d(ru, hu, assume_unique=True, return_indices=True)
+        out[:, n - 1, 0] = np.bincount(rr[ri[i]], weights=np.minimum(rc[i], hc[j]), minlength=len(refs)).astype(np.int64)
+    return out
+
+
+def _chars(s: str | None) -> np.ndarray:
+    return np.frombuffer("".join((s or "").split()).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _numbered(texts: list[list[str]], ids: dict[str, int]) -> list[np.ndarray]:
+    return [np.array([ids.setdefault(w, len(ids)) for w in t], np.int64) for t in texts]
+
+
 @F.pandas_udf(ArrayType(LongType()))
 def chrf_stats(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    return pd.Series([chrf_counts(r, h) for r, h in zip(ref, hyp, strict=True)])
+    ids: dict[str, int] = {}
+    chars = ngram_counts([_chars(x) for x in ref], [_chars(x) for x in hyp], CHAR_ORDERS)
+    ws = ngram_counts(_numbered([_chrf_words(x or "") for x in ref], ids), _numbered([_chrf_words(x or "") for x in hyp], ids), WORD_ORDERS)
+    return pd.Series(list(np.concatenate((chars, ws), axis=1).reshape(len(ref), -1)))
 
 
 @F.pandas_udf(DoubleType())
@@ -125,8 +172,6 @@ def bleu_counts(ref: str | None, hyp: str | None) -> list[int]:
 
 
 def _bleu_words(s: str) -> list[str]:
-    import re
-
     s = re.sub(r"([{-~\[-` -&(-+:-@/])", r" \1 ", f" {s} ")
     s = re.sub(r"([^0-9])([.,])", r"\1 \2 ", s)
     s = re.sub(r"([.,])([^0-9])", r" \1 \2", s)
@@ -144,7 +189,11 @@ def bleu_score(c: list[int]) -> float:
 
 @F.pandas_udf(ArrayType(LongType()))
 def bleu_stats(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    return pd.Series([bleu_counts(r, h) for r, h in zip(ref, hyp, strict=True)])
+    ids: dict[str, int] = {}
+    r, h = (_numbered([_bleu_words(x or "") for x in t], ids) for t in (ref, hyp))
+    c = ngram_counts(r, h, 4)[:, :, :2].reshape(len(r), -1)
+    sizes = np.array([[len(y), len(x)] for x, y in zip(r, h, strict=True)], np.int64).reshape(len(r), 2)
+    return pd.Series(list(np.concatenate((c, sizes), axis=1)))
 
 
 @F.pandas_udf(DoubleType())

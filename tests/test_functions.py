@@ -85,3 +85,12 @@ def test_rubric_answers(spark):
     assert get("") == [] and get(None) == []
     assert one(spark, T.budget_of_longest(F.array().cast("array<string>"))) == 8
     assert one(spark, T.dashed(F.lit(None).cast("double"))) == "–" and one(spark, T.dashed(F.lit(1.25), 2)) == "1.25"
+
+
+def test_batched_ngram_counts_equal_the_plain_ones(spark):
+    rnd = random.Random(8)
+    texts = [None, "", "a"] + ["".join(rnd.choice("abc áé.,'") for _ in range(rnd.randint(0, 40))) for _ in range(200)]
+    pairs = [(rnd.choice(texts), rnd.choice(texts)) for _ in range(400)]
+    df = spark.createDataFrame(pairs, "r string, h string")
+    for r in df.select("r", "h", M.chrf_stats("r", "h").alias("c"), M.bleu_stats("r", "h").alias("b")).collect():
+        assert list(r.c) == M.chrf_counts(r.r, r.h) and list(r.b) == M.bleu_counts(r.r, r.h)
