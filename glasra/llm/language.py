@@ -43,8 +43,9 @@ REMEMBERED = 400_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPECIAL = re.compile(r"<\|[^|>\s]{1,40}\|>|</?s>|<unk>|<pad>")
-# Letters of the five languages beyond ASCII, and marks that stand beside words.
-_FOREIGN = re.compile("[^\\x00-\\x7fáéíóúàèìòùâêîôûŵŷäëïöüÿçœæñøåþðÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛŴŶÄËÏÖÜŸÇŒÆÑØÅÞÐḃċḋḟġṁṗṡṫḂĊḊḞĠṀṖṠṪ‘’“”„‚«»‹›–—…·•€£°№×]|[a-z]\\?[a-z]")
+# Letters of the five languages beyond ASCII, and marks that stand beside words. A capital with an accent
+# behind a small letter is no letter of its word either, but a wrong decoding of one.
+_FOREIGN = re.compile("[^\\x00-\\x7fáéíóúàèìòùâêîôûŵŷäëïöüÿçœæñøåþðÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛŴŶÄËÏÖÜŸÇŒÆÑØÅÞÐḃċḋḟġṁṗṡṫḂĊḊḞĠṀṖṠṪ‘’“”„‚«»‹›–—…·•€£°№×]|[a-z]\\?[a-z]|[a-zß-ÿ][ÀÂÄÈÊËÌÎÏÒÔÖÙÛÜ]|^[ÀÈÌÒÙÂÊÎÔÛ]$")
 
 
 def parts(chunk: str) -> list[str] | None:
