@@ -27,6 +27,8 @@ TOKENIZER_DIR = os.environ.get("GLASRA_TOKENIZERS", "/opt/tokenizers")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Chunks that a worker remembers before it starts anew; bounds its memory, never the result.
 REMEMBERED = 400_000
+#: Ids that a worker holds for chunks, and the longest chunk or pre-token that it remembers.
+HELD_IDS, LONG = 4_000_000, 200
 #: Characters of text taken into one NumPy batch.
 BATCH_CHARS = 4_000_000
 
@@ -96,7 +98,8 @@ class _Chunks(dict):
 
     def __missing__(self, chunk: str) -> int:
         row = 0 if not chunk or chunk[0].isspace() or chunk[-1].isspace() else self.encoder.add(" " + chunk)
-        self[chunk] = row
+        if len(chunk) <= LONG:
+            self[chunk] = row
         return row
 
 
@@ -121,7 +124,9 @@ class Encoder:
     def word(self, w: str) -> tuple[int, ...]:
         ids = self.words.get(w)
         if ids is None:
-            ids = self.words[w] = tuple(MergeTree(w.encode("utf-8", "surrogatepass"), self.ranks).ids())
+            ids = tuple(MergeTree(w.encode("utf-8", "surrogatepass"), self.ranks).ids())
+            if len(w) <= LONG:
+                self.words[w] = ids
         return ids
 
     def whole(self, text: str) -> list[int]:
@@ -139,7 +144,7 @@ class Encoder:
 
     def batch(self, texts: list[str | None], counts_only: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Token counts of the texts, and all their ids in one array unless only counts are wanted; null and empty have none."""
-        if len(self.starts) > REMEMBERED or len(self.words) > REMEMBERED:
+        if len(self.starts) > REMEMBERED or len(self.words) > REMEMBERED or len(self.flat) > HELD_IDS:
             self.forget()
         rows: list[int] = []
         sizes: list[int] = []
@@ -155,7 +160,9 @@ class Encoder:
             if first and not first[-1].isspace() and 0 not in mine or len(parts) == 1:
                 row = self.firsts.get(first)
                 if row is None:
-                    row = self.firsts[first] = self.add(first)
+                    row = self.add(first)
+                    if len(first) <= LONG:
+                        self.firsts[first] = row
                 rows.append(row)
                 rows.extend(mine)
                 sizes.append(1 + len(mine))

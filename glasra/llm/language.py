@@ -39,7 +39,8 @@ SURE = 12.0
 #: Share of a piece's probability that comes from all languages together.
 SHARED = 1e-4
 ROUNDS = 2
-REMEMBERED = 400_000
+#: Chunks, and characters of them, that a worker remembers before it starts anew; bounds its memory, never the result.
+REMEMBERED, HELD_CHARS = 400_000, 20_000_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPECIAL = re.compile(r"<\|[^|>\s]{1,40}\|>|</?s>|<unk>|<pad>")
@@ -167,12 +168,14 @@ class Scorer:
 
     def forget(self) -> None:
         self.rows = _Rows()
+        self.held = 0
         self.words: dict[str, np.ndarray] = {}
         self.scores: list[np.ndarray] = []
         self.table = np.zeros((0, len(LANGS)))
 
     def learn(self, chunks: set[str]) -> None:
         held = {c: parts(c) for c in chunks}
+        self.held += sum(map(len, chunks))
         new = sorted({w for ws in held.values() for w in ws or () if w not in self.words})
         self.words.update(zip(new, self.model.scores(new), strict=True))
         for c, ws in held.items():
@@ -187,7 +190,7 @@ class Scorer:
 
     def batch(self, texts: list[str | None]) -> list[list[tuple[str, float, int, int]]]:
         """For each text its stretches (language, confidence, first word, end), in order; none for a text without words."""
-        if len(self.rows) > REMEMBERED:
+        if len(self.rows) > REMEMBERED or self.held > HELD_CHARS:
             self.forget()
         split = [(t or "").split() for t in texts]
         get = self.rows.__getitem__

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Words of a searched phrase, of the least passage, and words to each allowed edit.
 PHRASE, LEAST, PER_EDIT = 4, 12, 6
@@ -216,7 +217,9 @@ class _Chunks(dict):
     def __missing__(self, chunk: str) -> tuple[int, ...]:
         if len(self) > REMEMBERED:
             self.clear()
-        ids = self[chunk] = tuple(self.items.numbers(chunk))
+        ids = tuple(self.items.numbers(chunk))
+        if len(chunk) <= 200:
+            self[chunk] = ids
         return ids
 
 
@@ -325,6 +328,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     rows = [(r[0], r[1]) for r in items.select(item_key, item_text).distinct().collect()]
     shared = docs.sparkSession.sparkContext.broadcast(rows)
     kinds = [docs.schema[key].dataType, items.schema[item_key].dataType]
+    item_type = to_arrow_type(kinds[1])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Items(shared.value)
@@ -335,7 +339,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
             found = list(s.leaks())
             if found:
                 ks, js, *ints, closest = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ks, types[0]), pa.array(js), *[pa.array(x, pa.int32()) for x in ints], pa.array(closest)], names=[key, item_key, "first_word", "end_word", "item_words", "edits", "closest"])
+                yield pa.RecordBatch.from_arrays([pa.array(ks, types[0]), pa.array(js, item_type), *[pa.array(x, pa.int32()) for x in ints], pa.array(closest, pa.bool_())], names=[key, item_key, "first_word", "end_word", "item_words", "edits", "closest"])
 
         for b in batches:
             types = [b.column(0).type]

@@ -40,8 +40,10 @@ def kind(ch: str) -> str:
     cat = unicodedata.category(ch)
     if ch in INVISIBLE or cat == "Cf" or 0xFE00 <= ord(ch) <= 0xFE0F or 0xE0100 <= ord(ch) <= 0xE01EF or cat == "Cc" and not ch.isspace():
         return "invisible"
-    if cat in ("Zs", "Zl", "Zp") or cat == "Cc":
+    if cat in ("Zs", "Zl", "Zp"):
         return "" if ch == " " else "space"
+    if cat == "Cc":  # tabs and line ends lay text out
+        return ""
     if cat == "Mn":
         return "mark"
     if ch in PROTOTYPES:

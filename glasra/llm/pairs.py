@@ -54,6 +54,8 @@ AGAINST = 6.0
 OFTEN, SELDOM = 200, 0.01
 #: A word's beginnings end so small a share of what might be that word.
 FRAGMENT = 0.02
+#: Words whose beginnings are looked for; what is longer is no word.
+LONGEST_WORD = 60
 
 
 def is_empty(answer: str | None) -> bool:
@@ -84,7 +86,7 @@ def is_copied(question: str | None, answer: str) -> bool:
     q = _fold(question or "")
     if not q:
         return False
-    a = _fold(_LABEL.sub(" ", answer))
+    a = _fold(_LABEL.sub(" ", " ".join(answer.split())))
     if not a or len(a) < COPY_SHARE * len(q):
         return False
     if len(q) > 24 and (_extra(a, q) > COPY_BYTES or _extra(q, a) > COPY_BYTES + (1 - COPY_SHARE) * len(q)):
@@ -145,11 +147,13 @@ _TAIL = re.compile(r"([^\W_]+(?:['’][^\W_]+)*)([^\w]*)$")
 def last_word(answer: str) -> tuple[str, str] | None:
     """(word, what follows it) of an answer that doesn't end like a sentence; None if it does. Ellipses don't end one."""
     s = _SPECIAL.sub(" ", answer).rstrip()
+    if len(s) > 400:  # how it ends shows in its end; patterns tied to the end are slow on long runs
+        s = " " + s[-400:]
     s = re.sub(r"(?:…|\.{2,})[\s\"'”’)\]»]*$", "…", s)
     if _END.search(s):
         return None
     m = _TAIL.search(s)
-    if m and not m.group(2).strip() and " " not in s.strip():
+    if m and not m.group(2).strip() and not re.search(r"\s", s.strip()) and len(s) < 400:
         return None  # an answer of one word is whole
     return (m.group(1).lower(), m.group(2).strip()) if m else None
 
@@ -214,7 +218,7 @@ def pair_defects(pairs: DataFrame, model: Model, key: str = "packet_id", questio
     judged = checkpointed(flat.mapInArrow(judge, f"`{key}` {kind}, condition string, defect string, word string, tail string").distinct())
     words = checkpointed(flat.mapInArrow(count, "word string, n bigint, n_end bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")))
     lasts = judged.where("word is not null").select("word").distinct()
-    starts = words.where("n > 0").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("word"), "n").where("word <> ''").groupBy("word").agg(F.sum("n").alias("begins"))
+    starts = words.where((F.col("n") > 0) & F.length("word").between(2, LONGEST_WORD)).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("word"), "n").where("word <> ''").groupBy("word").agg(F.sum("n").alias("begins"))
     seen = lasts.join(words, "word", "left").join(starts, "word", "left")
     n, end = F.coalesce("n", F.lit(0)), F.coalesce("n_end", F.lit(0))
     # a fragment ends few answers beside the words that it may be of; a word of its own, as one that is also a beginning, more

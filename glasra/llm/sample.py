@@ -21,9 +21,10 @@ SHARE = 1 / 40
 def path_key(audio: Column) -> Column:
     """A path in one spelling: forward slashes, no `.`, `..` or empty parts at its start or between, no blanks around, lower case."""
     s = F.regexp_replace(F.lower(F.trim(audio)), r"\\", "/")
-    s = F.regexp_replace(s, r"^(file:)?/+", "/")
-    s = F.regexp_replace(s, r"/(\./|/)+", "/")
-    s = F.regexp_replace(s, r"^(\.?/)+", "")
+    s = F.regexp_replace(s, r"^file:", "")
+    s = F.regexp_replace(s, r"/+", "/")
+    s = F.regexp_replace(s, r"/(\./)+", "/")
+    s = F.regexp_replace(s, r"^(\./)+|^/", "")
     return F.when(s == "", F.lit(None).cast("string")).otherwise(s)
 
 
@@ -60,7 +61,7 @@ def p1_by_batch(spark, sf_dir: str) -> DataFrame:
 
 
 _KEY_SQL = r"""
-  nullif(regexp_replace(regexp_replace(regexp_replace(replace(lower(trim(audio)), '\', '/'), '^(file:)?/+', '/'), '/(\./|/)+', '/', 'g'), '^(\.?/)+', ''), '')
+  nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower(trim(audio)), '\', '/'), '^file:', ''), '/+', '/', 'g'), '/(\./)+', '/', 'g'), '^(\./)+|^/', '', 'g'), '')
 """
 _BUCKET_SQL = "(('0x' || substr(md5(audio_key), 1, 12))::BIGINT % 4096)"
 SQL = {

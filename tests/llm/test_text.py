@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from glasra.llm import garbled, language, leak, lookalike, pairs
 
@@ -219,3 +220,26 @@ def test_pair_defects(spark, model):
     got = set(map(tuple, pairs.pair_defects(df.unionByName(df), model).collect()))
     assert got == want
     assert pairs.pair_defects(df.limit(0), model).count() == 0
+
+
+def test_very_long_texts(spark, model):
+    import time
+
+    began = time.time()
+    long = [" ".join(["focal"] * 60000), "x" * 200000, "." * 100000 + "x", "a" + " " * 100000 + "b", "á" * 100000, "-\n" * 50000, "?" * 50000, "<|" * 50000, "É́" * 20000]
+    df = spark.createDataFrame([(k, t, t, "t", None) for k, t in enumerate(long)], "row_id long, ref string, hyp string, tab string, label string")
+    assert lookalike.odd_texts(df).count() == 2
+    assert language.detect(df.withColumn("text", F.col("hyp")), model).count() >= 0
+    assert garbled.garbled_documents(df.withColumn("doc_id", F.col("row_id")).withColumn("text", F.col("ref"))).count() == 0
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert leak.leaked(df.withColumn("doc_id", F.col("row_id")).withColumn("text", F.col("ref")), items).count() == 0
+    p = df.select(F.col("row_id").alias("packet_id"), F.lit("Cad é an focal seo?").alias("question"), F.struct(F.col("ref").alias("just_audio"), F.col("hyp").alias("no_context")).alias("answers"))
+    assert pairs.pair_defects(p, model).count() >= 2
+    assert time.time() - began < 120
+
+
+def test_null_keys_and_ids(spark):
+    docs = spark.createDataFrame([(None, ITEM), (None, None), (4, "scéim Ã©")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, ITEM)], "item_id string, text string")
+    assert [tuple(r) for r in leak.leaked(docs, items).collect()] == [(None, None)]
+    assert garbled.garbled_documents(docs).count() <= 1
