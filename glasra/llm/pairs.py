@@ -49,11 +49,13 @@ _CODER: dict[bytes, zstandard.ZstdCompressor] = {}
 #: Bytes beyond a pure copy, and the share of words, that a copied answer may differ by.
 COPY_BYTES, COPY_SHARE = 12, 0.8
 #: What other_language needs against the question's language, in nats.
-AGAINST = 6.0
+AGAINST = 10.0
 #: A word seen so often that ends hardly any sentence leaves one open.
 OFTEN, SELDOM = 200, 0.01
 #: A word's beginnings end so small a share of what might be that word.
 FRAGMENT = 0.02
+#: Distinct words that a task counts before it hands them on.
+HELD_WORDS = 500_000
 #: Words whose beginnings are looked for; what is longer is no word.
 LONGEST_WORD = 60
 
@@ -105,8 +107,9 @@ def is_copied(question: str | None, answer: str) -> bool:
 class Judge:
     """Defects that a pair shows by itself."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, prior: np.ndarray | None = None):
         self.scorer = Scorer(model)
+        self.prior = np.zeros(len(LANGS)) if prior is None else prior
 
     def _sum(self, text: str) -> tuple[np.ndarray, int]:
         chunks = text.split()
@@ -117,13 +120,19 @@ class Judge:
         rows = [r for r in rows if r >= 0]
         return (np.sum([self.scorer.scores[r] for r in rows], axis=0), len(rows)) if rows else (np.zeros(len(LANGS)), 0)
 
+    def _nameless(self, text: str) -> tuple[np.ndarray, int]:
+        return self._sum(_NAME.sub(lambda m: m.group() if m.start() == 0 and " " not in m.group() else " ", text.strip()))
+
+    def language(self, question: str | None) -> int | None:
+        """Language of a question: its words, names left out, and how common each language is among the table's questions."""
+        q, n = self._nameless(question or "")
+        return int((q + self.prior).argmax()) if n >= 2 else None
+
     def other_language(self, question: str | None, answer: str) -> bool:
-        q, n = self._sum(_NAME.sub(lambda m: m.group() if m.start() == 0 and " " not in m.group() else " ", question or ""))
-        if n < 2:
+        lang = self.language(question)
+        if lang is None:
             return False
-        lang = int(q.argmax())
-        s = answer.strip()
-        a, n = self._sum(_NAME.sub(lambda m: m.group() if m.start() == 0 and " " not in m.group() else " ", s))
+        a, n = self._nameless(answer)
         return n >= 3 and a.max() - a[lang] > AGAINST
 
     def defect(self, question: str | None, answer: str | None) -> str | None:
@@ -180,13 +189,37 @@ def pair_defects(pairs: DataFrame, model: Model, key: str = "packet_id", questio
     shared = pairs.sparkSession.sparkContext.broadcast(model)
     token = id(shared)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mine(prior: np.ndarray | None) -> Judge:
         j = _JUDGES.get(token)
         if j is None:
             _JUDGES.clear()
             j = _JUDGES[token] = Judge(shared.value)
+        if prior is not None:
+            j.prior = prior
+        return j
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        j, n = mine(np.zeros(len(LANGS))), Counter()
+        for b in batches:
+            n.update(j.language(q) for q in b.column(0).to_pylist())
+        n.pop(None, None)
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["lang", "n"])
+
+    told = {r.lang: r.n for r in flat.select("question").mapInArrow(tell, "lang int, n bigint").groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row a language
+    common = np.array([told.get(k, 0) + 1.0 for k in range(len(LANGS))])
+    common = np.log(common / common.sum())
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        j = mine(common)
+        whole: Counter[str] = Counter()
+        ends: Counter[str] = Counter()
+        columns = [key, "condition", "defect", "word", "tail", "n", "n_end"]
         for b in batches:
             qs = b.column(1).to_pylist()
+            for q in qs:
+                if q:
+                    ws, n = words_and_ends(q)
+                    whole.update(ws[:n])
             at: list[int] = []
             rows: list[tuple] = []
             for i, name in enumerate(names):
@@ -195,28 +228,36 @@ def pair_defects(pairs: DataFrame, model: Model, key: str = "packet_id", questio
                     if d:
                         at.append(k)
                         rows.append((name, d, None, None))
-                    elif (w := last_word(a)) is not None:
+                        continue
+                    ws, n = words_and_ends(a)
+                    whole.update(ws[:n])
+                    if ws:
+                        ends[ws[-1]] += 1
+                    if (w := last_word(a)) is not None:
                         at.append(k)
                         rows.append((name, None, *w))
             if at:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *[pa.array([r[c] for r in rows], pa.string()) for c in range(4)]], names=[key, "condition", "defect", "word", "tail"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole: Counter[str] = Counter()
-        ends: Counter[str] = Counter()
-        for b in batches:
-            for c in range(1, b.num_columns):
-                for t in b.column(c).to_pylist():
-                    if t:
-                        ws, n = words_and_ends(t)
-                        whole.update(ws[:n])
-                        if ws and (n == len(ws) or c > 1):
-                            ends[ws[-1]] += 1
-        yield pa.RecordBatch.from_pydict({"word": list(whole | ends), "n": [whole[w] for w in whole | ends], "n_end": [ends[w] for w in whole | ends]})
-
-    # read twice below: a copy of these few rows is less than judging the pairs again
-    judged = checkpointed(flat.mapInArrow(judge, f"`{key}` {kind}, condition string, defect string, word string, tail string").distinct())
-    words = checkpointed(flat.mapInArrow(count, "word string, n bigint, n_end bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")))
+                empty = pa.nulls(len(at), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *[pa.array([r[c] for r in rows], pa.string()) for c in range(4)], empty, empty], names=columns)
+            if len(whole) > HELD_WORDS:
+                yield counted(b.column(0).type, whole, ends)
+                whole.clear()
+                ends.clear()
+        if whole or ends:
+            yield counted(b.column(0).type, whole, ends)
+
+    def counted(kind: pa.DataType, whole: Counter, ends: Counter) -> pa.RecordBatch:
+        ws = list(whole | ends)
+        none = pa.nulls(len(ws), pa.string())
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(len(ws), kind), none, none, pa.array(ws, pa.string()), none, pa.array([whole[w] for w in ws], pa.int64()), pa.array([ends[w] for w in ws], pa.int64())],
+            names=[key, "condition", "defect", "word", "tail", "n", "n_end"],
+        )
+
+    # one pass gives both what each pair shows by itself and the words of questions and of answers without a defect so far
+    passed = checkpointed(flat.mapInArrow(judge, f"`{key}` {kind}, condition string, defect string, word string, tail string, n bigint, n_end bigint"))
+    judged = passed.where("n is null").drop("n", "n_end").distinct()
+    words = passed.where("n is not null").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
     lasts = judged.where("word is not null").select("word").distinct()
     starts = words.where((F.col("n") > 0) & F.length("word").between(2, LONGEST_WORD)).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("word"), "n").where("word <> ''").groupBy("word").agg(F.sum("n").alias("begins"))
     seen = lasts.join(words, "word", "left").join(starts, "word", "left")
