@@ -12,7 +12,7 @@ from glasra.operators import review as R
 from glasra.operators import sequences as Q
 from glasra.operators import vectors as V
 from glasra.plans.corpus import query
-from glasra.tables import lang_code, read
+from glasra.tables import lang_code, read, spread
 
 _SP = r"[\s\v\x{1C}-\x{1F}\x{85}\p{Z}]+"
 
@@ -32,14 +32,14 @@ def normalised_refs(spark, d):
 
 def wer_by_decoder(spark, d):
     """Plain word error rate, micro-averaged, with composed texts."""
-    p = read(spark, d, "asr_pairs").select("decoder", T.nfc("ref").alias("ref"), T.nfc("hyp").alias("hyp"))
+    p = spread(read(spark, d, "asr_pairs").select("decoder", "ref", "hyp")).select("decoder", T.nfc("ref").alias("ref"), T.nfc("hyp").alias("hyp"))
     e = M.word_errors(p)
     return e.groupBy("decoder").agg(F.count("*").alias("n"), F.sum("edits").alias("edits"), F.sum("n_ref").alias("n_ref"), F.round(M.micro_rate(F.col("edits"), F.col("n_ref")), 6).alias("wer"))
 
 
 def wer_bounded(spark, d):
     """Word error rate with the hypothesis cut to the reference's length: at most 100."""
-    p = read(spark, d, "asr_pairs").select("decoder", T.nfc("ref").alias("ref"), T.nfc("hyp").alias("hyp"))
+    p = spread(read(spark, d, "asr_pairs").select("decoder", "ref", "hyp")).select("decoder", T.nfc("ref").alias("ref"), T.nfc("hyp").alias("hyp"))
     e = M.word_errors(p, bounded=True)
     return e.groupBy("decoder").agg(F.sum("edits").alias("edits"), F.sum("n_ref").alias("n_ref"), F.round(M.micro_rate(F.col("edits"), F.col("n_ref")), 6).alias("wer"))
 
@@ -52,25 +52,25 @@ def cer_by_decoder(spark, d):
 
 def wer_stripped(spark, d):
     """Word error rate after chat phrases are taken off the hypotheses."""
-    p = read(spark, d, "decodes").select("model", F.col("reference").alias("ref"), T.unwrapped(F.coalesce("hypothesis", F.lit(""))).alias("hyp"))
+    p = spread(read(spark, d, "decodes").select("model", "reference", "hypothesis")).select("model", F.col("reference").alias("ref"), T.unwrapped(F.coalesce("hypothesis", F.lit(""))).alias("hyp"))
     e = M.word_errors(p)
     return e.groupBy("model").agg(F.sum("edits").alias("edits"), F.sum("n_ref").alias("n_ref"), F.round(M.micro_rate(F.col("edits"), F.col("n_ref")), 6).alias("wer"))
 
 
 def chrf_by_model(spark, d):
     """Corpus chrF++: summed n-gram counts, then the score."""
-    s = read(spark, d, "decodes").select("model", "condition", M.chrf_stats("reference", "hypothesis").alias("c"))
+    s = spread(read(spark, d, "decodes").select("model", "condition", "reference", "hypothesis")).select("model", "condition", M.chrf_stats("reference", "hypothesis").alias("c"))
     g = s.groupBy("model", "condition").agg(M.summed("c", 24).alias("c"), F.count("*").alias("n"))
     return g.select("model", "condition", "n", F.round(M.chrf_of("c"), 6).alias("chrfpp"))
 
 
 def chrf_sentences(spark, d):
-    s = read(spark, d, "decodes").select("row_id", M.chrf_stats("reference", "hypothesis").alias("c"))
+    s = spread(read(spark, d, "decodes").select("row_id", "reference", "hypothesis")).select("row_id", M.chrf_stats("reference", "hypothesis").alias("c"))
     return s.select("row_id", F.round(M.chrf_of("c"), 6).alias("chrfpp"))
 
 
 def bleu_by_model(spark, d):
-    s = read(spark, d, "decodes").select("model", "condition", M.bleu_stats("reference", "hypothesis").alias("c"))
+    s = spread(read(spark, d, "decodes").select("model", "condition", "reference", "hypothesis")).select("model", "condition", M.bleu_stats("reference", "hypothesis").alias("c"))
     g = s.groupBy("model", "condition").agg(M.summed("c", 10).alias("c"))
     return g.select("model", "condition", F.round(M.bleu_of("c"), 6).alias("bleu"), F.col("c")[8].alias("hyp_words"), F.col("c")[9].alias("ref_words"))
 

@@ -46,3 +46,12 @@ def word_count(text: Column) -> Column:
     """Words between white space, as Unicode has it; 0 for null."""
     parts = F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")), " ")
     return F.when(F.coalesce(text, F.lit("")).rlike(r"(?U)\S"), F.size(parts)).otherwise(0).cast("long")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores if its files give fewer than half as many partitions, for work that costs far more than its reading.
+
+    Large inputs have more partitions than cores, and pass as they are: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
