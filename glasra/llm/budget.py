@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glasra.llm.bpe import TOKENIZER_DIR, token_counts
-from glasra.tables import lang_code, read, source_name, word_count
+from glasra.tables import lang_code, read, source_name, spread, word_count
 
 LABELS = ("source", "lang", "domain")
 
@@ -52,16 +52,16 @@ def latest_report(report: DataFrame, model: str | None = "tok-8b") -> DataFrame:
 
 
 def p2_cube(spark, sf_dir: str) -> DataFrame:
-    return token_cube(document_tokens(read(spark, sf_dir, "documents")))
+    return token_cube(document_tokens(spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "domain"))))
 
 
 def p2_documents(spark, sf_dir: str) -> DataFrame:
-    return document_tokens(read(spark, sf_dir, "documents"))
+    return document_tokens(spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "domain")))
 
 
 def p2_against_report(spark, sf_dir: str) -> DataFrame:
     """Measured tokens per word of each source beside the report's, and what the report's words come to at the measured rate."""
-    own = document_tokens(read(spark, sf_dir, "documents")).groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"), F.sum("n_tokens").alias("n_tokens"))
+    own = document_tokens(spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "domain"))).groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"), F.sum("n_tokens").alias("n_tokens"))
     own = own.withColumn("tokens_per_word", F.when(F.col("n_words") > 0, F.col("n_tokens") / F.col("n_words")))
     rep = latest_report(read(spark, sf_dir, "text_token_ratio_report"))
     out = own.join(F.broadcast(rep), "source", "full_outer")  # a row for each source of one report

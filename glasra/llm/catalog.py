@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from glasra.llm import bpe, budget, garbled, language, leak, lookalike, mixing, pairs, pieces, sample
-from glasra.tables import read
+from glasra.tables import read, spread
 
 
 def p7_found(spark, sf_dir: str):
-    return lookalike.odd_texts(read(spark, sf_dir, "asr_pairs"))
+    return lookalike.odd_texts(spread(read(spark, sf_dir, "asr_pairs").select("row_id", "ref", "hyp")))
 
 
 def p7_forms(spark, sf_dir: str):
-    return lookalike.forms(read(spark, sf_dir, "asr_pairs"))
+    return lookalike.forms(spread(read(spark, sf_dir, "asr_pairs").select("row_id", "ref", "hyp")))
 
 
 def p7_groups(spark, sf_dir: str):
@@ -19,7 +19,7 @@ def p7_groups(spark, sf_dir: str):
 
 
 def p8_ids(spark, sf_dir: str):
-    return bpe.token_ids(read(spark, sf_dir, "documents"))
+    return bpe.token_ids(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 QUERIES = {

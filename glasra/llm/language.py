@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from glasra.llm.bpe import TOKENIZER_DIR
 from glasra.llm.lookalike import one_form
-from glasra.tables import lang_code, read
+from glasra.tables import lang_code, read, spread
 
 LANGS = ("ga", "en", "gd", "cy", "fr")
 #: Labelled texts of each language that the model is fitted on: a bounded sample, chosen by a hash of their key.
@@ -375,11 +375,12 @@ def detect(texts: DataFrame, model: Model, want: str = "found") -> DataFrame:
 def project_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of the three tables with their labels."""
     pairs, decodes, docs = (read(spark, sf_dir, t) for t in ("asr_pairs", "decodes", "documents"))
-    return (
+    texts = (
         docs.select(F.lit("documents").alias("tab"), F.col("doc_id").alias("row_id"), F.col("lang").alias("label"), "text")
         .unionByName(pairs.select(F.lit("asr_pairs").alias("tab"), "row_id", F.col("lang").alias("label"), F.col("hyp").alias("text")))
         .unionByName(decodes.select(F.lit("decodes").alias("tab"), "row_id", F.col("lang").alias("label"), F.col("hypothesis").alias("text")))
     )
+    return spread(texts)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -372,19 +372,19 @@ def removal_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", **name
 
 
 def p9_found(spark, sf_dir: str) -> DataFrame:
-    from glasra.tables import read
+    from glasra.tables import read, spread
 
-    return leaked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
+    return leaked(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), read(spark, sf_dir, "eval_items"))
 
 
 def p9_alike(spark, sf_dir: str) -> DataFrame:
     """Also the items that are no more than within the allowed edits of a passage of another one."""
-    from glasra.tables import read
+    from glasra.tables import read, spread
 
-    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).groupBy("doc_id", "item_id").agg(F.max("item_words").alias("item_words"), F.max("closest").alias("closest"))
+    return leaks(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), read(spark, sf_dir, "eval_items")).groupBy("doc_id", "item_id").agg(F.max("item_words").alias("item_words"), F.max("closest").alias("closest"))
 
 
 def p9_spans(spark, sf_dir: str) -> DataFrame:
-    from glasra.tables import read
+    from glasra.tables import read, spread
 
-    return removal_spans(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
+    return removal_spans(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), read(spark, sf_dir, "eval_items"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from glasra.llm.language import LANGS, Model, Scorer, train
 from glasra.session import checkpointed
-from glasra.tables import read
+from glasra.tables import read, spread
 
 # What says that the answerer declines or is unable, by language; first person throughout.
 REFUSALS = {
@@ -277,12 +277,12 @@ def pair_defects(pairs: DataFrame, model: Model, key: str = "packet_id", questio
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:
-    return pair_defects(read(spark, sf_dir, "packets"), train(read(spark, sf_dir, "documents")))
+    return pair_defects(spread(read(spark, sf_dir, "packets").select("packet_id", "question", "answers")), train(read(spark, sf_dir, "documents")))
 
 
 def p3_by_model(spark, sf_dir: str) -> DataFrame:
     """Defects of each model and condition, to be set against its packets."""
     packets = read(spark, sf_dir, "packets")
-    found = pair_defects(packets, train(read(spark, sf_dir, "documents")))
+    found = pair_defects(spread(packets), train(read(spark, sf_dir, "documents")))
     owner = packets.select("packet_id", "model").distinct()
     return found.join(owner, "packet_id").groupBy("model", "condition", "defect").agg(F.countDistinct("packet_id").alias("n_defects"))
