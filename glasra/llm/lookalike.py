@@ -123,7 +123,7 @@ def _sides(df: DataFrame, key: str, sides: tuple[str, ...], want: str, schema: s
             texts = [b.column(1 + i).to_pylist() for i in range(len(sides))]
             if want == "odd":
                 for i, s in enumerate(sides):
-                    at = [k for k, t in enumerate(texts[i]) if is_odd(t)]
+                    at = [k for k, t in enumerate(texts[i]) if one_form(t) != t and is_odd(t)]
                     if at:
                         yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array([s] * len(at), pa.string())], names=[key, "side"])
             else:
@@ -135,7 +135,10 @@ def _sides(df: DataFrame, key: str, sides: tuple[str, ...], want: str, schema: s
 
 
 def odd_texts(df: DataFrame, key: str = "row_id", sides: tuple[str, ...] = ("ref", "hyp")) -> DataFrame:
-    """`key, side` of texts with an odd character; distinct rows, so repeated deliveries count once. Null texts are no cases."""
+    """`key, side` of texts that the form changes for an odd character; distinct rows, so repeated deliveries count once.
+
+    Null texts are no cases, nor are accents that no letter is composed with.
+    """
     return _sides(df, key, sides, "odd", f"`{key}` {df.schema[key].dataType.simpleString()}, side string").distinct()
 
 
