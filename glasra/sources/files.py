@@ -28,8 +28,9 @@ def parquet(spark: SparkSession, path: str, columns: list[str] | None = None, op
 
 
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """`file, bytes` of what a Parquet path holds, from the listing; no row is read beyond the footers' need."""
-    return spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes")).distinct()
+    """`file, bytes` of the Parquet files of a path, from the listing alone; contents aren't read."""
+    df = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path)
+    return df.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None) -> DataFrame:
