@@ -1,8 +1,8 @@
 """Problem 10: text decoded with a wrong encoding, found and put right word by word.
 
 Every distinct clean word of the corpus is garbled under all encoding chains; the distinct tokens of the corpus are
-hash-joined with these forms; a token that equals a form of a word far more frequent than itself is garbled, and that word is
-its original. A document with such a token is a case. To restore it, its garbled tokens are replaced by their originals, and
+hash-joined with these forms; a token that equals a form of another word is garbled, and that word is its original. Where the
+form could be an ordinary token too, the word has to be far more frequent. Equal texts count once. A document with such a token is a case. To restore it, its garbled tokens are replaced by their originals, and
 what is left of it takes the inverse of the chain that most of its tokens went through.
 
 Only words with a character beyond ASCII change under these chains, and all chains keep ASCII, so a word is garbled only if
@@ -24,7 +24,8 @@ from glasra.session import checkpointed
 
 # The encodings of one byte a character that texts are commonly misread as or from.
 BYTE_ENCODINGS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "iso8859-15")
-#: A garbled token has at most this share of its original's occurrences; else a rare word might pass for an original.
+#: A token that may be a word of its own has at most this share of its original's occurrences; else a rare word might pass for
+#: an original. Forms of several characters for one, replacement marks and `?` between letters are garbled at any share.
 RARER = 0.25
 #: Rows of the verified table that may be broadcast (about 100 bytes each); a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -164,7 +165,7 @@ def odd_tokens(text: str | None) -> list[str]:
 
 
 def _token_counts(df: DataFrame, text: str) -> DataFrame:
-    """`token, n`: counted within each task first, so that what is shuffled is vocabulary."""
+    """`token, n`: occurrences in distinct texts, counted within each task first, so that what is shuffled then is vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -177,11 +178,11 @@ def _token_counts(df: DataFrame, text: str) -> DataFrame:
         if seen:
             yield pa.RecordBatch.from_pydict({"token": list(seen), "n": list(seen.values())})
 
-    return df.select(df[text]).mapInArrow(count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    return df.select(df[text]).distinct().mapInArrow(count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def garbled_tokens(df: DataFrame, text: str = "text") -> DataFrame:
-    """`token, original, chain`: distinct tokens that equal a garbled form of a word far more frequent than they are."""
+    """`token, original, chain`: distinct tokens that equal a garbled form of a word, of one far more frequent than they are if they may be words."""
     tokens = checkpointed(_token_counts(df, text))
     shape = F.regexp_replace(F.lower("token"), r"[\x{80}-\x{10FFFF}?]+", "\x01")
     shaped = tokens.withColumn("shape", shape)
@@ -202,7 +203,8 @@ def garbled_tokens(df: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_pydict(out)
 
     made = words.unionByName(chars).mapInArrow(garble, "form string, original string, chain string, n_original bigint")
-    met = made.join(tokens, made.form == tokens.token).where(F.col("n") <= RARER * F.col("n_original"))
+    plain = F.col("chain").startswith("utf-8 as ") | F.col("token").contains("�") | F.col("token").rlike(r"\p{L}\?+\p{L}")
+    met = made.join(tokens, made.form == tokens.token).where(plain | (F.col("n") <= RARER * F.col("n_original")))
     best = F.max_by(F.struct("original", "chain"), F.struct("n_original", "original"))
     return met.groupBy("token").agg(best.alias("b")).select("token", "b.original", "b.chain")
 

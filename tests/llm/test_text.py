@@ -66,6 +66,21 @@ def test_restored_text(garbled_docs):
     assert garbled.restored(garbled_docs.limit(0)).count() == 0
 
 
+def test_garbled_source_of_a_third_and_repeated_texts(spark):
+    rnd = random.Random(3)
+    words = ["tá", "fáil", "féile", "bóthar", "scéim", "údarás"]
+    texts = [" ".join(rnd.choice(words) for _ in range(20)) + f" a{k}" for k in range(60)]
+    wrong = [garbled.from_bytes(t.encode(), "cp1252") for t in texts[:20]] + [t.translate({ord(c): "�" for c in "áéóú"}) for t in texts[20:25]]
+    df = spark.createDataFrame(list(enumerate(texts[25:] + wrong)), "doc_id long, text string")
+    assert {r.doc_id for r in garbled.garbled_documents(df).collect()} == set(range(35, 60))
+    assert {r.text for r in garbled.restored(df).where("doc_id < 55").collect()} == set(texts[:20])
+    once = "Tháinig fhéile bóthar fáil scéim"
+    hot = garbled.from_bytes(garbled.to_bytes(once, "cp1252"), "mac_roman")  # one character for one: the rarity test holds
+    rows = [f"{once} {k}" for k in range(40)] + [hot] * 30 + ["cé", "sé??", "sé"]
+    got = garbled.garbled_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == set(range(40, 70))
+
+
 def test_chains_invert():
     for t in ("Tháinig “sí” €5", "dèidh ŵyl"):
         for chain in ("utf-8 as cp1252", "utf-8 as cp1252 > utf-8 as cp1252"):
