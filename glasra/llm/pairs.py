@@ -6,7 +6,7 @@ copied: compressed with the question as its zstandard dictionary the answer take
 with the answer as dictionary; the words then have to be those of the question.
 other_language: the pieces of the language model speak against the question's language, names left out.
 truncated: the last word is a known word's beginning, or one after which no sentence ends. Terminal contexts are counted over
-all questions and answers of the table.
+all distinct questions and answers of the table, and an answer's own end doesn't speak for itself.
 """
 
 from __future__ import annotations
@@ -52,8 +52,8 @@ COPY_BYTES, COPY_SHARE = 12, 0.8
 AGAINST = 10.0
 #: A word seen so often that ends hardly any sentence leaves one open.
 OFTEN, SELDOM = 200, 0.01
-#: A word's beginnings end so small a share of what might be that word.
-FRAGMENT = 0.02
+#: A word's beginnings end so small a share of what might be that word, and stand whole for a still smaller one.
+FRAGMENT, WHOLE = 0.02, 0.001
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 500_000
 #: Words whose beginnings are looked for; what is longer is no word.
@@ -211,15 +211,9 @@ def pair_defects(pairs: DataFrame, model: Model, key: str = "packet_id", questio
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         j = mine(common)
-        whole: Counter[str] = Counter()
-        ends: Counter[str] = Counter()
-        columns = [key, "condition", "defect", "word", "tail", "n", "n_end"]
+        columns = [key, "condition", "defect", "word", "tail", "answer"]
         for b in batches:
             qs = b.column(1).to_pylist()
-            for q in qs:
-                if q:
-                    ws, n = words_and_ends(q)
-                    whole.update(ws[:n])
             at: list[int] = []
             rows: list[tuple] = []
             for i, name in enumerate(names):
@@ -227,44 +221,54 @@ def pair_defects(pairs: DataFrame, model: Model, key: str = "packet_id", questio
                     d = j.defect(q, a)
                     if d:
                         at.append(k)
-                        rows.append((name, d, None, None))
-                        continue
-                    ws, n = words_and_ends(a)
-                    whole.update(ws[:n])
-                    if ws:
-                        ends[ws[-1]] += 1
-                    if (w := last_word(a)) is not None:
+                        rows.append((name, d, None, None, a))
+                    elif (w := last_word(a)) is not None:
                         at.append(k)
-                        rows.append((name, None, *w))
+                        rows.append((name, None, *w, None))
             if at:
-                empty = pa.nulls(len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *[pa.array([r[c] for r in rows], pa.string()) for c in range(4)], empty, empty], names=columns)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *[pa.array([r[c] for r in rows], pa.string()) for c in range(5)]], names=columns)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: Counter[str] = Counter()
+        ends: Counter[str] = Counter()
+        given: Counter[str] = Counter()
+        for b in batches:
+            for t, answer, asked in zip(*[b.column(c).to_pylist() for c in range(3)], strict=True):
+                ws, n = words_and_ends(t)
+                whole.update(ws[:n])
+                if ws and answer:
+                    ends[ws[-1]] += 1
+                    given[ws[-1]] += asked
             if len(whole) > HELD_WORDS:
-                yield counted(b.column(0).type, whole, ends)
+                yield counted(whole, ends, given)
                 whole.clear()
                 ends.clear()
+                given.clear()
         if whole or ends:
-            yield counted(b.column(0).type, whole, ends)
+            yield counted(whole, ends, given)
 
-    def counted(kind: pa.DataType, whole: Counter, ends: Counter) -> pa.RecordBatch:
+    def counted(whole: Counter, ends: Counter, given: Counter) -> pa.RecordBatch:
         ws = list(whole | ends)
-        none = pa.nulls(len(ws), pa.string())
-        return pa.RecordBatch.from_arrays(
-            [pa.nulls(len(ws), kind), none, none, pa.array(ws, pa.string()), none, pa.array([whole[w] for w in ws], pa.int64()), pa.array([ends[w] for w in ws], pa.int64())],
-            names=[key, "condition", "defect", "word", "tail", "n", "n_end"],
-        )
-
-    # one pass gives both what each pair shows by itself and the words of questions and of answers without a defect so far
-    passed = checkpointed(flat.mapInArrow(judge, f"`{key}` {kind}, condition string, defect string, word string, tail string, n bigint, n_end bigint"))
-    judged = passed.where("n is null").drop("n", "n_end").distinct()
-    words = passed.where("n is not null").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
+        return pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), *[pa.array([c[w] for w in ws], pa.int64()) for c in (whole, ends, given)]], names=["word", "n", "n_end", "n_given"])
+
+    passed = checkpointed(flat.mapInArrow(judge, f"`{key}` {kind}, condition string, defect string, word string, tail string, answer string"))
+    judged = passed.drop("answer").distinct()
+    # words of each question once, and of each answer without a defect so far once, with the number of questions it is given to
+    each = [F.struct(F.col(c).alias("text"), F.lit(c != "question").alias("is_answer"), F.xxhash64("question").alias("asked"), F.lit(False).alias("bad")) for c in ("question", *names)]
+    defective = passed.where("answer is not null").select(F.col("answer").alias("text"), F.lit(True).alias("is_answer"), F.lit(None).cast("long").alias("asked"), F.lit(True).alias("bad"))
+    texts = flat.select(F.inline(F.array(*each))).where("text is not null").unionByName(defective)
+    sound = texts.groupBy("text", "is_answer").agg(F.max("bad").alias("bad"), F.count_distinct("asked").alias("asked")).where("not bad").select("text", "is_answer", "asked")
+    words = checkpointed(sound.mapInArrow(count, "word string, n bigint, n_end bigint, n_given bigint").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "n_end", "n_given")]))
     lasts = judged.where("word is not null").select("word").distinct()
     starts = words.where((F.col("n") > 0) & F.length("word").between(2, LONGEST_WORD)).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("word"), "n").where("word <> ''").groupBy("word").agg(F.sum("n").alias("begins"))
     seen = lasts.join(words, "word", "left").join(starts, "word", "left")
-    n, end = F.coalesce("n", F.lit(0)), F.coalesce("n_end", F.lit(0))
+    # the answer that is judged is one of those that end so; after open words any number of questions don't speak for it, while
+    # for other words ends are all there is to go by, and a stock answer to several questions is an end each time
+    n, begins = F.coalesce("n", F.lit(0)), F.coalesce("begins", F.lit(0))
+    end, given = (F.greatest(F.coalesce(c, F.lit(0)) - 1, F.lit(0)) for c in ("n_end", "n_given"))
     # a fragment ends few answers beside the words that it may be of; a word of its own, as one that is also a beginning, more
-    cut = (n == 0) & (F.coalesce("begins", F.lit(0)) > 0) & ((end <= 2) | (end < FRAGMENT * F.col("begins")))
-    held = F.col("word").isin(*sorted(OPEN_WORDS)) & ((n < 20) | (end < 0.05 * n)) | (n >= OFTEN) & (end < SELDOM * n)
+    cut = (begins > 0) & (n <= WHOLE * begins) & ((given <= 1) | (given < FRAGMENT * begins))
+    held = F.col("word").isin(*sorted(OPEN_WORDS)) & ((n < 20) | (end < 0.05 * n)) | (n >= OFTEN) & (given < SELDOM * n)
     open_words = seen.where(cut | held).select("word", F.lit(True).alias("open"))
     broken = F.coalesce("open", F.lit(False)) | F.col("tail").rlike(r"^[-‐‑,;:(–—]$")
     return (

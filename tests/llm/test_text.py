@@ -237,6 +237,15 @@ def test_pair_defects(spark, model):
     assert pairs.pair_defects(df.limit(0), model).count() == 0
 
 
+def test_truncated_answers_that_are_held_by_many(spark, model):
+    q = "Cén fáth ar thacaigh an múinteoir leis an fhéile in Baile Mór?"
+    sound = [f"Thacaigh an múinteoir agus na daltaí leis an fhéile {k}." for k in range(60)]
+    answers = [*sound, *["Thacaigh sé leis mar tá na dal"] * 30, *["Thacaigh sé leis an fhéile agus"] * 30, *["Ní raibh aon duine in ann an doras a oscailt"] * 50, *["Baile Mór agus na daltaí"] * 300]
+    df = spark.createDataFrame([(i, q if a.endswith("dal") else f"{q} An bhfuil an doras oscailte {i}?", (a, "Seacht")) for i, a in enumerate(answers)], "packet_id long, question string, answers struct<just_audio:string,no_context:string>")
+    got = set(map(tuple, pairs.pair_defects(df, model).collect()))
+    assert got == {(i, "just_audio", "truncated") for i in range(60, 120)}
+
+
 def test_very_long_texts(spark, model):
     import time
 
