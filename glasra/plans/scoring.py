@@ -565,6 +565,41 @@ def alignment_ranks(spark, d):
     return V.alignment(_pairs(spark, d), ["model"], "a", "b").select("i", "row_rank", "col_rank", "strict")
 
 
+def _halves(spark, d, centred=False):
+    """Two aligned sets of the whole table: the vector at place i by vec_id, and the one half the table further; an odd last one has no partner."""
+    from glasra.operators.sampling import ordinal
+
+    e = ordinal(read(spark, d, "embeddings").select("vec_id", "embedding", F.lit("base").alias("model")), ["model"], "vec_id", "p")
+    half = F.floor(F.col("n") / 2)
+    n = read(spark, d, "embeddings").agg(F.count("*").alias("n"))  # one row
+    e = e.crossJoin(F.broadcast(n)).where(F.col("p") < 2 * half).select("model", F.pmod("p", half).alias("i"), F.when(F.col("p") < half, 0).otherwise(1).alias("side"), "embedding")
+    if centred:
+        e = V.centred(e, ["model", "side"], "i", "embedding")
+    a, b = (e.where(F.col("side") == s).select("model", "i", F.col("embedding").alias(n)) for s, n in ((0, "a"), (1, "b")))
+    return a.join(b, ["model", "i"])
+
+
+_PLACED = "(SELECT p % h AS i, p // h AS side, embedding FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS p, count(*) OVER () // 2 AS h, embedding FROM embeddings) WHERE p < 2 * h)"
+_RAW_WHOLE = f"SELECT i, side, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM {_PLACED}"
+_CENTRED_WHOLE = f"SELECT i, side, list(x - m ORDER BY d) AS v FROM (SELECT *, avg(x) OVER (PARTITION BY side, d) AS m FROM (SELECT i, side, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM {_PLACED})) GROUP BY i, side"
+
+
+@query(_mexa_sql(_RAW_WHOLE) + _SCORE)
+def mexa_raw_whole(spark, d):
+    """mexa_raw over the whole table; that one keeps to the fixture of its SQL."""
+    return _score(V.alignment(_halves(spark, d), ["model"], "a", "b"))
+
+
+@query(_mexa_sql(_CENTRED_WHOLE) + _SCORE)
+def mexa_centred_whole(spark, d):
+    return _score(V.alignment(_halves(spark, d, True), ["model"], "a", "b"))
+
+
+@query(_mexa_sql(_RAW_WHOLE) + "SELECT i, row_rank, col_rank, r.e = 0 AND c.e = 0 AS strict FROM r JOIN c USING (i)")
+def alignment_ranks_whole(spark, d):
+    return V.alignment(_halves(spark, d), ["model"], "a", "b").select("i", "row_rank", "col_rank", "strict")
+
+
 @query("""
 WITH s AS (SELECT label AS layer, vec_id % 7 AS object, avg(list_sum(embedding)) AS score FROM embeddings GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY object ORDER BY round(score, 9) DESC, layer) AS r, avg(score) OVER (PARTITION BY object) AS mean FROM s)

@@ -151,3 +151,16 @@ def test_gates(spark):
     v = spark.createDataFrame([("q1", "x", 3, "r"), ("q2", "x", 1, " "), ("q3", "x", 0, "r"), ("q1", "y", None, "r")], "question_id string, condition string, marks int, reason string")
     got = {(r.question_id, r.condition): r.problem for r in G.verdict_violations(v, packets, ["x", "y"]).collect()}
     assert got == {("q1", "x"): "marks out of range", ("q2", "x"): "no reason", ("q3", "x"): "unknown", ("q1", "y"): "no marks", ("q2", "y"): "missing"}
+
+
+def test_alignment_of_a_whole_table(spark, tmp_path):
+    from glasra.plans import scoring
+
+    x = np.random.default_rng(6).normal(size=(461, 8))  # the last has no partner
+    ids = [7 * k for k in range(461)]
+    spark.createDataFrame(pd.DataFrame({"vec_id": ids, "label": 0, "embedding": x.tolist()})).write.parquet(f"{tmp_path}/embeddings.parquet")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u[:230] @ u[230:460].T
+    got = {r.i: (r.row_rank, r.col_rank) for r in scoring.alignment_ranks_whole(spark, str(tmp_path)).collect()}
+    assert got == {i: ((s[i] > s[i, i]).sum() + 1, (s[:, i] > s[i, i]).sum() + 1) for i in range(230)}
+    assert scoring.mexa_raw_whole(spark, str(tmp_path)).first().n == scoring.mexa_centred_whole(spark, str(tmp_path)).first().n == 230
