@@ -306,6 +306,15 @@ def ragged_union(spark, d):
     return R.union_all([a, b]).select("row_id", "model", "decoder", "lang", "generated_tokens")
 
 
+@query("""
+SELECT row_id, model, NULL AS decoder, lang, generated_tokens FROM decodes UNION ALL SELECT row_id, NULL, decoder, lang, NULL FROM asr_pairs""")
+def ragged_union_whole(spark, d):
+    """ragged_union of all rows; that one keeps to the rows of its SQL."""
+    a = read(spark, d, "decodes").select("row_id", "model", "lang", "generated_tokens")
+    b = read(spark, d, "asr_pairs").select("row_id", "decoder", "lang")
+    return R.union_all([a, b]).select("row_id", "model", "decoder", "lang", "generated_tokens")
+
+
 @query("""
 SELECT event_id, k AS key, json_extract_string(props, '$.' || k) AS value FROM events, unnest(json_keys(props::JSON)) AS u(k)""")
 def flattened_props(spark, d):

@@ -164,3 +164,12 @@ def test_alignment_of_a_whole_table(spark, tmp_path):
     got = {r.i: (r.row_rank, r.col_rank) for r in scoring.alignment_ranks_whole(spark, str(tmp_path)).collect()}
     assert got == {i: ((s[i] > s[i, i]).sum() + 1, (s[:, i] > s[i, i]).sum() + 1) for i in range(230)}
     assert scoring.mexa_raw_whole(spark, str(tmp_path)).first().n == scoring.mexa_centred_whole(spark, str(tmp_path)).first().n == 230
+
+
+def test_ragged_union_of_whole_tables(spark, tmp_path):
+    from glasra.plans import scoring
+
+    spark.createDataFrame([(k, "base", "ga", k) for k in range(120)], "row_id long, model string, lang string, generated_tokens int").write.parquet(f"{tmp_path}/decodes.parquet")
+    spark.createDataFrame([(k, "ctc", "en", float(k)) for k in range(30)], "row_id long, decoder string, lang string, duration_s double").write.parquet(f"{tmp_path}/asr_pairs.parquet")
+    got = sorted(map(tuple, scoring.ragged_union_whole(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(k, "base", None, "ga", k) for k in range(120)] + [(k, None, "ctc", "en", None) for k in range(30)], key=str)
