@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glasra.session import checkpointed
+
 #: Rows' orders that share a block of a running total.
 BLOCK = 4096
 
@@ -94,3 +96,12 @@ def schedule(df: DataFrame, order: str, share: float, seed: str) -> DataFrame:
 def ordinal(df: DataFrame, by: list[str], order: str, name: str = "ordinal", block: int = BLOCK) -> DataFrame:
     """Row number from 0 in each group, in two levels."""
     return running_total(df, by, order, F.lit(1), name, block)
+
+
+def placed(df: DataFrame, order: Column, name: str = "place") -> DataFrame:
+    """`df` with each row's place from 0 in the sorted whole: ranges of the order are sorted apart, and counts of ranges (one row each) put before them."""
+    d = df.withColumn("_o", order).repartitionByRange("_o").sortWithinPartitions("_o").withColumn("_m", F.monotonically_increasing_id())
+    d = checkpointed(d.select(*df.columns, F.shiftright("_m", 33).alias("_range"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
+    sums = d.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return d.join(F.broadcast(before), "_range").select(*df.columns, (F.col("_at") + F.col("_before")).alias(name))

@@ -309,3 +309,9 @@ def sort_as_text(spark, d):
 
 
 SQL["sort_as_text"] = "SELECT doc_id FROM documents ORDER BY doc_id::VARCHAR LIMIT 50"
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id::VARCHAR) - 1 AS place FROM documents")
+def sort_as_text_whole(spark, d):
+    """Every id with its place from 0 among all ids sorted as strings; sort_as_text keeps to the limit of its SQL."""
+    return S.placed(read(spark, d, "documents").select("doc_id"), F.col("doc_id").cast("string"), "place")

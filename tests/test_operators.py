@@ -173,3 +173,13 @@ def test_ragged_union_of_whole_tables(spark, tmp_path):
     spark.createDataFrame([(k, "ctc", "en", float(k)) for k in range(30)], "row_id long, decoder string, lang string, duration_s double").write.parquet(f"{tmp_path}/asr_pairs.parquet")
     got = sorted(map(tuple, scoring.ragged_union_whole(spark, str(tmp_path)).collect()), key=str)
     assert got == sorted([(k, "base", None, "ga", k) for k in range(120)] + [(k, None, "ctc", "en", None) for k in range(30)], key=str)
+
+
+def test_places_of_all_ids_sorted_as_text(spark, tmp_path):
+    from glasra.plans import corpus
+
+    ids = [*range(997), 10, 10]
+    spark.createDataFrame([(k,) for k in ids], "doc_id long").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.place, r.doc_id) for r in corpus.sort_as_text_whole(spark, str(tmp_path)).collect())
+    assert got == list(enumerate(sorted(ids, key=str)))
+    assert S.placed(spark.range(0), F.col("id")).count() == 0
