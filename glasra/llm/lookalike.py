@@ -25,12 +25,12 @@ OTHER_LATIN = dict(zip("ɑɡ", "ag", strict=True))
 PROTOTYPES = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | OTHER_LATIN
 
 # Compatibility characters that are ordinary in text though they have a plain form.
-ORDINARY = set("…‥№℃℉™℠ªº´¨¯¸″‴‵‶‼⁇⁈⁉")
+ORDINARY = set("…‥№℃℉™℠ªº´¨¯¸µ″‴‵‶‼⁇⁈⁉")
 ORDINARY_KINDS = ("<fraction>", "<super>", "<sub>", "<circle>", "<square>", "<noBreak>")
 INVISIBLE = {chr(c) for c in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180E, 0x2800, 0x3164, 0xFFA0)}
 
 #: Texts without any of these characters are in form already.
-UNUSUAL = re.compile(r"[^ -~¡-§©«¬®°-³µ-·¹-ɏḀ-ỿ‐-―‘-‟…€№]")
+UNUSUAL = re.compile(r"[^ -~¡-§©«¬®°-³µ-·¹-ɏḀ-ỿ‐-―‘-‟…€№]|[ĲĳĿŀŉſǄ-ǌǱ-ǳẚ]")
 WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
 
 

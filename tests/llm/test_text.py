@@ -22,6 +22,14 @@ def test_forms_are_stable_and_equal_when_alike():
     assert lookalike.skeleton("it’s") == lookalike.skeleton("it's")
 
 
+def test_texts_without_unusual_characters_are_in_form():
+    for c in map(chr, range(0x20, 0x2100)):
+        if not lookalike.UNUSUAL.search(c):
+            assert lookalike.kind(c) in ("", "foreign"), c
+    assert lookalike.is_odd("ĳs") and lookalike.one_form("ĳs") == "ijs" and lookalike.one_form("ŉ ǆ ſ") == "ʼn dž s"
+    assert not lookalike.is_odd("5 µm") and lookalike.one_form("5 µm\u200b") == "5 µm"
+
+
 def test_odd_texts_frame(spark):
     df = spark.createDataFrame([(1, "a​", "b", 1), (1, "a​", "b", 1), (2, None, "ｂ", 2), (3, "a", None, 3)], "row_id long, ref string, hyp string, side int")
     assert sorted(map(tuple, lookalike.odd_texts(df).collect())) == [(1, "ref"), (2, "hyp")]
