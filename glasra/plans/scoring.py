@@ -12,7 +12,7 @@ from glasra.operators import review as R
 from glasra.operators import sequences as Q
 from glasra.operators import vectors as V
 from glasra.plans.corpus import query
-from glasra.tables import lang_code, read, spread
+from glasra.tables import lang_code, read, source_name, spread
 
 _SP = r"[\s\v\x{1C}-\x{1F}\x{85}\p{Z}]+"
 
@@ -502,7 +502,7 @@ query()(pcm_levels)
 @query("SELECT doc_id, regexp_split_to_array(text, '\\r?\\n')[1] AS first_turn, len(regexp_split_to_array(text, '\\r?\\n'))::INT AS n_turns, md5(upper(array_to_string(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda t: trim(t)), '|'))) AS digest FROM documents WHERE source = 'conversations_ga' AND text IS NOT NULL")
 def restored_turns(spark, d):
     """Turns of conversations sent in batches across records to a service (here: upper case), put back where they came from."""
-    t = read(spark, d, "documents").where("source = 'conversations_ga' and text is not null").select("doc_id", F.split("text", r"\r?\n").alias("turns"))
+    t = read(spark, d, "documents").where((source_name(F.col("source")) == "conversations_ga") & F.col("text").isNotNull()).select("doc_id", F.split("text", r"\r?\n").alias("turns"))
     r = Q.restored_turns(t, "doc_id", "turns", lambda xs: [x.upper() for x in xs]).withColumnRenamed("turns", "done")
     return t.join(r, "doc_id").select("doc_id", F.get("turns", F.lit(0)).alias("first_turn"), F.size("turns").alias("n_turns"), F.md5(F.array_join("done", "|")).alias("digest"))
 

@@ -183,3 +183,11 @@ def test_places_of_all_ids_sorted_as_text(spark, tmp_path):
     got = sorted((r.place, r.doc_id) for r in corpus.sort_as_text_whole(spark, str(tmp_path)).collect())
     assert got == list(enumerate(sorted(ids, key=str)))
     assert S.placed(spark.range(0), F.col("id")).count() == 0
+
+
+def test_conversations_in_any_spelling(spark, tmp_path):
+    from glasra.plans import scoring
+
+    names = ["conversations_ga", "Conversations-GA ", "conversations_ga.parquet", "nce", None]
+    spark.createDataFrame([(k, n, "a\nb") for k, n in enumerate(names)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in scoring.restored_turns(spark, str(tmp_path)).collect()} == {0, 1, 2}
