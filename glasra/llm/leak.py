@@ -5,7 +5,8 @@ matrix for ranks, and every eighth suffix position sampled. The phrases are all
 twelve words with two of them changed, dropped or added still holds one of these unbroken (ten words left in three parts).
 Backward search runs for all phrases at once; occurrences are located by walking to sampled positions, and an exact alignment
 around them decides. Words that no item has can't be part of a phrase, so they end a run of the indexed text; it is small and
-nothing is lost. The items are a fixed set of checked size and go to every worker; the corpus is read once and not shuffled.
+nothing is lost. The items are a fixed set of checked size and go to every worker; the corpus is read once and not shuffled. More
+items than that go in parts, a search each, and the spans of all parts meet by document before the closest are told.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +29,10 @@ PHRASE, LEAST, PER_EDIT = 4, 12, 6
 #: Words of a shard; bounds a task's memory (about 100 bytes each), never the result.
 SHARD_WORDS = 1_500_000
 SAMPLE = 8
-#: Characters of evaluation items that may go to every worker. More are searched in several passes.
+#: Characters of evaluation items that may go to every worker at a time. More are searched in parts, with the same result.
 ITEM_CHARS = 20_000_000
+#: Places of phrases in documents and items that are held at a time; bounds a task's memory, never the result.
+HELD_PLACES = 2_000_000
 #: Chunks that a worker remembers before it starts anew.
 REMEMBERED = 400_000
 
@@ -170,19 +174,12 @@ def _reach(item: list[int], doc: list[int], i: int, j: int, step: int) -> list[t
             return out
 
 
-def spans(item: list[int], doc: list[int], hits: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+def spans(item: list[int], doc: list[int], runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(first, end, words of the item, edits) of spans that hold LEAST consecutive words of the item with one edit in PER_EDIT at most.
 
-    `hits` are (document position, item position) of unbroken phrases. A span begins and ends with a word of the item that is
-    there unchanged. Each unbroken run is extended both ways by as many edits as its length allows; the longest span counts.
+    `runs` are (diagonal, first, end in the item) of unbroken phrases, in order. A span begins and ends with a word of the item
+    that is there unchanged. Each run is extended both ways by as many edits as its length allows; the longest span counts.
     """
-    runs, last = [], None
-    for d, q in sorted((p - q, q) for p, q in hits):
-        if last is not None and last == (d, q - 1):
-            runs[-1][2] = q + PHRASE
-        else:
-            runs.append([d, q, q + PHRASE])
-        last = d, q
     found: list[tuple[int, int, int, int]] = []
     for d, q0, q1 in runs:
         if any(a <= q0 + d and q1 + d <= b for a, b, *_ in found):
@@ -200,11 +197,14 @@ def spans(item: list[int], doc: list[int], hits: list[tuple[int, int]]) -> list[
     return found
 
 
-def _closer(span: tuple[int, int, int, int, int], other: tuple[int, int, int, int, int]) -> bool:
-    """Whether the other item's span lies over most of this one and is the better likeness of the same words."""
-    k, a, b, n, e = span
-    j, c, d, m, f = other
-    return j != k and 2 * (min(b, d) - max(a, c)) > b - a and m - PER_EDIT * f > n - PER_EDIT * e
+def closest(item: np.ndarray, first: np.ndarray, end: np.ndarray, n: np.ndarray, edits: np.ndarray) -> np.ndarray:
+    """For the spans of one document: whether no other item's span lies over most of it and is the better likeness of the same words."""
+    likeness = n - PER_EDIT * edits
+    out = np.ones(len(item), bool)
+    for k in range(len(item)):
+        over = np.minimum(end, end[k]) - np.maximum(first, first[k])
+        out[k] = not ((2 * over > end[k] - first[k]) & (likeness > likeness[k]) & (item != item[k])).any()
+    return out
 
 
 class _Chunks(dict):
@@ -241,7 +241,9 @@ class Items:
             for q in range(len(ws) - PHRASE + 1):
                 where[tuple(ws[q : q + PHRASE])].append((k, q))
         self.phrases = np.array(list(where), np.int64).reshape(-1, PHRASE)
-        self.where = list(where.values())
+        # places (item, first word) of phrase i are those from begin[i] to begin[i + 1]
+        self.begin = np.concatenate(([0], np.cumsum([len(x) for x in where.values()]))).astype(np.int64)
+        self.places = np.array(list(chain.from_iterable(where.values())), np.int64).reshape(-1, 2)
 
     def numbers(self, text: str) -> list[int]:
         """0 for a word that no item has."""
@@ -297,37 +299,82 @@ class Shard:
         at = source[index.locate(rows)]
         doc = np.searchsorted(ends, at, side="right")
         first = np.concatenate(([0], ends[:-1]))
-        hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for ph, d, p in zip(np.repeat(some, n).tolist(), doc.tolist(), (at - first[doc]).tolist(), strict=True):
-            for k, q in self.items.where[ph]:
-                hits[d, k].append((p, q))
-        by_doc: dict[int, list[tuple[int, int, int, int, int]]] = defaultdict(list)
-        for (d, k), h in hits.items():
-            by_doc[d] += [(k, *span) for span in spans(self.items.texts[k], self.docs[d], h)]
-        for d, found in by_doc.items():
-            for k, a, b, n, e in found:
-                yield self.keys[d], self.items.ids[k], a, b, n, e, not any(_closer((k, a, b, n, e), x) for x in found)
+        order = np.argsort(doc, kind="stable")
+        phrase, doc, place = np.repeat(some, n)[order], doc[order], (at - first[doc])[order]
+        # whole documents at a time, as many as the places allow
+        size = np.cumsum(self.items.begin[phrase + 1] - self.items.begin[phrase])
+        lo = 0
+        while lo < len(doc):
+            hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + HELD_PLACES, side="right"))
+            hi = max(int(np.searchsorted(doc, doc[min(hi, len(doc) - 1)], side="left")) if hi < len(doc) else hi, int(np.searchsorted(doc, doc[lo], side="right")))
+            yield from self._spans(phrase[lo:hi], doc[lo:hi], place[lo:hi])
+            lo = hi
+
+    def _spans(self, phrase: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[tuple]:
+        """Spans of some documents from the places of phrases in them; each phrase stands for all its places in the items."""
+        it = self.items
+        n = it.begin[phrase + 1] - it.begin[phrase]
+        begin = np.concatenate(([0], np.cumsum(n)))
+        at = it.places[np.repeat(it.begin[phrase] - begin[:-1], n) + np.arange(begin[-1])]
+        doc, place, item, q = np.repeat(doc, n), np.repeat(place, n), at[:, 0], at[:, 1]
+        order = np.lexsort((q, place - q, item, doc))
+        doc, diagonal, item, q = doc[order], (place - q)[order], item[order], q[order]
+        pair = np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))
+        new = pair | np.concatenate(([True], (diagonal[1:] != diagonal[:-1]) | (q[1:] != q[:-1] + 1)))
+        starts = np.flatnonzero(new)
+        stops = np.concatenate((starts[1:], [len(q)]))
+        runs = list(zip(diagonal[starts].tolist(), q[starts].tolist(), (q[stops - 1] + PHRASE).tolist(), strict=True))
+        edge = [*np.flatnonzero(pair[starts]).tolist(), len(starts)]
+        found: list[tuple[int, int, int, int, int]] = []
+        last = -1
+        for i, j in zip(edge[:-1], edge[1:], strict=True):
+            d, k = int(doc[starts[i]]), int(item[starts[i]])
+            if d != last:
+                yield from self._told(last, found)
+                found, last = [], d
+            found += [(k, *span) for span in spans(it.texts[k], self.docs[d], runs[i:j])]
+        yield from self._told(last, found)
+
+    def _told(self, d: int, found: list[tuple[int, int, int, int, int]]) -> Iterator[tuple]:
+        if found:
+            for (k, *span), c in zip(found, closest(*np.array(found, np.int64).T).tolist(), strict=True):
+                yield self.keys[d], self.items.ids[k], *span, c
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """`key, item_key, first_word, end_word, item_words, edits, closest`: spans of words of each document that hold a passage of an item.
+    """Distinct `key, item_key, first_word, end_word, item_words, edits, closest`: spans of words of each document that hold a passage of an item.
 
     `closest` is false where another item is a better likeness of the same words: sentences of one build are within the
     allowed edits of each other, and only the item that the passage was taken from has leaked. Items that are equally
-    like it all count. Null, empty and short texts hold none; repeated documents give repeated spans. Items of fewer than
+    like it all count. Null, empty and short texts hold none; repeated documents count once. Items of fewer than
     twelve words can't leak.
     """
     size = items.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()[0]
-    if size > ITEM_CHARS:
-        parts = -(-size // ITEM_CHARS) * 2
-        out = None
-        for p in range(parts):
-            one = leaks(docs, items.where(F.pmod(F.xxhash64(item_key), F.lit(parts)) == p), key, text, item_key, item_text)
-            out = one if out is None else out.unionByName(one)
-        return out
-    rows = [(r[0], r[1]) for r in items.select(item_key, item_text).distinct().collect()]
+    if size <= ITEM_CHARS:
+        return _search(docs.select(docs[key].alias("_key"), docs[text].alias("text")), items.select(item_key, item_text), item_key).withColumnRenamed("_key", key).distinct()
+    parts = -(-size // ITEM_CHARS)
+    numbered = items.select(item_key, item_text, F.pmod(F.xxhash64(item_key, item_text), F.lit(parts)).alias("_part"))
+    # a document is its key and text: spans of all parts meet by a hash of both
+    plain = docs.select(F.struct(docs[key].alias("_key"), F.xxhash64(docs[key], docs[text]).alias("_hash")).alias("_key"), docs[text].alias("text"))
+    found = None
+    for p in range(parts):
+        one = _search(plain, numbered.where(F.col("_part") == p).select(item_key, item_text), item_key)
+        found = one if found is None else found.unionByName(one)
+    found = found.select("_key._key", "_key._hash", *found.columns[1:-1]).distinct()
+
+    def tell(pdf: pd.DataFrame) -> pd.DataFrame:
+        which = pd.factorize(pdf[item_key], use_na_sentinel=False)[0]
+        return pdf.drop(columns="_hash").assign(closest=closest(which, *[pdf[c].to_numpy() for c in ("first_word", "end_word", "item_words", "edits")]))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name != "_hash")
+    return found.groupBy("_hash").applyInPandas(tell, f"{kinds}, closest boolean").withColumnRenamed("_key", key).distinct()
+
+
+def _search(docs: DataFrame, items: DataFrame, item_key: str) -> DataFrame:
+    """Spans of `docs` (`_key`, text) for items that a worker can hold; `closest` is among these items."""
+    rows = [(r[0], r[1]) for r in items.distinct().collect()]
     shared = docs.sparkSession.sparkContext.broadcast(rows)
-    kinds = [docs.schema[key].dataType, items.schema[item_key].dataType]
+    kinds = [docs.schema["_key"].dataType, items.schema[item_key].dataType]
     item_type = to_arrow_type(kinds[1])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,8 +385,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         def out(s: Shard) -> Iterator[pa.RecordBatch]:
             found = list(s.leaks())
             if found:
-                ks, js, *ints, closest = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ks, types[0]), pa.array(js, item_type), *[pa.array(x, pa.int32()) for x in ints], pa.array(closest, pa.bool_())], names=[key, item_key, "first_word", "end_word", "item_words", "edits", "closest"])
+                ks, js, *ints, best = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ks, types[0]), pa.array(js, item_type), *[pa.array(x, pa.int32()) for x in ints], pa.array(best, pa.bool_())], names=["_key", item_key, "first_word", "end_word", "item_words", "edits", "closest"])
 
         for b in batches:
             types = [b.column(0).type]
@@ -350,7 +397,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                     shard = Shard(known)
         yield from out(shard)
 
-    return docs.select(docs[key], docs[text]).mapInArrow(search, f"`{key}` {kinds[0].simpleString()}, `{item_key}` {kinds[1].simpleString()}, first_word int, end_word int, item_words int, edits int, closest boolean")
+    return docs.mapInArrow(search, f"_key {kinds[0].simpleString()}, `{item_key}` {kinds[1].simpleString()}, first_word int, end_word int, item_words int, edits int, closest boolean")
 
 
 def leaked(docs: DataFrame, items: DataFrame, **names: str) -> DataFrame:

@@ -138,6 +138,22 @@ def test_leaks_and_near_leaks(spark):
     assert {r.doc_id for r in leak.removal_spans(docs, items).collect()} == set(cases)
 
 
+def test_items_in_parts_give_the_same(spark, monkeypatch):
+    ws = ITEM.split()
+    other = passage(ws, [(4, "change"), (15, "change")])
+    rows = [(1, ITEM), (2, passage(ws[:14], [(6, "drop")])), (3, other), (3, other), (None, ITEM), (None, other), (5, f"{ITEM} agus {other} " * 40), (6, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, ITEM), (8, other), (9, ITEM.upper()), (10, passage(ws, [(9, "add")])), (None, other), (11, "short"), (12, None)], "item_id long, text string")
+    whole = sorted(map(str, leak.leaks(docs, items).collect()))
+    assert len(whole) > 20 and any("closest=False" in r for r in whole)
+    monkeypatch.setattr(leak, "HELD_PLACES", 10)
+    assert sorted(map(str, leak.leaks(docs, items).collect())) == whole
+    for chars in (50, 300):
+        monkeypatch.setattr(leak, "ITEM_CHARS", chars)
+        assert sorted(map(str, leak.leaks(docs, items).collect())) == whole
+        assert leak.leaks(docs.limit(0), items).count() == 0
+
+
 def test_index_finds_every_phrase():
     import numpy as np
 
