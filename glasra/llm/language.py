@@ -11,6 +11,7 @@ some run of words favours another language by more than a change of language cos
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import unicodedata
@@ -30,6 +31,10 @@ from glasra.tables import lang_code, read, spread
 LANGS = ("ga", "en", "gd", "cy", "fr")
 #: Labelled texts of each language that the model is fitted on: a bounded sample, chosen by a hash of their key.
 SAMPLE = 150
+#: Characters that a text of the sample counts with at most; of a longer one, a stretch from a place told by its hash.
+SAMPLE_CHARS = 20_000
+#: Letters of a word that are parted into pieces at a time; longer words count in parts.
+PART = 40
 #: Words of the least stretch that counts as a language of its text.
 LEAST = 6
 #: Cost of a change of language, and the most that one word says for a language, in nats.
@@ -63,6 +68,11 @@ def parts(chunk: str) -> list[str] | None:
     return None if ws and _FOREIGN.search(chunk) else ws
 
 
+def in_parts(word: str) -> list[str]:
+    """A word in parts of at most PART letters; nearly all words are one."""
+    return [word[k : k + PART] for k in range(0, len(word), PART)] if len(word) > PART else [word]
+
+
 class Model:
     """Piece probabilities of each language. The last row is that of a letter without a piece, the one before it of no piece."""
 
@@ -70,6 +80,12 @@ class Model:
         self.pieces, self.table = pieces, table
         self.longest = max(map(len, pieces), default=1)
 
+    def digest(self) -> str:
+        """Name of this model by what it holds: workers keep what they learnt of a model under it."""
+        h = hashlib.sha256("\0".join(self.pieces).encode())
+        h.update(np.ascontiguousarray(self.table).tobytes())
+        return h.hexdigest()
+
     def lattices(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
         """Words by length: their places in the list, and rows [word, start, end] of the pieces they may be parted into."""
         none, letter, by = len(self.pieces), len(self.pieces) + 1, defaultdict(list)
@@ -101,8 +117,8 @@ class Model:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language, no further than CLIP below the best. Long words count in parts."""
-        cut = [w[k : k + 40] for w in words for k in range(0, max(1, len(w)), 40)]
-        owner = np.array([n for n, w in enumerate(words) for _ in range(0, max(1, len(w)), 40)], np.int64)
+        cut = [p for w in words for p in in_parts(w)]
+        owner = np.repeat(np.arange(len(words)), [max(1, -(-len(w) // PART)) for w in words])
         out = np.zeros((len(words), len(LANGS)))
         for ks, rows in self.lattices(cut):
             np.add.at(out, owner[ks], np.log(np.maximum(self.forward(rows)[:, -1], 1e-300)))
@@ -122,12 +138,13 @@ def vocabulary(path: str) -> dict[str, int]:
 
 def fit(counts: list[Counter], pieces: dict[str, int], rounds: int = ROUNDS) -> Model:
     """Piece probabilities from the words of each language, by expectation-maximisation. `counts` are parallel to LANGS."""
-    words = sorted({w[:40] for c in counts for w in c})
+    words = sorted({p for c in counts for w in c for p in in_parts(w)})
     place = {w: k for k, w in enumerate(words)}
     n = np.zeros((len(words), len(LANGS)))
     for lang, c in enumerate(counts):
         for w, k in c.items():
-            n[place[w[:40]], lang] += k
+            for p in in_parts(w):
+                n[place[p], lang] += k
     size = len(pieces)
     model = Model(pieces, np.full((size + 2, len(LANGS)), 1.0 / max(1, size)))
     model.table[size:] = [[0.0], [1e-7]]
@@ -284,7 +301,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     part = F.lit(0.0)
     for k, n in have.items():
         part = F.when(F.col("lang") == k, F.lit(min(1.0, 1.2 * sample / n))).otherwise(part)
-    rows = d.where((F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < part) & F.col("text").isNotNull()).select("lang", "text", "h").collect()
+    begin = F.lit(1) + F.pmod("h", F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int")
+    some = F.substring("text", begin, F.lit(SAMPLE_CHARS)).alias("text")
+    rows = d.where((F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < part) & F.col("text").isNotNull()).select("lang", some, "h").collect()
     by: dict[str, list] = defaultdict(list)
     for r in sorted(rows, key=lambda r: r.h):
         if len(by[r.lang]) < sample:
@@ -314,7 +333,7 @@ def _total(counts: list[Counter]) -> Counter:
     return out
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}
 
 
 def detect(texts: DataFrame, model: Model, want: str = "found") -> DataFrame:
@@ -325,7 +344,7 @@ def detect(texts: DataFrame, model: Model, want: str = "found") -> DataFrame:
     language of most words. stretches: `tab, row_id, lang, confidence, first_word, end_word`. Texts without words have no rows.
     """
     shared = texts.sparkSession.sparkContext.broadcast(model)
-    token = id(shared)
+    token = model.digest()
     plain = texts.select("tab", F.col("row_id").cast("long").alias("row_id"), lang_code(F.col("label")).alias("label"), "text")
     schema = {
         "found": "tab string, row_id bigint, lang string",
