@@ -1,12 +1,14 @@
 """Problem 3: defective answers of question-answer pairs, each with the first defect that applies.
 
 empty: no letter, digit or sign is left besides special tokens, punctuation and invisible characters.
-refusal: a phrase of the refusal dictionaries, all in the first person; a report of somebody else's refusal has none.
+refusal: a phrase of the refusal dictionaries, all in the first person and outside of quoted speech; a report of somebody else's
+refusal has none.
 copied: compressed with the question as its zstandard dictionary the answer takes hardly a byte, and the question likewise
 with the answer as dictionary; the words then have to be those of the question.
 other_language: the pieces of the language model speak against the question's language, names left out.
-truncated: the last word is a known word's beginning, or one after which no sentence ends. Terminal contexts are counted over
-all distinct questions and answers of the table, and an answer's own end doesn't speak for itself.
+truncated: the last word is a known word's beginning, or one after which no sentence ends. The terminal-context model has how often
+each word, and each pair of words, ends a sentence of all distinct questions and answers of the table; an answer's own end doesn't
+speak for itself. A dictionary of function words is its prior where the counts are few.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +33,7 @@ from glasra.tables import read, spread
 REFUSALS = {
     "en": r"\bi(?:['’]m| am)(?: sorry,? but i(?:['’]m| am))? (?:not able|unable|not (?:permitted|allowed|comfortable|in a position|sure))\b|\bi (?:can(?:['’]?t|not| not)|could(?:n['’]?t| not)|won['’]?t|will not|wouldn['’]?t|would not|(?:do not|don['’]?t) (?:have|know|feel|think i)|(?:must|have to|shall|will) (?:decline|refuse)|decline|refuse|lack|have no)\b|\bi(?:['’]d| would) (?:rather|prefer) not\b|\b(?:not be|isn['’]t|is not|wouldn['’]t be) (?:appropriate|possible|right) for me\b|\bno way for me\b|\bas an? (?:ai|assistant|language model|artificial)\b|\bbeyond (?:my|what i)\b|\bunable to (?:answer|help|assist|respond|comply|listen)\b.*\b(?:i|me|my)\b",
     "ga": r"\bní (?:féidir|thig|bheidh mé in ann|mian|maith) liom\b|\bní féidir liom\b|\bníl(?:im| mé) (?:in ann|ábalta|cinnte|sásta|in acmhainn)\b|\bníl (?:\w+ ){0,4}(?:agam|orm|dom)\b|\bní (?:leor|fios|eol|heol) (?:\S+ ){0,4}(?:agam|dom)\b|\bt(?:áim|á mé) gan (?:chead|eolas|rochtain)\b|\bb['’]fhearr liom gan\b|\bb['’]fhearr dom gan\b|\bdiúltaím\b|\bcaithfidh mé (?:diúltú|é a dhiúltú)\b|\bní mór dom diúltú\b|\bmar (?:mhúnla|mhúnlá) teanga\b|\bmar (?:chúntóir|inneall|ais)\b.{0,20}\b(?:ní|níl)|\bní bheadh sé (?:cuí|ceart|oiriúnach) dom\b|\bní thabharfaidh mé\b|\bní fhreagróidh mé\b|\bníl a fhios agam\b",
-    "gd": r"\bchan urrainn (?:dhomh|dhuinn)\b|\bchan eil (?:fhios|fios|comas|cead|mi comasach)\b.{0,12}\b(?:agam|orm)?|\bb['’]fheàrr leam gun\b",
+    "gd": r"\bchan urrainn (?:dhomh|dhuinn)\b|\bchan eil (?:fhios|fios|comas|cead)\b.{0,12}\b(?:agam|orm)\b|\bchan eil mi (?:comasach|cinnteach)\b|\bb['’]fheàrr leam gun\b",
     "cy": r"\b(?:ni|alla i|allaf) (?:allaf|ddim|i ddim)\b|\b(?:dydw|dw) i ddim yn (?:gallu|gwybod)\b|\bmae(?:['’]n| yn) ddrwg gen i\b|\bbyddai['’]n well gen i beidio\b",
     "fr": r"\bje (?:ne|n['’]) ?(?:peux|puis|suis pas|sais|dispose|souhaite|ai pas)\b|\bje (?:préfère|refuse|dois refuser|dois décliner)\b|\ben tant que (?:modèle|qu['’]assistant|assistant)\b|\bil m['’]est impossible\b",
 }
@@ -45,7 +48,8 @@ _SPECIAL = re.compile(r"<\|[^|>]{0,40}\|>|</?s>|<(?:unk|pad|eos|bos|mask)>|\[(?:
 _LABEL = re.compile(r"^\s*(?:(?:ceist|freagra|question|answer|q|a|c|f)\s*[:.]\s*)+|\s*\b(?:freagra|answer)\s*:?\s*$|\s+[fa]\.\s*$", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+")
 _NAME = re.compile(r"(?:(?<=[^\s.!?“”\"] )|(?<=^))(?:[A-ZÁÉÍÓÚ][\w’'-]*)(?: (?:[A-ZÁÉÍÓÚ][\w’'-]*|de|Mac|Giolla))*")
-_CODER: dict[bytes, zstandard.ZstdCompressor] = {}
+# Speech of others: between quotation marks, or after a verb of saying and a colon. The verbs.
+_QUOTED = re.compile(r"“[^“”]*”|\"[^\"]*\"|«[^«»]*»|‘(?:[^‘’]|’(?=\w))*’(?!\w)|\b(?:said|says|replied|answered|wrote|dúirt|deir|arsa|d['’]fhreagair|thuirt|meddai|dywedodd|dit|répond)\b[^.!?:\n]{0,60}:[^.!?\n]*")
 #: Bytes beyond a pure copy, and the share of words, that a copied answer may differ by.
 COPY_BYTES, COPY_SHARE = 12, 0.8
 #: What other_language needs against the question's language, in nats.
@@ -56,8 +60,14 @@ OFTEN, SELDOM = 200, 0.01
 FRAGMENT, WHOLE = 0.02, 0.001
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 500_000
-#: Words whose beginnings are looked for; what is longer is no word.
-LONGEST_WORD = 60
+#: A mark ends this share of what it ends by chance after a word that leaves a sentence open; more if the dictionary has the word.
+LOW, LOW_KNOWN = 0.1, 0.6
+#: Sentences that two words have to end, and their share of all that end in the second one, to be an end in spite of it.
+PAIRED, PAIRED_SHARE = 3, 0.2
+#: Beginnings of words up to this length are told letter by letter; longer ones by a running hash of them.
+SPELT = 60
+#: Questions whose scores a worker remembers.
+ASKED = 50_000
 
 
 def is_empty(answer: str | None) -> bool:
@@ -83,6 +93,14 @@ def _extra(text: str, dictionary: str) -> int:
     return len(c.compress(text.encode())) - len(c.compress(dictionary.encode()))
 
 
+def is_refusal(answer: str) -> bool:
+    """Whether the answerer declines in words of their own; an answer that is all one quotation is their own too."""
+    if not _REFUSAL.search(answer):
+        return False
+    rest = _QUOTED.sub(" ", answer)
+    return len(_WORD.findall(rest)) < 2 or _REFUSAL.search(rest) is not None
+
+
 def is_copied(question: str | None, answer: str) -> bool:
     """All or nearly all of the question, in any case, spacing, punctuation or accents, perhaps twice or labelled, and no answer."""
     q = _fold(question or "")
@@ -91,7 +109,7 @@ def is_copied(question: str | None, answer: str) -> bool:
     a = _fold(_LABEL.sub(" ", " ".join(answer.split())))
     if not a or len(a) < COPY_SHARE * len(q):
         return False
-    if len(q) > 24 and (_extra(a, q) > COPY_BYTES or _extra(q, a) > COPY_BYTES + (1 - COPY_SHARE) * len(q)):
+    if _extra(a, q) > COPY_BYTES or _extra(q, a) > COPY_BYTES + (1 - COPY_SHARE) * len(q):
         return False
     qs, left = q.split(), Counter(q.split())
     fresh, both = 0, 0
@@ -110,6 +128,7 @@ class Judge:
     def __init__(self, model: Model, prior: np.ndarray | None = None):
         self.scorer = Scorer(model)
         self.prior = np.zeros(len(LANGS)) if prior is None else prior
+        self.asked: dict[str, tuple[np.ndarray, int]] = {}
 
     def _sum(self, text: str) -> tuple[np.ndarray, int]:
         chunks = text.split()
@@ -125,7 +144,14 @@ class Judge:
 
     def language(self, question: str | None) -> int | None:
         """Language of a question: its words, names left out, and how common each language is among the table's questions."""
-        q, n = self._nameless(question or "")
+        held = self.asked.get(question or "")
+        if held is None:
+            held = self._nameless(question or "")
+            if len(self.asked) >= ASKED:
+                self.asked.clear()
+            if len(question or "") <= 1000:
+                self.asked[question or ""] = held
+        q, n = held
         return int((q + self.prior).argmax()) if n >= 2 else None
 
     def other_language(self, question: str | None, answer: str) -> bool:
@@ -140,7 +166,7 @@ class Judge:
             return "empty"
         if len(self.scorer.rows) > 300_000:
             self.scorer.forget()
-        if _REFUSAL.search(answer):
+        if is_refusal(answer):
             return "refusal"
         if is_copied(question, answer):
             return "copied"
@@ -149,31 +175,58 @@ class Judge:
         return None
 
 
-_END = re.compile(r"[.!?][\s\"'”’)\]»]*$")
-_TAIL = re.compile(r"([^\W_]+(?:['’][^\W_]+)*)([^\w]*)$")
+_CLOSING = " \t\r\n\f\v\"'”’)]»"
+_WORDS = re.compile(r"([^\W_]+(?:['’][^\W_]+)*)([.!?]+[\"'”’)\]»]*(?!\S))?")
+
+
+def _is_letter(s: str, i: int) -> bool:
+    return 0 <= i < len(s) and s[i].isalnum()
+
 
+def last_word(answer: str) -> tuple[str, str, str] | None:
+    """(word, what follows it, word before) of an answer that doesn't end like a sentence; None if it does. Ellipses don't end one.
 
-def last_word(answer: str) -> tuple[str, str] | None:
-    """(word, what follows it) of an answer that doesn't end like a sentence; None if it does. Ellipses don't end one."""
+    Looked for from the end, so a long answer costs no more than a short one.
+    """
     s = _SPECIAL.sub(" ", answer).rstrip()
-    if len(s) > 400:  # how it ends shows in its end; patterns tied to the end are slow on long runs
-        s = " " + s[-400:]
-    s = re.sub(r"(?:…|\.{2,})[\s\"'”’)\]»]*$", "…", s)
-    if _END.search(s):
+    end = s.rstrip(_CLOSING)
+    if end.endswith(("…", "..")):
+        s = end.rstrip(".…") + "…"
+    elif end.endswith((".", "!", "?")):
+        return None
+    j = len(s)
+    while j and not (_is_letter(s, j - 1) or s[j - 1] == "_"):
+        j -= 1
+    if not j or s[j - 1] == "_":
         return None
-    m = _TAIL.search(s)
-    if m and not m.group(2).strip() and not re.search(r"\s", s.strip()) and len(s) < 400:
+    i = _word_start(s, j)
+    tail = s[j:].strip()
+    if not tail and not re.search(r"\s", s.strip()):
         return None  # an answer of one word is whole
-    return (m.group(1).lower(), m.group(2).strip()) if m else None
+    k = i
+    while k and not _is_letter(s, k - 1):
+        k -= 1
+    return s[i:j].lower(), tail, s[_word_start(s, k) : k].lower()
+
 
+def _word_start(s: str, j: int) -> int:
+    i = j
+    while i and (_is_letter(s, i - 1) or s[i - 1] in "'’" and i < j and _is_letter(s, i) and _is_letter(s, i - 2)):
+        i -= 1
+    return i
 
-def words_and_ends(text: str) -> tuple[list[str], int]:
-    """Words of a text, lower case, and how many of them are known to be whole: the last is not, unless a mark follows it."""
-    ws = [w.lower() for w in re.findall(r"[^\W_]+(?:['’][^\W_]+)*", _SPECIAL.sub(" ", text))]
-    return ws, len(ws) if _END.search(text) else max(0, len(ws) - 1)
 
+def words_and_ends(text: str) -> tuple[list[str], int, list[int]]:
+    """Words of a text, lower case, how many of them are known to be whole (the last is not, unless a mark follows it), and places of those before a mark."""
+    ws, marked = [], []
+    for m in _WORDS.finditer(_SPECIAL.sub(" ", text)):
+        if m.group(2):
+            marked.append(len(ws))
+        ws.append(m.group(1).lower())
+    return ws, len(ws) if text.rstrip(_CLOSING).endswith((".", "!", "?")) else max(0, len(ws) - 1), marked
 
-_JUDGES: dict[int, Judge] = {}
+
+_JUDGES: dict[str, Judge] = {}
 
 
 def pair_defects(pairs: DataFrame, model: Model, key: str = "packet_id", question: str = "question", answers: dict[str, str] | None = None) -> DataFrame:
@@ -186,8 +239,9 @@ def pair_defects(pairs: DataFrame, model: Model, key: str = "packet_id", questio
     kind = pairs.schema[key].dataType.simpleString()
     flat = pairs.select(key, F.col(question).alias("question"), *[F.col(c).alias(k) for k, c in answers.items()])
     names = list(answers)
+    counts = ["n", "n_mark", "n_end", "n_given"]
     shared = pairs.sparkSession.sparkContext.broadcast(model)
-    token = id(shared)
+    token = model.digest()
 
     def mine(prior: np.ndarray | None) -> Judge:
         j = _JUDGES.get(token)
@@ -211,7 +265,7 @@ def pair_defects(pairs: DataFrame, model: Model, key: str = "packet_id", questio
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         j = mine(common)
-        columns = [key, "condition", "defect", "word", "tail", "answer"]
+        columns = [key, "condition", "defect", "word", "tail", "before", "answer"]
         for b in batches:
             qs = b.column(1).to_pylist()
             at: list[int] = []
@@ -221,58 +275,94 @@ def pair_defects(pairs: DataFrame, model: Model, key: str = "packet_id", questio
                     d = j.defect(q, a)
                     if d:
                         at.append(k)
-                        rows.append((name, d, None, None, a))
+                        rows.append((name, d, None, None, None, a))
                     elif (w := last_word(a)) is not None:
                         at.append(k)
                         rows.append((name, None, *w, None))
             if at:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *[pa.array([r[c] for r in rows], pa.string()) for c in range(5)]], names=columns)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *[pa.array([r[c] for r in rows], pa.string()) for c in range(6)]], names=columns)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole: Counter[str] = Counter()
-        ends: Counter[str] = Counter()
-        given: Counter[str] = Counter()
+        held: list[Counter[str]] = [Counter() for _ in range(4)]
+        whole, marks, ends, given = held
         for b in batches:
             for t, answer, asked in zip(*[b.column(c).to_pylist() for c in range(3)], strict=True):
-                ws, n = words_and_ends(t)
+                ws, n, marked = words_and_ends(t)
                 whole.update(ws[:n])
+                for i in marked:
+                    marks[ws[i]] += 1
+                    if i:
+                        marks[f"{ws[i - 1]} {ws[i]}"] += 1
                 if ws and answer:
                     ends[ws[-1]] += 1
                     given[ws[-1]] += asked
-            if len(whole) > HELD_WORDS:
-                yield counted(whole, ends, given)
-                whole.clear()
-                ends.clear()
-                given.clear()
-        if whole or ends:
-            yield counted(whole, ends, given)
-
-    def counted(whole: Counter, ends: Counter, given: Counter) -> pa.RecordBatch:
-        ws = list(whole | ends)
-        return pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), *[pa.array([c[w] for w in ws], pa.int64()) for c in (whole, ends, given)]], names=["word", "n", "n_end", "n_given"])
-
-    passed = checkpointed(flat.mapInArrow(judge, f"`{key}` {kind}, condition string, defect string, word string, tail string, answer string"))
+            if len(whole) + len(marks) > HELD_WORDS:
+                yield counted(held)
+                for c in held:
+                    c.clear()
+        if any(held):
+            yield counted(held)
+
+    def counted(held: list[Counter]) -> pa.RecordBatch:
+        ws = list(set().union(*held))
+        return pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), *[pa.array([c[w] for w in ws], pa.int64()) for c in held]], names=["word", *counts])
+
+    def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a running hash of each word beyond SPELT letters: linear in its length
+        for b in batches:
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h = xxhash.xxh3_128(w[:SPELT].encode())
+                made = []
+                for ch in w[SPELT : -1 if n is not None else None]:
+                    h.update(ch.encode())
+                    made.append(h.hexdigest())
+                if n is None:
+                    made = made[-1:]
+                for k in range(0, len(made), 10_000):
+                    part = made[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([w if n is None else None] * len(part), pa.string()), pa.array(part, pa.string()), pa.array([n] * len(part), pa.int64())], names=["word", "beginning", "n"])
+
+    passed = checkpointed(flat.mapInArrow(judge, f"`{key}` {kind}, condition string, defect string, word string, tail string, before string, answer string"))
     judged = passed.drop("answer").distinct()
     # words of each question once, and of each answer without a defect so far once, with the number of questions it is given to
     each = [F.struct(F.col(c).alias("text"), F.lit(c != "question").alias("is_answer"), F.xxhash64("question").alias("asked"), F.lit(False).alias("bad")) for c in ("question", *names)]
     defective = passed.where("answer is not null").select(F.col("answer").alias("text"), F.lit(True).alias("is_answer"), F.lit(None).cast("long").alias("asked"), F.lit(True).alias("bad"))
     texts = flat.select(F.inline(F.array(*each))).where("text is not null").unionByName(defective)
     sound = texts.groupBy("text", "is_answer").agg(F.max("bad").alias("bad"), F.count_distinct("asked").alias("asked")).where("not bad").select("text", "is_answer", "asked")
-    words = checkpointed(sound.mapInArrow(count, "word string, n bigint, n_end bigint, n_given bigint").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "n_end", "n_given")]))
-    lasts = judged.where("word is not null").select("word").distinct()
-    starts = words.where((F.col("n") > 0) & F.length("word").between(2, LONGEST_WORD)).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("word"), "n").where("word <> ''").groupBy("word").agg(F.sum("n").alias("begins"))
-    seen = lasts.join(words, "word", "left").join(starts, "word", "left")
+    words = checkpointed(sound.mapInArrow(count, "word string, " + ", ".join(f"{c} bigint" for c in counts)).groupBy("word").agg(*[F.sum(c).alias(c) for c in counts]))
+    single = words.where(~F.contains("word", F.lit(" ")))
+    total = single.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_mark"), F.lit(0)).alias("m")).first()
+    chance = total.m / max(1, total.n)  # a word before a mark
+    lasts = judged.where("word is not null").select("word", "before").distinct()
+    last = lasts.select("word").distinct()
+    whole = single.where("n > 0").select("word", "n")
+    upto = F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(SPELT)))
+    starts = whole.where(F.length("word") >= 2).select(F.explode(F.transform(upto, lambda i: F.substring("word", F.lit(1), i))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("begins"))
+    hashed = "word string, beginning string, n bigint"
+    far = whole.where(F.length("word") > SPELT + 1).mapInArrow(beginnings, hashed).groupBy("beginning").agg(F.sum("n").alias("begins"))
+    long = last.where(F.length("word") > SPELT).select("word", F.lit(None).cast("long").alias("n")).mapInArrow(beginnings, hashed).join(far, "beginning").select("word", "begins")
+    seen = last.join(single, "word", "left").join(starts.where(F.length("word") <= SPELT).unionByName(long), "word", "left")
     # the answer that is judged is one of those that end so; after open words any number of questions don't speak for it, while
     # for other words ends are all there is to go by, and a stock answer to several questions is an end each time
-    n, begins = F.coalesce("n", F.lit(0)), F.coalesce("begins", F.lit(0))
+    n, begins, mark = F.coalesce("n", F.lit(0)), F.coalesce("begins", F.lit(0)), F.coalesce("n_mark", F.lit(0))
     end, given = (F.greatest(F.coalesce(c, F.lit(0)) - 1, F.lit(0)) for c in ("n_end", "n_given"))
     # a fragment ends few answers beside the words that it may be of; a word of its own, as one that is also a beginning, more
     cut = (begins > 0) & (n <= WHOLE * begins) & ((given <= 1) | (given < FRAGMENT * begins))
-    held = F.col("word").isin(*sorted(OPEN_WORDS)) & ((n < 20) | (end < 0.05 * n)) | (n >= OFTEN) & (given < SELDOM * n)
-    open_words = seen.where(cut | held).select("word", F.lit(True).alias("open"))
+    known = F.col("word").isin(*sorted(OPEN_WORDS)) & ((n < 20) | (end < 0.05 * n)) & (mark <= LOW_KNOWN * chance * F.greatest(n, F.lit(20)))
+    # words that the dictionary lacks: often within sentences, hardly ever at the end of one or of an answer
+    learnt = (n >= OFTEN) & (mark < LOW * chance * n) & (given < SELDOM * n)
+    told = seen.where(cut | known | learnt).select("word", cut.alias("is_cut"), mark.alias("mark"))
+    paired = words.where(F.contains("word", F.lit(" "))).select(F.col("word").alias("both"), F.col("n_mark").alias("pair_mark"))
+    broken_ends = (
+        lasts.join(told, "word")
+        .withColumn("both", F.concat_ws(" ", "before", "word"))
+        .join(paired, "both", "left")
+        .where(F.col("is_cut") | ~F.coalesce((F.col("pair_mark") >= PAIRED) & (F.col("pair_mark") >= PAIRED_SHARE * F.col("mark")), F.lit(False)))
+        .select("word", F.col("before").alias("_before"), F.lit(True).alias("open"))
+    )
     broken = F.coalesce("open", F.lit(False)) | F.col("tail").rlike(r"^[-‐‑,;:(–—]$")
     return (
-        judged.join(open_words, "word", "left")
+        judged.join(broken_ends, (judged["word"] == broken_ends["word"]) & judged["before"].eqNullSafe(broken_ends["_before"]), "left")
         .withColumn("defect", F.coalesce("defect", F.when(broken, "truncated")))
         .where("defect is not null")
         .select(key, "condition", "defect")

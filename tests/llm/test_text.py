@@ -270,6 +270,49 @@ def test_truncated_answers_that_are_held_by_many(spark, model):
     assert got == {(i, "just_audio", "truncated") for i in range(60, 120)}
 
 
+def test_refusals_are_of_the_answerer():
+    for t in ("I cannot answer that.", "“I cannot answer that.”", "Ní féidir liom é a rá", "Chan eil fhios agam", "He said: yes. But I can't answer that", "It's that I don't know"):
+        assert pairs.is_refusal(t), t
+    for t in ("Chan eil fhios aig an tidsear", "The teacher said “I do not know” and left", 'Dúirt an múinteoir "ní féidir liom" leis', "The mayor said: I cannot answer that", "He says ‘I don’t know’ each time", "An fhéile"):
+        assert not pairs.is_refusal(t), t
+
+
+def test_copies_of_questions_of_any_length():
+    for q in ("Cé?", "Cén lá?", "Cén fáth a bhfuil sé?", "Cén fáth ar thacaigh an múinteoir leis an fhéile in Baile Mór?" * 3):
+        for a in (q, q.upper(), q + " " + q, "Freagra: " + q, q.replace("é", "e")):
+            assert pairs.is_copied(q, a), (q, a)
+        assert not pairs.is_copied(q, "Seacht") and not pairs.is_copied(q, q + " Bhí na daltaí sásta leis an bhfreagra sin go léir") and not pairs.is_copied(None, q)
+
+
+def test_ends_of_answers_of_any_length():
+    pad = "focal " * 300
+    for t, want in {"Thacaigh sé leis an": ("an", "", "leis"), "sé leis an fhé-": ("fhé", "-", "an"), "tá an t’athair": ("t’athair", "", "an"), "Bhí agus…": ("agus", "…", "bhí"), "a b... ”": ("b", "…", "a"), "deireadh.": None, "deireadh!”": None, "a_": None, "…": None, "": None}.items():
+        assert pairs.last_word(t) == want, t
+        if want and want[2]:
+            assert pairs.last_word(pad + t) == want
+    for n in (10, 399, 400, 5000):
+        assert pairs.last_word("x" * n) is None and pairs.last_word("a " + "x" * n) == ("x" * n, "", "a")
+
+
+def test_long_words_have_beginnings(spark, model):
+    for size in (58, 62, 300):
+        word = "".join(random.Random(size).choice("aeiouctdls") for _ in range(size))
+        rows = [(k, "Cad é an focal fada atá anseo againn?", (f"Is é {word} an focal fada {k}. Seo é {word}.", "Seacht")) for k in range(1200)]
+        rows += [(5000, "Cad é an focal fada atá anseo againn?", (f"Is é {word[:-2]}", f"Is é {word}")), (5001, "Cad é?", (f"Is é {word[:-2]}x", "Seacht"))]
+        df = spark.createDataFrame(rows, "packet_id long, question string, answers struct<just_audio:string,no_context:string>")
+        assert set(map(tuple, pairs.pair_defects(df, model).collect())) == {(5000, "just_audio", "truncated")}
+
+
+def test_workers_keep_models_apart(spark, model):
+    rows = [(k, f"{TEXTS[lang]} {k}", lang) for k, lang in enumerate(["ga", "en"] * 60)]
+    swapped = language.train(spark.createDataFrame([(k, t, {"ga": "en", "en": "ga"}[lang]) for k, t, lang in rows], "doc_id long, text string, lang string"))
+    df = spark.createDataFrame([("t", k, None, TEXTS[lang]) for k, lang in enumerate(["ga", "en"] * 10)], "tab string, row_id long, label string, text string")
+    for _ in range(3):
+        assert {(r.row_id % 2, r.lang) for r in language.detect(df, model).collect()} == {(0, "ga"), (1, "en")}
+        assert {(r.row_id % 2, r.lang) for r in language.detect(df, swapped).collect()} == {(0, "en"), (1, "ga")}
+    assert model.digest() != swapped.digest()
+
+
 def test_very_long_texts(spark, model):
     import time
 
