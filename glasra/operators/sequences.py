@@ -9,11 +9,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glasra.session import checkpointed
+
 #: Ids: text vocabulary, then units, then three sentinels.
 TEXT_IDS, UNIT_IDS = 151936, 1000
 SPEECH_START, SPEECH_END = TEXT_IDS + UNIT_IDS, TEXT_IDS + UNIT_IDS + 1
 
 
+#: Hashes of repeated keys that may be broadcast, 8 bytes each; more are met by shuffle.
+REPEATED_KEYS = 1_000_000
+
+
+def one_of_each(df: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+    """Rows of `df`, one of each value of `keys` (any of them); null is a value.
+
+    Where few keys repeat, only the rows that hold them are shuffled, not all with their long columns: hashes of keys are counted
+    first, and rows whose hash doesn't come twice pass as they are.
+    """
+    h = F.xxhash64(*keys).alias("_hash_of_keys")
+    again = checkpointed(df.select(h).groupBy("_hash_of_keys").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash_of_keys"))
+    n = again.count()
+    if n > (REPEATED_KEYS if limit is None else limit):
+        return df.dropDuplicates(keys)
+    d = df.withColumn("_hash_of_keys", h)
+    once = d.join(F.broadcast(again), "_hash_of_keys", "left_anti").drop("_hash_of_keys")  # at most REPEATED_KEYS longs
+    more = d.join(F.broadcast(again), "_hash_of_keys", "left_semi").drop("_hash_of_keys")
+    return once.unionByName(more.dropDuplicates(keys)) if n else df
+
+
 def deduped(units: Column) -> Column:
     """Consecutive repeats taken once."""
     return F.filter(units, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(units, i - 1)))

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glasra.functions.text import basename, stem, words
-from glasra.operators import sampling as S
 from glasra.operators import sequences as Q
 from glasra.plans.corpus import query
 from glasra.tables import read
@@ -17,7 +15,12 @@ def _m(spark, d):
 
 
 def _u(spark, d):
-    return read(spark, d, "cluas_units").dropDuplicates(["key"])
+    return Q.one_of_each(read(spark, d, "cluas_units"), ["key"])
+
+
+def sequences(spark, d):
+    """Sequences that aren't empty, one of each key."""
+    return Q.one_of_each(read(spark, d, "cluas_units").where(F.size("units") > 0), ["key"])
 
 
 @query("SELECT audio, duration_s FROM aligned_setup WHERE duration_s > 0 AND duration_s <= 12 AND text IS NOT NULL AND text <> ''")
@@ -68,7 +71,7 @@ def duration_stats(spark, d):
 SELECT sum(len(units))::BIGINT AS tokens, round(sum(duration_s::DOUBLE), 3) AS seconds, round(sum(len(units)) / (sum(duration_s::DOUBLE) / 3600), 3) AS tokens_per_hour
 FROM (SELECT DISTINCT ON (key) * FROM cluas_units WHERE len(units) > 0)""")
 def audio_rates(spark, d):
-    u = read(spark, d, "cluas_units").where(F.size("units") > 0).dropDuplicates(["key"])
+    u = sequences(spark, d)
     s = F.col("duration_s").cast("double")
     return u.agg(F.sum(F.size("units").cast("long")).alias("tokens"), F.round(F.sum(s), 3).alias("seconds"), F.round(F.sum(F.size("units")) / (F.sum(s) / 3600), 3).alias("tokens_per_hour"))
 
@@ -110,7 +113,7 @@ l AS (SELECT *, lag(u) OVER (PARTITION BY key ORDER BY i) AS p FROM e)
 SELECT key, count(*)::INT AS n_stored, sum(CASE WHEN i = 1 OR u IS DISTINCT FROM p THEN 1 ELSE 0 END)::INT AS n_runs FROM l GROUP BY key""")
 def run_length_dedup(spark, d):
     """Repeats taken once, inside the array: no explode, no shuffle for it."""
-    u = read(spark, d, "cluas_units").where(F.size("units") > 0).dropDuplicates(["key"])
+    u = sequences(spark, d)
     return u.select("key", F.size("units").alias("n_stored"), F.size(Q.deduped(F.col("units"))).alias("n_runs"))
 
 
@@ -134,7 +137,7 @@ def retention(spark, d):
 @query("""
 SELECT key, len(units) + 2 AS n_ids, coalesce(units[1], 0) + 151936 AS first_id, 152936 AS start_id, 152937 AS end_id FROM (SELECT DISTINCT ON (key) * FROM cluas_units WHERE len(units) > 0)""")
 def speech_spans(spark, d):
-    u = read(spark, d, "cluas_units").where(F.size("units") > 0).dropDuplicates(["key"]).select("key", Q.speech_span(F.col("units")).alias("s"))
+    u = sequences(spark, d).select("key", Q.speech_span(F.col("units")).alias("s"))
     return u.select("key", F.size("s").cast("long").alias("n_ids"), F.element_at("s", 2).alias("first_id"), F.element_at("s", 1).alias("start_id"), F.element_at("s", -1).alias("end_id"))
 
 
@@ -143,14 +146,14 @@ WITH u AS (SELECT DISTINCT ON (key) key, units FROM cluas_units WHERE len(units)
 SELECT key, (s // 1024)::INT AS chunk, s::INT AS start, least(1024, len(units) - s)::INT AS size, units[s + 1] AS first FROM u, unnest(range(0, len(units), 1024)) AS r(s)""")
 def fixed_chunks(spark, d):
     """Windows of 1,024 units."""
-    u = read(spark, d, "cluas_units").where(F.size("units") > 0).dropDuplicates(["key"])
+    u = sequences(spark, d)
     return Q.chunks(u, "units", 1024, ["key"]).select("key", "chunk", "start", F.size("part").alias("size"), F.get("part", F.lit(0)).alias("first"))
 
 
 @query("SELECT DISTINCT ON (key) key, len(units) AS n, md5(array_to_string(units, ',')) AS digest FROM cluas_units WHERE len(units) > 0")
 def reassembled_chunks(spark, d):
     """Chunks put together again are what they were."""
-    u = read(spark, d, "cluas_units").where(F.size("units") > 0).dropDuplicates(["key"])
+    u = sequences(spark, d)
     r = Q.reassembled(Q.chunks(u, "units", 500, ["key"]), "key")
     return r.select("key", F.size("items").cast("long").alias("n"), F.md5(F.array_join("items", ",")).alias("digest"))
 
@@ -160,7 +163,7 @@ WITH u AS (SELECT DISTINCT ON (key) key, len(units) AS n FROM cluas_units WHERE
 SELECT key, (s // 1450)::INT AS win, s::INT AS start, least(s + 1500, n)::INT AS stop FROM u, unnest(range(0, n, 1450)) AS r(s) WHERE s = 0 OR n - s >= 50""")
 def sliding_windows(spark, d):
     """Windows of 30 s every 29 s at 50 units a second; slivers within the overlap dropped."""
-    u = read(spark, d, "cluas_units").where(F.size("units") > 0).dropDuplicates(["key"]).select("key", F.size("units").alias("n"))
+    u = sequences(spark, d).select("key", F.size("units").alias("n"))
     return Q.sliding(u, "n", 1500, 1450, ["key"]).withColumnRenamed("window", "win")
 
 
@@ -169,7 +172,7 @@ SELECT key, coalesce(array_length(list_filter(units, lambda u: u < 0 OR u >= 100
 WHERE n_out > 0 OR size_differs""")
 def unit_violations(spark, d):
     """Sequences with ids out of range or a stored size that isn't theirs."""
-    u = read(spark, d, "cluas_units").where(F.size("units") > 0).dropDuplicates(["key"])
+    u = sequences(spark, d)
     out = u.select("key", F.size(F.filter("units", lambda x: (x < 0) | (x >= Q.UNIT_IDS))).alias("n_out"), (~F.col("n_dedup").eqNullSafe(F.size("units"))).alias("size_differs"))
     return out.where("n_out > 0 or size_differs")
 
@@ -209,7 +212,7 @@ p AS (SELECT key, part, count(*) AS n FROM s WHERE u <> 530 OR u IS NULL GROUP B
 SELECT key, count(*)::INT AS n_parts, max(n)::INT AS longest FROM p GROUP BY key""")
 def split_on_separator(spark, d):
     """Streams cut at a separator id, empty parts dropped."""
-    u = read(spark, d, "cluas_units").where(F.size("units") > 0).dropDuplicates(["key"])
+    u = sequences(spark, d)
     p = u.select("key", Q.split_on(F.col("units"), 530).alias("parts"))
     return p.where(F.size("parts") > 0).select("key", F.size("parts").alias("n_parts"), F.array_max(F.transform("parts", lambda x: F.size(x))).alias("longest"))
 
@@ -219,7 +222,7 @@ WITH u AS (SELECT DISTINCT ON (key) key, units, ('0x' || substr(md5(key), 1, 6))
 SELECT batch, count(*) AS n, (max(len(units)) * count(*))::BIGINT AS n_cells, sum(len(units))::BIGINT AS n_real FROM u GROUP BY batch""")
 def padded_batches(spark, d):
     """Ragged members filled up to their batch's longest."""
-    u = read(spark, d, "cluas_units").where(F.size("units") > 0).dropDuplicates(["key"])
+    u = sequences(spark, d)
     u = u.select("key", "units", F.pmod(F.conv(F.substring(F.md5("key"), 1, 6), 16, 10).cast("long"), F.lit(40)).alias("batch"))
     p = Q.padded(u, "units", "batch")
     return p.groupBy("batch").agg(F.count("*").alias("n"), F.sum(F.size("units").cast("long")).alias("n_cells"), F.sum(F.aggregate("mask", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n_real"))
@@ -254,5 +257,3 @@ def duplicate_keys(spark, d):
 
     return duplicates(read(spark, d, "orders").select(F.col("o_custkey").alias("key")), ["key"])
 
-
-_ = (W, S)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from glasra.operators import gates as G
 from glasra.operators import sequences as Q
 from glasra.plans.corpus import query
+from glasra.plans.manifest import sequences
 from glasra.sources import files, sinks
 from glasra.streaming import jobs
 from glasra.tables import read
@@ -86,7 +87,7 @@ def token_file_roundtrip(spark, d):
     import pandas as pd
 
     p = sinks.scratch(spark, "bin")
-    u = read(spark, d, "cluas_units").where(F.size("units") > 0).dropDuplicates(["key"]).select("key", "units")
+    u = sequences(spark, d).select("key", "units")
     sinks.token_files(u, p, "key", "units")
 
     def parse(batches):
@@ -143,5 +144,5 @@ def nonempty_gate(spark, d):
 @query("""SELECT key, coalesce(n_gone, 0)::INT AS n_gone FROM (SELECT key, CASE WHEN list_position(units, 530) > 0 THEN len(units) - list_position(units, 530) + 1 END AS n_gone FROM (SELECT DISTINCT ON (key) * FROM cluas_units WHERE len(units) > 0))""")
 def cut_at_first_id(spark, d):
     """Sequences cut at the earliest of several ids."""
-    u = read(spark, d, "cluas_units").where(F.size("units") > 0).dropDuplicates(["key"])
+    u = sequences(spark, d)
     return u.select("key", (F.size("units") - F.size(Q.first_of(F.col("units"), [530, -5]))).alias("n_gone"))

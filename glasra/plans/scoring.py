@@ -12,6 +12,7 @@ from glasra.operators import review as R
 from glasra.operators import sequences as Q
 from glasra.operators import vectors as V
 from glasra.plans.corpus import query
+from glasra.plans.manifest import sequences
 from glasra.tables import lang_code, read, source_name, spread
 
 _SP = r"[\s\v\x{1C}-\x{1F}\x{85}\p{Z}]+"
@@ -666,7 +667,7 @@ WITH e AS (SELECT key, unnest(units) AS u, generate_subscripts(units, 1) AS i FR
 SELECT key, md5(string_agg(u::VARCHAR, ',' ORDER BY i)) AS digest, count(*)::INT AS n FROM f WHERE u IS NOT NULL GROUP BY key""")
 def ordered_distinct(spark, d):
     """Distinct items in order of first appearance."""
-    u = read(spark, d, "cluas_units").where(F.size("units") > 0).dropDuplicates(["key"])
+    u = sequences(spark, d)
     a = F.array_compact(F.array_distinct("units"))
     return u.select("key", F.md5(F.array_join(a, ",")).alias("digest"), F.size(a).alias("n"))
 

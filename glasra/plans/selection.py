@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from glasra.operators import review as R
 from glasra.operators import sampling as S
 from glasra.plans.corpus import query
+from glasra.plans.manifest import sequences
 from glasra.tables import lang_code, read
 
 
@@ -84,7 +85,7 @@ WITH u AS (SELECT DISTINCT ON (key) key, len(units) AS n FROM cluas_units WHERE
 SELECT key, (s // 2000)::INT AS task, s::INT AS start, least(s + 2000, n)::INT AS stop FROM u, unnest(range(0, n, 2000)) AS r(s)""")
 def work_ranges(spark, d):
     """Long items cut into numbered ranges of work."""
-    u = read(spark, d, "cluas_units").where(F.size("units") > 0).dropDuplicates(["key"]).select("key", F.size("units").alias("n"))
+    u = sequences(spark, d).select("key", F.size("units").alias("n"))
     t = u.select("key", "n", F.posexplode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(2000))).alias("task", "start"))
     return t.select("key", "task", "start", F.least(F.col("start") + 2000, F.col("n")).alias("stop"))
 

@@ -45,6 +45,16 @@ def test_quota_and_hold_out(spark):
     assert {r.k for r in out} == {k for k in keys if int(hashlib.md5(k.encode()).hexdigest(), 16) % 40 == 0}
 
 
+def test_one_of_each(spark):
+    rows = [("a", [1, 2]), ("a", [1, 2]), ("b", []), ("c", None), (None, [3]), (None, [3]), (None, [4]), ("d", [5])]
+    df = spark.createDataFrame(rows, "key string, units array<int>").repartition(3)
+    for limit in (None, 0):
+        assert sorted(map(str, Q.one_of_each(df, ["key", "units"], limit).collect())) == sorted({f"Row(key={k!r}, units={u!r})" for k, u in rows})
+        assert sorted(str(r.key) for r in Q.one_of_each(df, ["key"], limit).collect()) == ["None", "a", "b", "c", "d"]
+        assert Q.one_of_each(df.limit(0), ["key"], limit).count() == 0
+        assert Q.one_of_each(df.where("key = 'd'"), ["key"], limit).count() == 1
+
+
 def test_sequences(spark):
     df = spark.createDataFrame([("a", [1, 1, 2, 2, 2, 1, None, None, 3]), ("b", []), ("c", None), ("d", list(range(10)))], "key string, units array<int>")
     got = {r.key: r.u for r in df.select("key", Q.deduped(F.col("units")).alias("u")).collect()}
