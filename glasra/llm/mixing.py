@@ -1,8 +1,8 @@
 """Problem 5: a training set whose sources have target shares of its size, by a multivariate-hypergeometric splitting tree.
 
-Sizing. Documents are counted in words once. Each source falls into BLOCKS blocks by a hash of the key; blocks are the unit of
-the plan, so what is planned is bounded by sources x blocks however many documents there are. The size is the budget, or as
-much of it as the scarcest source lets be reached with all shares exact. A source is taken in full passes and a last part, in
+Sizing. Documents are counted in words once. Each source falls into blocks by a hash of the key, at least BLOCKS of them and so
+many that a block has some BLOCK_ROWS documents at most; blocks are the unit of the plan, so what is planned is a row for each. The
+size is the budget, or as much of it as the scarcest source lets be reached with all shares exact. A source is taken in full passes and a last part, in
 the order of a seeded permutation of its blocks; within the block where a quota ends, documents go in hash order to the last
 word that fits.
 
@@ -24,15 +24,25 @@ from pyspark.sql import functions as F
 from glasra.session import checkpointed
 from glasra.tables import read, source_name, word_count
 
-#: Blocks of a source. The plan has a row for each block and pass.
-BLOCKS = 1024
+#: Least blocks of a source, and documents of a block of a larger source. The plan has a row for each block and pass.
+BLOCKS, BLOCK_ROWS = 1024, 50_000
 SHARDS = 16
 
 
 def document_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """`doc_id, source, words, block, ord`: documents with at least one word and a known source."""
+    """`doc_id, source, words, hash, ord`: documents with at least one word and a known source."""
     d = docs.select(docs[key].alias("doc_id"), source_name(docs[source]).alias("source"), word_count(docs[text]).alias("words")).where("source is not null and words > 0")
-    return d.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(BLOCKS)).cast("int")).withColumn("ord", F.xxhash64("doc_id", F.lit(71)))
+    return d.withColumn("hash", F.xxhash64("doc_id", F.lit(17))).withColumn("ord", F.xxhash64("doc_id", F.lit(71)))
+
+
+def in_blocks(sizes: DataFrame, sources: list[str]) -> DataFrame:
+    """Documents of the given sources with their `block`."""
+    d = sizes.where(F.col("source").isin(sources))
+    many = {r.source: -(-r.n // BLOCK_ROWS) for r in d.groupBy("source").agg(F.count("*").alias("n")).collect()}  # a row a target
+    n = F.lit(BLOCKS)
+    for s, k in many.items():
+        n = F.when(F.col("source") == s, F.lit(k)).otherwise(n) if k > BLOCKS else n
+    return d.withColumn("block", F.pmod("hash", n).cast("int")).drop("hash")
 
 
 def split_counts(counts: np.ndarray, shards: int, rng: np.random.Generator) -> list[np.ndarray]:
@@ -86,45 +96,53 @@ def plan(blocks: dict[str, dict[int, int]], targets: list[tuple[str, float, int]
     return out
 
 
-def mix(sizes: DataFrame, targets: DataFrame, budget: int, mix_name: str, shards: int = SHARDS, seed: int = 42) -> DataFrame:
-    """`mix, shard, place, doc_id, source, copy, words`: the composed set. `sizes` as by `document_sizes`, cut from its lineage.
+def mixes(sizes: DataFrame, targets: DataFrame, budget: int, shards: int = SHARDS, seed: int = 42) -> DataFrame:
+    """`mix, shard, place, doc_id, source, copy, words`: the composed set of each mix. `sizes` as by `document_sizes`, cut from its lineage.
 
     Sources without target aren't used; a target's null `max_repeats` counts as 1. Empty tables give an empty set. What goes
-    to the driver is a row for each source of the targets and block.
+    to the driver is a row for each source of the targets and block. All mixes are planned from one count of the blocks and
+    drawn in one pass over the documents.
     """
     spark = sizes.sparkSession
-    rows = targets.where(F.col("mix") == mix_name).groupBy(source_name(F.col("source")).alias("source")).agg(F.sum("target_share").alias("p"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("r")).collect()
-    goal = [(r.source, float(r.p or 0), int(r.r)) for r in rows]
+    goals: dict[str, list[tuple[str, float, int]]] = defaultdict(list)
+    rows = targets.groupBy("mix", source_name(F.col("source")).alias("source")).agg(F.sum("target_share").alias("p"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("r"))
+    for r in rows.orderBy("mix", "source").collect():
+        goals[r.mix].append((r.source, float(r.p or 0), int(r.r)))
+    wanted = in_blocks(sizes, sorted({s for g in goals.values() for s, _, _ in g if s is not None}))
     blocks: dict[str, dict[int, int]] = defaultdict(dict)
-    wanted = sizes.where(F.col("source").isin([s for s, _, _ in goal]))
     for r in wanted.groupBy("source", "block").agg(F.sum("words").alias("n")).collect():
         blocks[r.source][r.block] = r.n
-    drawn = spark.createDataFrame(plan(blocks, goal, budget, shards, seed) or [("", -1, 0, 0, 0)], "source string, block int, copy int, shard int, take long")
-    met = wanted.join(F.broadcast(drawn), ["source", "block"])  # at most sources x blocks x passes rows
+    drawn = [(m, *row) for m, g in goals.items() for row in plan({s: blocks[s] for s, _, _ in g if s in blocks}, g, budget, shards, seed)]
+    # Spark knows the size of this table: it is sent to the executors if it is small and joined by shuffle if not
+    drawn = spark.createDataFrame(drawn or [(None, "", -1, 0, 0, 0)], "mix string, source string, block int, copy int, shard int, take long")
+    met = wanted.join(drawn, ["source", "block"])
     whole = met.where("take < 0").drop("take")
-    w = W.partitionBy("source", "block", "copy").orderBy("ord", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy("mix", "source", "block", "copy").orderBy("ord", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     part = met.where("take >= 0").withColumn("so_far", F.sum("words").over(w)).where("so_far <= take").drop("take", "so_far")  # one block of each source
-    both = whole.unionByName(part)
     place = F.xxhash64("doc_id", "copy", F.lit(seed))
-    return both.select(F.lit(mix_name).alias("mix"), "shard", place.alias("place"), "doc_id", "source", "copy", "words")
+    return whole.unionByName(part).select("mix", "shard", place.alias("place"), "doc_id", "source", "copy", "words")
 
 
-def report_budget(report: DataFrame) -> int:
-    """Budget in words of the latest run of the report."""
-    r = report.agg(F.max_by("budget", F.struct("created_at", "run_id")).alias("b")).first()
-    return int(r.b or 0)
+def write_shards(mixed: DataFrame, docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> None:
+    """The texts of a mix in a folder for each mix and shard, shuffled each on its own: in the order of `place` over its files by name.
+
+    Ranges of (mix, shard, place) are the tasks, so a shard isn't one task's work however large it is.
+    """
+    full = mixed.join(docs.select(docs[key].alias("doc_id"), docs[text].alias("text")), "doc_id")
+    ranges = full.repartitionByRange("mix", "shard", "place").sortWithinPartitions("mix", "shard", "place", "copy")
+    ranges.write.mode("overwrite").partitionBy("mix", "shard").parquet(path)
+
+
+def report_budget(report: DataFrame, model: str | None = "tok-8b") -> int:
+    """Budget in words of the latest run of the report under the tokenizer that problem 2 goes by; of any if it has none."""
+    newest = F.max_by("budget", F.struct("created_at", "run_id"))
+    r = report.agg(F.max_by("budget", F.when(F.col("model") == model, F.struct("created_at", "run_id"))).alias("own"), newest.alias("any")).first()
+    return int(r.own if r.own is not None else r.any or 0)
 
 
 def _mixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = checkpointed(document_sizes(read(spark, sf_dir, "documents")))
-    targets = read(spark, sf_dir, "mix_targets")
-    budget = report_budget(read(spark, sf_dir, "text_token_ratio_report"))
-    names = [r.mix for r in targets.select("mix").distinct().orderBy("mix").collect()]
-    out = None
-    for n in names:
-        one = mix(sizes, targets, budget, n)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return mixes(sizes, read(spark, sf_dir, "mix_targets"), report_budget(read(spark, sf_dir, "text_token_ratio_report")))
 
 
 def p5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

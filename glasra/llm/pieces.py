@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glasra.operators.sequences import one_of_each
 from glasra.tables import read
 
 #: Largest piece, overlap, least new units of a piece.
@@ -24,6 +25,10 @@ WINDOW, MASK = 16, 127
 #: Multiplier of the rolling hash, and kinds of units at which a cut is natural.
 BASE = 0x9E3779B1
 NATURAL = ("pause", "breath")
+#: Natural units that go to every worker, 8 bytes each; with more, their places are found by a join.
+NATURAL_UNITS = 1_000_000
+#: Parts that the places of one unit are dealt into for that join, as a pause is in every sequence.
+SALT = 16
 
 
 def landmarks(units: np.ndarray) -> np.ndarray:
@@ -75,42 +80,63 @@ def cuts(units: np.ndarray, natural: np.ndarray, largest: int = LARGEST, overlap
     return out
 
 
-def unbroken(natural: np.ndarray, longest: int = LARGEST) -> list[int]:
-    """First positions of the stretches of more than `longest` units without a natural boundary."""
+def unbroken(natural: np.ndarray, pieces: list[tuple[int, int, str]], longest: int = LARGEST) -> list[int]:
+    """First positions of the stretches of more than `longest` units without a natural boundary, from the cuts of `pieces`.
+
+    No piece holds such a stretch, so a piece ends inside it, where no boundary is. Each cut that isn't natural is set back to
+    the boundary before it and ahead to the one after it; what lies between is long enough or a shorter stretch.
+    """
+    inside = [end for _, end, how in pieces if how in ("landmark", "forced")]
+    if not inside:
+        return []
     edge = np.concatenate(([-1], np.flatnonzero(natural), [len(natural)]))
-    return (edge[:-1][np.diff(edge) - 1 > longest] + 1).tolist()
+    at = np.unique(np.searchsorted(edge, inside, side="left"))
+    return (edge[at - 1][edge[at] - edge[at - 1] - 1 > longest] + 1).tolist()
+
+
+def _natural_places(clips: DataFrame, natural: DataFrame) -> DataFrame:
+    """`clips` (`key, units`) with `places`, those of natural units: a join on unit and salt instead of a table in each worker."""
+    d = clips.select("key", "units", F.xxhash64("key", "units").alias("of"))
+    at = d.select("of", F.posexplode("units").alias("pos", "unit")).withColumn("salt", F.pmod("pos", F.lit(SALT)))
+    n = natural.select("unit", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    places = at.join(n, ["unit", "salt"]).groupBy("of").agg(F.array_sort(F.collect_set("pos")).alias("places"))
+    return d.join(places, "of", "left").select("key", "units", F.coalesce("places", F.array().cast("array<int>")).alias("places"))
 
 
 def _run(clips: DataFrame, inventory: DataFrame, want: str, key: str, units: str, unit: str, kind: str, largest: int, overlap: int, least: int) -> DataFrame:
-    rows = inventory.where(F.col(kind).isin(*NATURAL)).select(unit).distinct().limit(1_000_001).collect()
-    if len(rows) > 1_000_000:
-        raise ValueError("more than a million natural units: join the inventory instead")
-    known = clips.sparkSession.sparkContext.broadcast(np.array(sorted(r[0] for r in rows if r[0] is not None), np.int64))
-    # a repeated key holds the same content; one of each is enough, and the copies meet by a hash of it
     plain = clips.select(clips[key].alias("key"), clips[units].alias("units")).where(F.col("units").isNotNull() & (F.size("units") > 0))
     schema = "key string, start_pos int" if want == "unbroken" else "key string, piece int, start_pos int, end_pos int, cut string, units array<int>"
+    natural_units = inventory.where(F.col(kind).isin(*NATURAL)).select(F.col(unit).alias("unit")).where("unit is not null").distinct()
+    known = None
+    rows = natural_units.limit(NATURAL_UNITS + 1).collect()
+    if len(rows) > NATURAL_UNITS:
+        plain = _natural_places(plain, natural_units)
+    else:
+        known = clips.sparkSession.sparkContext.broadcast(np.array(sorted(r[0] for r in rows), np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        breaks = known.value
         for b in batches:
             keys, col = b.column(0), b.column(1)
             flat = col.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             sizes = np.array([len(x) for x in col], np.int64)
             ends = np.cumsum(sizes)
-            natural = np.isin(flat, breaks)
+            if known is not None:
+                natural = np.isin(flat, known.value) & col.flatten().is_valid().to_numpy(zero_copy_only=False)
+            else:
+                natural = np.zeros(len(flat), bool)
+                places = b.column(2)
+                natural[places.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(ends - sizes, [len(x) for x in places])] = True
             at: list[int] = []
             rows: list[tuple] = []
             for k, (e, n) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
                 own, nat = flat[e - n : e], natural[e - n : e]
                 pieces = cuts(own, nat, largest, overlap, least)
                 if want == "unbroken":
-                    # a stretch that no piece can hold shows in a cut that isn't natural
-                    found = unbroken(nat, largest) if any(how in ("landmark", "forced") for _, _, how in pieces) else []
-                    rows += [(p,) for p in found]
-                    at += [k] * len(found)
+                    new = [(p,) for p in unbroken(nat, pieces, largest)]
                 else:
-                    rows += [(p, s, t, how, own[s:t].astype(np.int32)) for p, (s, t, how) in enumerate(pieces)]
-                    at += [k] * len(pieces)
+                    new = [(p, s, t, how, own[s:t].astype(np.int32)) for p, (s, t, how) in enumerate(pieces)]
+                rows += new
+                at += [k] * len(new)
             if not at:
                 continue
             own_keys = keys.take(pa.array(at))
@@ -129,7 +155,7 @@ def pieces(clips: DataFrame, inventory: DataFrame, key: str = "key", units: str
     Null and empty arrays have none; ids outside the inventory, null ids too, are neither pause nor breath; repeated keys count
     once if their content is the same.
     """
-    once = clips.select(key, units).dropDuplicates([key, units])
+    once = one_of_each(clips.select(key, units), [key, units])
     return _run(once, inventory, "pieces", key, units, unit, kind, largest, overlap, least)
 
 

@@ -25,6 +25,9 @@ def path_key(audio: Column) -> Column:
     s = F.regexp_replace(s, r"/+", "/")
     s = F.regexp_replace(s, r"/(\./)+", "/")
     s = F.regexp_replace(s, r"^(\./)+|^/", "")
+    # `..` takes the part before it away, and nothing at the start
+    up = F.aggregate(F.split(s, "/"), F.lit(""), lambda done, part: F.when(part == "..", F.regexp_replace(done, "/[^/]*$", "")).otherwise(F.concat(done, F.lit("/"), part)))
+    s = F.when(s.rlike(r"(^|/)\.\.(/|$)"), F.regexp_replace(up, "^/", "")).otherwise(s)
     return F.when(s == "", F.lit(None).cast("string")).otherwise(s)
 
 
@@ -60,8 +63,13 @@ def p1_by_batch(spark, sf_dir: str) -> DataFrame:
     return a.groupBy("batch").agg(F.count("*").alias("n_rows"), F.sum(F.col("chosen").cast("long")).alias("n_chosen"))
 
 
-_KEY_SQL = r"""
-  nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower(trim(audio)), '\', '/'), '^file:', ''), '/+', '/', 'g'), '/(\./)+', '/', 'g'), '^(\./)+|^/', '', 'g'), '')
+_PATH_SQL = r"""
+  (regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower(trim(audio)), '\', '/'), '^file:', ''), '/+', '/', 'g'), '/(\./)+', '/', 'g'), '^(\./)+|^/', '', 'g'))
+"""
+_KEY_SQL = rf"""
+  nullif(CASE WHEN regexp_matches({_PATH_SQL}, '(^|/)\.\.(/|$)') THEN
+    ltrim(list_reduce(list_prepend('', string_split({_PATH_SQL}, '/')), lambda done, part: CASE WHEN part = '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || part END), '/')
+    ELSE {_PATH_SQL} END, '')
 """
 _BUCKET_SQL = "(('0x' || substr(md5(audio_key), 1, 12))::BIGINT % 4096)"
 SQL = {
