@@ -11,15 +11,16 @@ some other token has the same ASCII letters around whatever is not ASCII: the sa
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glasra.operators.sequences import one_of_each
 from glasra.session import checkpointed
 
 # The encodings of one byte a character that texts are commonly misread as or from.
@@ -29,8 +30,12 @@ BYTE_ENCODINGS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250",
 RARER = 0.25
 #: Rows of the verified table that may be broadcast (about 100 bytes each); a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
-#: Longer tokens are no words; what is garbled in them is found by their runs of characters beyond ASCII.
-LONGEST_WORD = 100
+#: Longer tokens meet by a hash of them, so that their forms aren't written out.
+SPELT = 100
+#: Words that a task garbles: much work for few bytes, so their number tells the tasks.
+WORDS_A_TASK = 2_000
+#: Parts that the tokens of documents are dealt into where the table is joined by shuffle, as some token may be in most documents.
+SALT = 16
 #: Distinct tokens that a task counts before it hands them on; bounds its memory, never the result.
 HELD_TOKENS = 500_000
 
@@ -178,35 +183,43 @@ def _token_counts(df: DataFrame, text: str) -> DataFrame:
         if seen:
             yield pa.RecordBatch.from_pydict({"token": list(seen), "n": list(seen.values())})
 
-    return df.select(df[text]).distinct().mapInArrow(count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    return one_of_each(df.select(df[text].alias("text")), ["text"]).mapInArrow(count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def garbled_tokens(df: DataFrame, text: str = "text") -> DataFrame:
     """`token, original, chain`: distinct tokens that equal a garbled form of a word, of one far more frequent than they are if they may be words."""
-    tokens = checkpointed(_token_counts(df, text))
+    tokens = checkpointed(_token_counts(df, text)).withColumn("met", F.when(F.length("token") <= SPELT, F.col("token")).otherwise(F.concat(F.lit("\0"), F.sha2("token", 256))))
     shape = F.regexp_replace(F.lower("token"), r"[\x{80}-\x{10FFFF}?]+", "\x01")
     shaped = tokens.withColumn("shape", shape)
-    shared = shaped.groupBy("shape").agg(F.count("*").alias("alike")).where("alike > 1")
-    words = shaped.where(F.col("token").rlike(r"[^\x00-\x7F]") & (F.length("token") <= LONGEST_WORD)).join(shared, "shape", "left_semi").select("token", "n")
+    wide = shaped.where(F.col("token").rlike(r"[^\x00-\x7F]"))
+    # tokens without any ASCII all have one shape, which they share: they needn't meet
+    bare = F.col("shape") == "\x01"
+    shared = shaped.where(~bare).groupBy("shape").agg(F.count("*").alias("alike")).where("alike > 1")
+    words = wide.where(~bare).join(shared, "shape", "left_semi").unionByName(wide.where(bare)).select("token", "n")
     # single characters are words too: what they turn into is found in tokens that stand in no table
     chars = tokens.select(F.explode(F.regexp_extract_all("token", F.lit(r"([^\x00-\x7F])"), 1)).alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
 
+    def met(w: str) -> str:
+        return w if len(w) <= SPELT else "\0" + hashlib.sha256(w.encode("utf-8", "surrogatepass")).hexdigest()
+
     def garble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {"form": [], "original": [], "chain": [], "n_original": []}
+            out: dict[str, list] = {"form": [], "origin": [], "chain": [], "n_original": []}
             for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                made = [(f, c) for f, c in forms(w).items() if len(f) > 1 or f in "?�"]  # a single character that turns into another proves nothing
+                made = [(met(f), c) for f, c in forms(w).items() if len(f) > 1 or f in "?�"]  # a single character that turns into another proves nothing
                 out["form"] += [f for f, _ in made]
                 out["chain"] += [c for _, c in made]
-                out["original"] += [w] * len(made)
+                out["origin"] += [met(w)] * len(made)
                 out["n_original"] += [n] * len(made)
             yield pa.RecordBatch.from_pydict(out)
 
-    made = words.unionByName(chars).mapInArrow(garble, "form string, original string, chain string, n_original bigint")
+    tasks = max(1, -(-tokens.count() // WORDS_A_TASK))
+    made = words.unionByName(chars).repartition(tasks, "token").mapInArrow(garble, "form string, origin string, chain string, n_original bigint")
     plain = F.col("chain").startswith("utf-8 as ") | F.col("token").contains("�") | F.col("token").rlike(r"\p{L}\?+\p{L}")
-    met = made.join(tokens, made.form == tokens.token).where(plain | (F.col("n") <= RARER * F.col("n_original")))
-    best = F.max_by(F.struct("original", "chain"), F.struct("n_original", "original"))
-    return met.groupBy("token").agg(best.alias("b")).select("token", "b.original", "b.chain")
+    best = F.max_by(F.struct("origin", "chain"), F.struct("n_original", "origin"))
+    found = made.join(tokens, made.form == tokens.met).where(plain | (F.col("n") <= RARER * F.col("n_original"))).groupBy("token").agg(best.alias("b")).select("token", "b.origin", "b.chain")
+    long = tokens.where(F.length("token") > SPELT).select(F.col("met").alias("origin"), F.col("token").alias("long"))
+    return found.join(long, "origin", "left").select("token", F.coalesce("long", "origin").alias("original"), "chain")
 
 
 def _places(df: DataFrame, key: str, text: str, table: DataFrame) -> DataFrame:
@@ -236,28 +249,36 @@ def _places(df: DataFrame, key: str, text: str, table: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k for k, _ in found])), pa.array([w for _, w in found], pa.string())], names=[key, "token"])
 
-    return plain.mapInArrow(own, f"`{key}` {kind}, token string").join(table, "token").select(key, "token", "original", "chain").distinct()
+    tokens = plain.mapInArrow(own, f"`{key}` {kind}, token string").withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALT)))
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return tokens.join(salted, ["token", "_salt"]).select(key, "token", "original", "chain").distinct()
 
 
-def garbled_places(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`key, token, original, chain`: each distinct garbled token of each document; documents without one have no row.
-
-    A token that one-for-one chains could have made may be a foreign word as well. It is verified by its company: in at least
-    half of the documents that hold it some other token went through the same chain. Forms of several characters for one, and
-    replacement marks, need no company. Null, empty and clean texts have no row; repeated rows count once.
-    """
+def _verified(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(places of tokens in documents, table of those tokens that are garbled); see `garbled_places`."""
     table = checkpointed(garbled_tokens(df, text))
     places = checkpointed(_places(df, key, text, table))
-    company = places.groupBy(key, "chain").agg(F.count("*").alias("together"))
+    company = places.groupBy(F.col(key).alias("_key"), F.col("chain").alias("_chain")).agg(F.count("*").alias("together"))
     sure = F.col("chain").startswith("utf-8") | F.col("token").contains("�")
     kept = (
-        places.join(company, [key, "chain"])
-        .groupBy("token")
-        .agg(F.avg((F.col("together") > 1).cast("double")).alias("share"), F.first("chain").alias("chain"))
+        places.join(company, F.col(key).eqNullSafe(F.col("_key")) & (F.col("chain") == F.col("_chain")))
+        .groupBy("token", "chain")
+        .agg(F.avg((F.col("together") > 1).cast("double")).alias("share"))
         .where(sure | (F.col("share") >= 0.5))
         .select("token")
     )
-    return places.join(kept, "token", "left_semi")
+    return places, table.join(kept, "token", "left_semi")
+
+
+def garbled_places(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`key, token, original, chain`: each distinct garbled token of each document; documents without one have no row.
+
+    A token that one-for-one chains could have made may be a foreign word as well. It is verified by its company: in at least
+    half of the documents that hold it some other token went through the same chain. Forms of several characters for one, and
+    replacement marks, need no company. Null, empty and clean texts have no row; repeated rows count once.
+    """
+    places, table = _verified(df, key, text)
+    return places.join(table.select("token"), "token", "left_semi")
 
 
 def garbled_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -265,37 +286,72 @@ def garbled_documents(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     return garbled_places(df, key, text).select(key).distinct()
 
 
+def _repaired(text: str, m: dict[str, str], chain: str) -> str:
+    def put(x: re.Match) -> str:
+        w = x.group()
+        if w in m:
+            return m[w]
+        return w if w.isascii() else invert(w, chain) or w
+
+    return re.sub(r"[^ \t\r\n\f]+", put, text)
+
+
+def _likeliest(chains: list[str]) -> str:
+    n = Counter(chains)
+    return max(n, key=lambda c: (n[c], c))
+
+
 def restored(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key, chain, n_garbled, text, complete`: the garbled documents with their original text as far as it can be had.
 
     Garbled tokens are replaced by their verified originals; other tokens beyond ASCII take the inverse of the document's
-    chain if it exists. `complete` is false if a replacement mark or an open `?` form of a lossy chain may be left.
+    chain if it exists, the one that most of its tokens went through. `complete` is false if a replacement mark or an open `?`
+    form of a lossy chain may be left. Repeated rows count once. A table of checked size goes to the workers, which repair
+    texts where they are read; with a larger one texts meet their tokens by key.
     """
-    places = garbled_places(df, key, text)
-    # one document's tokens are bounded by its text
-    by_doc = places.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("token", "original"))).alias("m"), F.mode("chain").alias("chain"), F.count("*").alias("n_garbled"))
-    # mode() breaks ties by whichever comes first; the least name makes it stable
-    counted = places.groupBy(key, "chain").agg(F.count("*").alias("k")).groupBy(key).agg(F.max_by("chain", F.struct("k", "chain")).alias("chain"))
-    joined = df.select(key, df[text].alias("text")).join(by_doc.drop("chain"), key).join(counted, key)
+    places, table = _verified(df, key, text)
+    table = checkpointed(table)
     kind = df.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, chain string, n_garbled bigint, text string, complete boolean"
+    plain = df.select(df[key].alias(key), df[text].alias("text"))
 
-    def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, t, m, chain, n in zip(b[key], b.text, b.m, b.chain, b.n_garbled, strict=True):
-                m = dict(m)
+    def rows(keys: pa.Array, found: list[tuple[int, str, dict[str, str], str]]) -> pa.RecordBatch:
+        fixed = [_repaired(t, m, c) for _, t, m, c in found]
+        cols = [keys.take(pa.array([k for k, *_ in found], pa.int64())), pa.array([c for *_, c in found], pa.string()), pa.array([len(m) for _, _, m, _ in found], pa.int64()), pa.array(fixed, pa.string()), pa.array(["�" not in s and c not in LOSSY for s, (*_, c) in zip(fixed, found, strict=True)], pa.bool_())]
+        return pa.RecordBatch.from_arrays(cols, names=[key, "chain", "n_garbled", "text", "complete"])
+
+    if table.count() <= BROADCAST_ROWS:
+        known = df.sparkSession.sparkContext.broadcast({r.token: (r.original, r.chain) for r in table.toLocalIterator()})
 
-                def put(x: re.Match, m: dict = m, chain: str = chain) -> str:
-                    w = x.group()
-                    if w in m:
-                        return m[w]
-                    return w if w.isascii() else invert(w, chain) or w
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = known.value
+            for b in batches:
+                found = []
+                for k, t in enumerate(b.column(1).to_pylist()):
+                    own = [w for w in set(odd_tokens(t)) if w in find]
+                    if own:
+                        found.append((k, t, {w: find[w][0] for w in own}, _likeliest([find[w][1] for w in own])))
+                if found:
+                    yield rows(b.column(0), found)
+
+        return plain.mapInArrow(look, schema).distinct()
 
-                s = re.sub(r"[^ \t\r\n\f]+", put, t)
-                rows.append((k, chain, n, s, "�" not in s and chain not in LOSSY))
-            yield pd.DataFrame(rows, columns=[key, "chain", "n_garbled", "text", "complete"])
+    # one document's tokens are bounded by its text
+    by_doc = places.join(table.select("token"), "token", "left_semi").groupBy(key).agg(F.collect_set(F.struct("token", "original", "chain")).alias("m"))
+    held = plain.join(by_doc, key).distinct()
+
+    def fix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for k, (t, m) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                own = set(odd_tokens(t))
+                m = [x for x in m if x["token"] in own]
+                if m:
+                    found.append((k, t, {x["token"]: x["original"] for x in m}, _likeliest([x["chain"] for x in m])))
+            if found:
+                yield rows(b.column(0), found)
 
-    return joined.mapInPandas(fix, f"`{key}` {kind}, chain string, n_garbled bigint, text string, complete boolean")
+    return held.select(key, "text", "m").mapInArrow(fix, schema)
 
 
 def p10_found(spark, sf_dir: str) -> DataFrame:

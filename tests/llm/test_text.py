@@ -65,7 +65,10 @@ def test_garbled_documents_by_shuffle(garbled_docs, monkeypatch):
     assert got == {1000, 1001, 1002, 1003, 1004, 2000, 2001, 2002, 2003}
 
 
-def test_restored_text(garbled_docs):
+@pytest.mark.parametrize("limit", [garbled.BROADCAST_ROWS, 0])
+def test_restored_text(garbled_docs, monkeypatch, limit):
+    monkeypatch.setattr(garbled, "BROADCAST_ROWS", limit)
+    assert garbled.restored(garbled_docs).count() == 9
     got = {r.doc_id: r for r in garbled.restored(garbled_docs).collect()}
     for k in (1000, 1001, 1004):
         assert got[k].text == "Tháinig an fhéile” go dtí an bóthar fáil scéim" and got[k].complete
@@ -89,6 +92,17 @@ def test_garbled_source_of_a_third_and_repeated_texts(spark):
     assert {r.doc_id for r in got.collect()} == set(range(40, 70))
 
 
+def test_long_words_are_restored(spark, monkeypatch):
+    for size in (90, 99, 100, 101, 400):
+        word = ("tógálaí" * size)[: size - 1] + "á"
+        bare = "щ" * size
+        wrong = [garbled.from_bytes(w.encode(), "cp1252") for w in (word, bare)]
+        lost = word.replace("ó", "�").replace("á", "�").replace("í", "�")
+        df = spark.createDataFrame([(k, f"{word} an {bare} {k}") for k in range(10)] + [(20, f"is é {wrong[0]} é"), (21, f"is é {wrong[1]} é"), (22, f"is é {lost} é")], "doc_id long, text string")
+        got = {r.doc_id: r.text for r in garbled.restored(df).collect()}
+        assert got == {20: f"is é {word} é", 21: f"is é {bare} é", 22: f"is é {word} é"}
+
+
 def test_chains_invert():
     for t in ("Tháinig “sí” €5", "dèidh ŵyl"):
         for chain in ("utf-8 as cp1252", "utf-8 as cp1252 > utf-8 as cp1252"):
