@@ -1,8 +1,11 @@
 """Problem 7: one form for texts that look alike but differ in their characters.
 
-Skeleton: decompose, put the prototype of the look-alike table for every character, decompose again. Texts with the same
-skeleton look the same; `skeleton_groups` groups originals by it. The readable form keeps words of another script: a word
-takes Latin prototypes only if it holds Latin letters besides, or if every letter of it has one. Then it is composed (NFC).
+Skeleton: decompose, put the prototype of the look-alike table for every character, decompose again. The prototype of an invisible
+character is nothing, of an odd space a blank, of a compatibility form its plain one, of a look-alike letter or symbol a Latin
+letter. Texts with the same skeleton look the same; `skeleton_groups` groups originals by it, and a text whose skeleton isn't its
+own decomposition, or that isn't composed, has an odd character. Words of another script keep their letters: a word takes Latin
+prototypes only if it holds Latin letters besides, or if every letter of it is the very image of one. The readable form is the
+skeleton's composed twin, with quotes and dashes as they were.
 """
 
 from __future__ import annotations
@@ -22,7 +25,24 @@ GREEK = dict(zip("αγικνορυχϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ayik
 ARMENIAN = dict(zip("օսհոցզԼՍՕՏ", "ouhngqLUOS", strict=True))
 CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᎢᏙᎳᏃ", "ABCDEGHJKLMPRTVWZ", strict=True))
 OTHER_LATIN = dict(zip("ɑɡ", "ag", strict=True))
-PROTOTYPES = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | OTHER_LATIN
+# Letters that pass for a Latin one only in its company, by script, and symbols that do in a word.
+NEAR_CYRILLIC = dict(zip("ѡѠгкьЬпҽ", "wWrkbbne", strict=True))
+NEAR_GREEK = dict(zip("σωητεςϱϝϜ", "owntecpfF", strict=True))
+NEAR_ARMENIAN = dict(zip("առւ", "wni", strict=True))
+NEAR_CHEROKEE = dict(zip("ᎥᏆᏚᏕᎩᎽᏤᏂᏏᏧᎡᏔᏳ", "iISSyYVhbdRWG", strict=True))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU", strict=True))
+SYLLABICS = dict(zip("ᖇᗪᑭᗷᒪᒍᑌᐯᗅᕼᗰᖴ᙭ᑯᖯᑕᗴᘜ", "RDPBLJUVAHMFXdbCEG", strict=True))
+COPTIC = dict(zip("ⲀⲂⲌⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ", "ABZHIKMNOPCTYX", strict=True))
+RUNIC = dict(zip("ᚷᛒᛕᛖᚱᛁ", "XBKMRI", strict=True))
+SEMITIC = dict(zip("סוןه", "ollo", strict=True))
+SYMBOLS = dict(zip("∨⋁∪⋃∣⍺⍳⍴⍵⊤⋿∘⤫⨯", "vvUUlaipwTEoxx", strict=True))
+SURE = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | OTHER_LATIN
+NEAR = NEAR_CYRILLIC | NEAR_GREEK | NEAR_ARMENIAN | NEAR_CHEROKEE | LISU | SYLLABICS | COPTIC | RUNIC | SEMITIC | SYMBOLS
+# small letters that are their capitals' images in small
+NEAR |= {c.lower(): p.lower() for t in (CHEROKEE, NEAR_CHEROKEE, COPTIC) for c, p in t.items() if c.lower() != c}
+PROTOTYPES = SURE | NEAR
+#: Latin letters that a word has to have for a symbol in it to stand for one: `p∨q` is logic.
+IN_WORD = 3
 
 # Compatibility characters that are ordinary in text though they have a plain form.
 ORDINARY = set("…‥№℃℉™℠ªº´¨¯¸µ″‴‵‶‼⁇⁈⁉")
@@ -31,7 +51,8 @@ INVISIBLE = {chr(c) for c in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x1
 
 #: Texts without any of these characters are in form already.
 UNUSUAL = re.compile(r"[^ -~¡-§©«¬®°-³µ-·¹-ɏḀ-ỿ‐-―‘-‟…€№]|[ĲĳĿŀŉſǄ-ǌǱ-ǳẚ]")
-WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
+_LETTER = f"(?:[^\\W\\d_]|[{''.join(SYMBOLS)}])"
+WORD = re.compile(f"{_LETTER}+(?:[̀-ͯ]+{_LETTER}*)*")
 
 
 @lru_cache(maxsize=65536)
@@ -58,8 +79,8 @@ def kind(ch: str) -> str:
     return ""
 
 
-def _bare(text: str) -> str:
-    """Without invisible characters, odd spaces and compatibility forms; accents composed."""
+def _put(text: str) -> str:
+    """The text with the prototype of every character put for it; accents stay as they are, composed or loose."""
     out = []
     for ch in text:
         k = kind(ch)
@@ -69,49 +90,53 @@ def _bare(text: str) -> str:
             out.append(unicodedata.normalize("NFKC", ch))
         elif k != "invisible":
             out.append(ch)
-    return unicodedata.normalize("NFC", "".join(out))
+    return WORD.sub(lambda m: _latin(m.group()), "".join(out))
 
 
 def _latin(word: str) -> str:
     """The word with its look-alike letters made Latin, or as it is where it is truly of another script."""
+    if word.isascii() or not any(c in PROTOTYPES for c in unicodedata.normalize("NFD", word)):
+        return word
     base = unicodedata.normalize("NFD", word)
     letters = [c for c in base if unicodedata.category(c) != "Mn"]
-    foreign = [c for c in letters if kind(c) == "foreign"]
-    if not foreign:
-        return word
-    latin = any(c.isascii() or "LATIN" in unicodedata.name(c, "") for c in letters)
-    if not latin and len(foreign) < len(letters):
+    latin = sum(c.isascii() or c not in PROTOTYPES and "LATIN" in unicodedata.name(c, "") for c in letters)
+    table = SURE if not latin else PROTOTYPES if latin >= IN_WORD else {c: p for c, p in PROTOTYPES.items() if c not in SYMBOLS}
+    if not latin and not all(c in SURE for c in letters):
         return word
-    return unicodedata.normalize("NFC", "".join(PROTOTYPES.get(c, c) for c in base))
+    return "".join(table.get(c, c) for c in base)
 
 
 def one_form(text: str | None) -> str | None:
     """Readable form; null stays null and the empty text empty. Idempotent."""
-    if text is None or not UNUSUAL.search(text) and not any(c in PROTOTYPES for c in text):
+    if text is None or not UNUSUAL.search(text):
         return text
-    return WORD.sub(lambda m: _latin(m.group()), _bare(text))
+    return unicodedata.normalize("NFC", _put(text))
+
+
+def _loose(text: str) -> bool:
+    """Whether an accent isn't composed with its letter though it can be, or a letter stands as its canonical double."""
+    if unicodedata.is_normalized("NFC", text):
+        return False
+    return any(unicodedata.category(c) == "Mn" or len(n := unicodedata.normalize("NFC", c)) == 1 and n != c for c in text)
 
 
 def is_odd(text: str | None) -> bool:
-    """Whether some character is invisible, an odd space, a compatibility form, a loose accent or a stand-in for a Latin letter."""
-    if text is None or not UNUSUAL.search(text) and not any(c in PROTOTYPES for c in text):
+    """Whether the text's skeleton isn't its own decomposition, or it isn't composed: some character of it isn't in form."""
+    if text is None or not UNUSUAL.search(text):
         return False
-    if any(kind(c) in ("invisible", "space", "compat", "mark") for c in text):
-        return True
-    return any(_latin(m.group()) != m.group() for m in WORD.finditer(text))
+    return unicodedata.normalize("NFD", _put(text)) != unicodedata.normalize("NFD", text) or _loose(text)
 
 
 def skeleton(text: str | None) -> str | None:
     """Decompose, put prototypes, decompose again; quotes, dashes and runs of spaces count as looking alike."""
     if text is None:
         return None
-    s = unicodedata.normalize("NFD", one_form(text))
-    s = s.translate(_SHAPES)
-    return unicodedata.normalize("NFD", " ".join(s.split()))
+    s = unicodedata.normalize("NFD", text if not UNUSUAL.search(text) else _put(text))
+    return unicodedata.normalize("NFD", " ".join(s.translate(_SHAPES).split()))
 
 
 # Marks that look alike in one line of text.
-_SHAPES = str.maketrans({"‘": "'", "’": "'", "‛": "'", "ʼ": "'", "“": '"', "”": '"', "‟": '"', "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "―": "-"} | PROTOTYPES)
+_SHAPES = str.maketrans({"‘": "'", "’": "'", "‛": "'", "ʼ": "'", "“": '"', "”": '"', "‟": '"', "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "―": "-"} | SURE)
 
 
 def _sides(df: DataFrame, key: str, sides: tuple[str, ...], want: str, schema: str) -> DataFrame:
@@ -123,7 +148,7 @@ def _sides(df: DataFrame, key: str, sides: tuple[str, ...], want: str, schema: s
             texts = [b.column(1 + i).to_pylist() for i in range(len(sides))]
             if want == "odd":
                 for i, s in enumerate(sides):
-                    at = [k for k, t in enumerate(texts[i]) if one_form(t) != t and is_odd(t)]
+                    at = [k for k, t in enumerate(texts[i]) if is_odd(t)]
                     if at:
                         yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array([s] * len(at), pa.string())], names=[key, "side"])
             else:
@@ -135,7 +160,7 @@ def _sides(df: DataFrame, key: str, sides: tuple[str, ...], want: str, schema: s
 
 
 def odd_texts(df: DataFrame, key: str = "row_id", sides: tuple[str, ...] = ("ref", "hyp")) -> DataFrame:
-    """`key, side` of texts that the form changes for an odd character; distinct rows, so repeated deliveries count once.
+    """`key, side` of texts with an odd character by their skeleton; distinct rows, so repeated deliveries count once.
 
     Null texts are no cases, nor are accents that no letter is composed with.
     """

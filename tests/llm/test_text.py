@@ -30,6 +30,15 @@ def test_texts_without_unusual_characters_are_in_form():
     assert not lookalike.is_odd("5 µm") and lookalike.one_form("5 µm\u200b") == "5 µm"
 
 
+def test_look_alikes_in_latin_words():
+    for c, latin in {"ꓲ": "I", "∨": "v", "σ": "o", "⍺": "a", "ꭵ": "i", "Ꮖ": "I", "ѡ": "w", "ᖇ": "R", "ⲟ": "o", "ꓳ": "O", "ס": "o"}.items():
+        for t, want in ((f"teagh{c}lach", f"teagh{latin}lach"), (f"{c}rdán", f"{latin}rdán")):
+            assert lookalike.is_odd(t) and lookalike.one_form(t) == want and lookalike.skeleton(t) == lookalike.skeleton(want), t
+    for t in ("σίγμα agus ωμέγα", "p∨q", "A ∪ B", "ꓲꓐ", "ᐯᖇᑯ", "σ = 5", "гора", "ᏣᎳᎩ", "5 ∘ 3", "ус‌".replace("‌", "") + "лово"):
+        assert not lookalike.is_odd(t) and lookalike.one_form(t) == t, t
+    assert len(lookalike.SURE) + len(lookalike.NEAR) < 260
+
+
 def test_odd_texts_frame(spark):
     df = spark.createDataFrame([(1, "a​", "b", 1), (1, "a​", "b", 1), (2, None, "ｂ", 2), (3, "a", None, 3)], "row_id long, ref string, hyp string, side int")
     assert sorted(map(tuple, lookalike.odd_texts(df).collect())) == [(1, "ref"), (2, "hyp")]
