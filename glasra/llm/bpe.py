@@ -19,7 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 #: Where the vocabularies of public tokenizers lie, unless a call says otherwise.
 TOKENIZER_DIR = os.environ.get("GLASRA_TOKENIZERS", "/opt/tokenizers")
@@ -184,12 +185,22 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+_SHIPPED: set[tuple[str, str]] = set()
+
+
+def ship_file(spark: SparkSession, path: str) -> None:
+    """Give the executors a vocabulary of the driver's disk, once per application; where the driver has none they look at the path."""
+    sc = spark.sparkContext
+    if os.path.exists(path) and (sc.applicationId, path) not in _SHIPPED:
+        sc.addFile(path)
+        _SHIPPED.add((sc.applicationId, path))
 
 
 def encoder(path: str) -> Encoder:
-    """Loaded once per worker."""
+    """Loaded once per worker, from the file shipped to it."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        shipped = SparkFiles.get(os.path.basename(path))
+        _ENCODERS[path] = Encoder(shipped if os.path.exists(shipped) else path)
     return _ENCODERS[path]
 
 
@@ -212,6 +223,7 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary
     give repeated rows; other columns aren't read. One narrow pass: no shuffle, no state beyond a worker's remembered chunks.
     """
     path = os.path.join(tokenizer_dir, vocabulary)
+    ship_file(df.sparkSession, path)
     plain = df.select(df[key], df[text].alias("__text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,6 +244,7 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary
 def token_counts(df: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", tokenizer_dir: str = TOKENIZER_DIR, carry: tuple[str, ...] = ()) -> DataFrame:
     """The `carry` columns of `df` and `n_tokens BIGINT`, the exact count of each row's text; null and empty texts have 0."""
     path = os.path.join(tokenizer_dir, vocabulary)
+    ship_file(df.sparkSession, path)
     plain = df.select(*[df[c] for c in carry], df[text].alias("__text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
