@@ -5,56 +5,42 @@ Counts of a row are additive, so a corpus score is a sum of counts (partial on t
 
 from __future__ import annotations
 
-import math
 import re
+import string
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType
+from pyspark.sql.types import ArrayType, LongType
 
 from glasra.functions.text import normalised, words
 
 
-def edit_distance(a: list, b: list) -> int:
-    """Levenshtein distance with one row of state; common ends are taken off first."""
-    lo = 0
-    while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < len(a) - lo and hi < len(b) - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    if len(a) < len(b):
-        a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+def coded(items: Column, among: Column) -> Column:
+    """A string with one character for each item: its place in the array `among`."""
+    return F.array_join(F.transform(items, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(among, w) + 0x10000), 8, "0")), "UTF-32")), "")
 
 
-@F.pandas_udf(LongType())
-def word_edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """Edits between two arrays of words; an empty reference has none."""
-    return pd.Series([0 if r is None or len(r) == 0 else edit_distance(list(r), [] if h is None else list(h)) for r, h in zip(ref, hyp, strict=True)])
+def word_edits(ref: Column, hyp: Column) -> Column:
+    """Edits between two arrays of words, by the built-in distance of strings that have a character for each word; an empty reference has none."""
+    among = F.array_distinct(F.concat(ref, hyp))
+    return F.when(F.size(ref) == 0, 0).otherwise(F.levenshtein(coded(ref, among), coded(hyp, among))).cast("long")
 
 
 def word_errors(df: DataFrame, ref: str = "ref", hyp: str = "hyp", bounded: bool = False) -> DataFrame:
     """`df` with `edits` and `n_ref`. Bounded: the hypothesis is cut to the reference's length. Null texts count as empty."""
-    r, h = words(normalised(F.col(ref))), words(normalised(F.col(hyp)))
-    if bounded:
-        h = F.slice(h, F.lit(1), F.size(r))
-    return df.withColumn("n_ref", F.size(r).cast("long")).withColumn("edits", word_edits(r, h))
+    d = df.withColumns({"_r": words(normalised(F.col(ref))), "_h": words(normalised(F.col(hyp)))})
+    h = F.slice("_h", F.lit(1), F.size("_r")) if bounded else F.col("_h")
+    return d.withColumns({"n_ref": F.size("_r").cast("long"), "edits": word_edits(F.col("_r"), h)}).drop("_r", "_h")
 
 
-def char_errors(df: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """`df` with `edits` and `n_ref` in characters of the normalised texts; built in, so no Python."""
-    r, h = normalised(F.coalesce(F.col(ref), F.lit(""))), normalised(F.coalesce(F.col(hyp), F.lit("")))
-    return df.withColumn("n_ref", F.length(r).cast("long")).withColumn("edits", F.when(F.length(r) == 0, 0).otherwise(F.levenshtein(r, h)).cast("long"))
+def char_errors(df: DataFrame, ref: str = "ref", hyp: str = "hyp", bounded: bool = False) -> DataFrame:
+    """`df` with `edits` and `n_ref` in characters of the normalised texts. Bounded: the hypothesis is cut to the reference's length."""
+    d = df.withColumns({"_r": normalised(F.coalesce(F.col(ref), F.lit(""))), "_h": normalised(F.coalesce(F.col(hyp), F.lit("")))})
+    h = F.substring("_h", F.lit(1), F.length("_r")) if bounded else F.col("_h")
+    return d.withColumns({"n_ref": F.length("_r").cast("long"), "edits": F.when(F.length("_r") == 0, 0).otherwise(F.levenshtein(F.col("_r"), h)).cast("long")}).drop("_r", "_h")
 
 
 def micro_rate(edits: Column, n: Column) -> Column:
@@ -70,12 +56,12 @@ def _grams(items, n: int) -> Counter:
 
 
 def _chrf_words(s: str) -> list[str]:
-    """Words with a leading or trailing punctuation mark taken off as one of its own (Popović 2017)."""
+    """Words with a trailing, else a leading mark of ASCII punctuation taken off as one of its own (Popović 2017)."""
     out = []
     for w in s.split():
-        if len(w) > 1 and not w[-1].isalnum():
+        if len(w) > 1 and w[-1] in string.punctuation:
             out += [w[:-1], w[-1]]
-        elif len(w) > 1 and not w[0].isalnum():
+        elif len(w) > 1 and w[0] in string.punctuation:
             out += [w[0], w[1:]]
         else:
             out.append(w)
@@ -83,27 +69,27 @@ def _chrf_words(s: str) -> list[str]:
 
 
 def chrf_counts(ref: str | None, hyp: str | None) -> list[int]:
-    """Matches, n-grams of the hypothesis and of the reference, for six character and two word orders."""
+    """Matches, n-grams of the hypothesis and of the reference, for six character and two word orders.
+
+    Where the reference has no n-gram of an order, those of the hypothesis don't count either.
+    """
     ref, hyp = ref or "", hyp or ""
     out: list[int] = []
     for r, h, orders in (("".join(ref.split()), "".join(hyp.split()), CHAR_ORDERS), (_chrf_words(ref), _chrf_words(hyp), WORD_ORDERS)):
         for n in range(1, orders + 1):
             a, b = _grams(r, n), _grams(h, n)
-            out += [sum((a & b).values()), sum(b.values()), sum(a.values())]
+            out += [sum((a & b).values()), sum(b.values()) if a else 0, sum(a.values())]
     return out
 
 
-def chrf_score(counts: list[int]) -> float:
-    """chrF++ in percent; orders that either side lacks are left out of the mean."""
-    f, orders = 0.0, 0
-    for k in range(0, len(counts), 3):
-        m, h, r = counts[k : k + 3]
-        if h and r:
-            orders += 1
-            p, q = m / h, m / r
-            if p + q:
-                f += (1 + BETA**2) * p * q / (BETA**2 * p + q)
-    return 100.0 * f / orders if orders else 0.0
+def chrf_of(counts: str) -> Column:
+    """chrF++ in percent of an array of counts: precisions and recalls are averaged over the orders that both sides have, then one F."""
+    c = F.col(counts)
+    both = [(c[k + 1] > 0) & (c[k + 2] > 0) for k in range(0, 3 * (CHAR_ORDERS + WORD_ORDERS), 3)]
+    mean = lambda at: sum((F.when(ok, c[3 * k] / c[3 * k + at]).otherwise(0.0) for k, ok in enumerate(both)), F.lit(0.0))
+    n = sum((ok.cast("int") for ok in both), F.lit(0))
+    p, r = mean(1) / n, mean(2) / n
+    return F.when((n > 0) & (p + r > 0), 100.0 * (1 + BETA**2) * p * r / (BETA**2 * p + r)).otherwise(0.0)
 
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
@@ -153,12 +139,9 @@ def chrf_stats(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     ids: dict[str, int] = {}
     chars = ngram_counts([_chars(x) for x in ref], [_chars(x) for x in hyp], CHAR_ORDERS)
     ws = ngram_counts(_numbered([_chrf_words(x or "") for x in ref], ids), _numbered([_chrf_words(x or "") for x in hyp], ids), WORD_ORDERS)
-    return pd.Series(list(np.concatenate((chars, ws), axis=1).reshape(len(ref), -1)))
-
-
-@F.pandas_udf(DoubleType())
-def chrf_of(counts: pd.Series) -> pd.Series:
-    return pd.Series([chrf_score(list(c)) for c in counts])
+    c = np.concatenate((chars, ws), axis=1)
+    c[:, :, 1] *= c[:, :, 2] > 0
+    return pd.Series(list(c.reshape(len(ref), -1)))
 
 
 def bleu_counts(ref: str | None, hyp: str | None) -> list[int]:
@@ -171,7 +154,14 @@ def bleu_counts(ref: str | None, hyp: str | None) -> list[int]:
     return [*out, len(h), len(r)]
 
 
+# Entities that the 13a rules read.
+ENTITIES = {"&quot;": '"', "&amp;": "&", "&lt;": "<", "&gt;": ">"}
+
+
 def _bleu_words(s: str) -> list[str]:
+    s = s.rstrip().replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
+    for name, ch in ENTITIES.items():
+        s = s.replace(name, ch)
     s = re.sub(r"([{-~\[-` -&(-+:-@/])", r" \1 ", f" {s} ")
     s = re.sub(r"([^0-9])([.,])", r"\1 \2 ", s)
     s = re.sub(r"([.,])([^0-9])", r" \1 \2", s)
@@ -179,12 +169,17 @@ def _bleu_words(s: str) -> list[str]:
     return s.split()
 
 
-def bleu_score(c: list[int]) -> float:
-    """Corpus BLEU in percent without smoothing."""
-    if not c[8] or any(c[2 * k] == 0 or c[2 * k + 1] == 0 for k in range(4)):
-        return 0.0
-    p = sum(math.log(c[2 * k] / c[2 * k + 1]) for k in range(4)) / 4
-    return 100.0 * math.exp(p + min(0.0, 1 - c[9] / c[8]))
+def bleu_of(counts: str) -> Column:
+    """Corpus BLEU in percent with exponential smoothing: the k-th order without a match counts as 1 / 2^k of one."""
+    c = F.col(counts)
+    half, logs, some = F.lit(1.0), F.lit(0.0), F.lit(False)
+    for k in range(4):
+        match, total = c[2 * k], c[2 * k + 1]
+        half = F.when(match == 0, half * 2).otherwise(half)
+        logs = logs + F.log(F.when(match == 0, 1 / (half * F.greatest(total, F.lit(1)))).otherwise(match / F.greatest(total, F.lit(1))))
+        some = some | (match > 0)
+    short = F.when(c[8] < c[9], F.exp(1 - c[9] / c[8])).otherwise(1.0)
+    return F.when(some & (c[7] > 0), 100.0 * short * F.exp(logs / 4)).otherwise(0.0)
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -196,11 +191,6 @@ def bleu_stats(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series(list(np.concatenate((c, sizes), axis=1)))
 
 
-@F.pandas_udf(DoubleType())
-def bleu_of(counts: pd.Series) -> pd.Series:
-    return pd.Series([bleu_score(list(c)) for c in counts])
-
-
 def summed(counts: str, n: int) -> Column:
     """Element-wise sum of an array column of n numbers, as an aggregate."""
     return F.array(*[F.sum(F.col(counts)[k]) for k in range(n)])

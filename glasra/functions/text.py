@@ -1,4 +1,4 @@
-"""Column functions on text. All stay in the JVM but `nfc`, for which Spark has no built-in."""
+"""Column functions on text. All stay in the JVM but `nfc`, for which Spark has no built-in, and what takes an outside model."""
 
 from __future__ import annotations
 
@@ -15,17 +15,26 @@ SPACES = r"(?U)\s+"
 
 @F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
-    """Canonical composition; null stays null. Use it only where texts may hold loose accents."""
+    """Canonical composition of every row; null stays null."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x), na_action="ignore")
 
 
+#: What composition may change: marks, and the few letters that are doubles of others. All else is composed already.
+UNCOMPOSED = r"[\p{M}\x{958}-\x{95F}\x{9DC}-\x{9DF}\x{A33}-\x{A36}\x{A59}-\x{A5E}\x{B5C}\x{B5D}\x{F43}-\x{F69}\x{374}\x{37E}\x{387}\x{1F71}-\x{1FFD}\x{2000}\x{2001}\x{2126}\x{212A}\x{212B}\x{2329}\x{232A}\x{1100}-\x{11FF}\x{2ADC}\x{F900}-\x{FAFF}\x{FB1D}-\x{FB4E}\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1D}]"
+
+
+def composed(c: Column) -> Column:
+    """Canonical composition; only rows that may change leave the JVM."""
+    return F.coalesce(nfc(F.when(c.rlike(UNCOMPOSED), c)), c)
+
+
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def normalised(c: Column) -> Column:
-    """Lower case, all but letters, numbers, underscore and blanks to a blank, blanks collapsed. For composed text; see `nfc`."""
-    return trimmed(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", " "), SPACES, " "))
+    """Lower case, composed, all but letters, numbers, underscore and blanks to a blank, blanks collapsed."""
+    return trimmed(F.regexp_replace(F.regexp_replace(composed(F.lower(c)), r"[^\p{L}\p{N}_\s]", " "), SPACES, " "))
 
 
 def words(c: Column) -> Column:
@@ -50,11 +59,12 @@ TRAILERS = (
     r"\s*maybe you (could|meant)\b.*$",
     r"\s*(could|can) you please\b.*$",
 )
-QUOTED = r"""(?s)["“'‘](.+?)["”'’]\s*[.!]?\s*$"""
+# What stands between two double quotes, straight or curly, anywhere; apostrophes are letters of words such as I'm.
+QUOTED = r'(?s)["“”](.+?)["“”]'
 
 
 def unwrapped(c: Column) -> Column:
-    """The quoted end of a chat answer if it has one, else the answer without its opening and closing phrases."""
+    """What a chat answer quotes first if it quotes a word, else the answer without its opening and closing phrases."""
     t = trimmed(c)
     quoted = trimmed(F.regexp_extract(t, QUOTED, 1))
     rest = t
@@ -113,16 +123,22 @@ def token_budget(n: Column, factor: float = 1.25, least: int = 8, most: int | No
     return (F.least(F.lit(most), b) if most is not None else b).cast("long")
 
 
+# How a marking scheme writes the marks of an answer, sums of marks, and bullets.
+MARKS = r"(?i)=\s*\d+\s*mharc"
+SUMS = r"(?i)^.*\b\d+\s*mharc(?:\s*\+\s*\d+\s*mharc)*\b"
+BULLET = r"^(?:[-•]\s*|\d+[.)]\s*)"
+
+
 def rubric_answers(rubric: Column, question: Column) -> Column:
     """Answers that a marking scheme accepts: what stands before each `= N mharc`, without the question, totals and bullets."""
-    parts = F.split(F.coalesce(rubric, F.lit("")), r"(?i)=\s*\d+\s*mharc")
+    parts = F.split(F.coalesce(rubric, F.lit("")), MARKS)
     asked = trimmed(F.regexp_replace(F.coalesce(question, F.lit("")), SPACES, " "))
 
     def clean(p: Column) -> Column:
         p = trimmed(F.regexp_replace(F.regexp_replace(p, r"(?s)^.*\?", ""), SPACES, " "))
         p = F.when((asked != "") & F.startswith(p, asked), trimmed(F.substring(p, F.length(asked) + 1, F.length(p)))).otherwise(p)
-        p = trimmed(F.regexp_replace(p, r"(?i)^.*\b\d+\s*mharc(?:\s*\+\s*\d+\s*mharc)*\b", ""))
-        return trimmed(F.regexp_replace(p, r"^(?:[-•]\s*|\d+[.)]\s*)", ""))
+        p = trimmed(F.regexp_replace(p, SUMS, ""))
+        return trimmed(F.regexp_replace(p, BULLET, ""))
 
     return F.filter(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), clean), lambda x: x != "")
 
@@ -135,3 +151,25 @@ def budget_of_longest(answers: Column, factor: float = 1.25, least: int = 8, mos
 def dashed(c: Column, digits: int = 1) -> Column:
     """A number as text, a dash for null."""
     return F.when(c.isNull(), F.lit("–")).otherwise(F.format_string(f"%.{digits}f", c))
+
+
+def classified(c: Column, model) -> Column:
+    """Struct `label, confidence` by an outside classifier, `model(list of texts) -> list of (label, confidence)`, in batches.
+
+    White space is flattened first, as classifiers take a line. Null and blank texts aren't asked about: they are `empty` with
+    confidence 1.0.
+    """
+
+    @F.pandas_udf("label string, confidence double")
+    def run(s: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"label": ["empty"] * len(s), "confidence": [1.0] * len(s)})
+        asked = [i for i, t in enumerate(s) if t]
+        if asked:
+            got = list(model([s.iloc[i] for i in asked]))
+            if len(got) != len(asked):
+                raise ValueError(f"{len(got)} labels for {len(asked)} texts")
+            out.loc[asked, "label"] = [str(label) for label, _ in got]
+            out.loc[asked, "confidence"] = [float(p) for _, p in got]
+        return out
+
+    return run(F.coalesce(trimmed(F.regexp_replace(c, SPACES, " ")), F.lit("")))

@@ -23,7 +23,7 @@ def _trim(x: str) -> str:
 
 
 def _norm(x: str) -> str:
-    return _trim(rf"regexp_replace(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '{_SP}', ' ', 'g')")
+    return _trim(rf"regexp_replace(regexp_replace(nfc_normalize(lower({x})), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '{_SP}', ' ', 'g')")
 
 
 @query(f"SELECT row_id, {_norm('ref')} AS ref_norm, length({_norm('ref')}) AS n_chars FROM asr_pairs")
@@ -31,33 +31,97 @@ def normalised_refs(spark, d):
     return read(spark, d, "asr_pairs").select("row_id", T.normalised(F.col("ref")).alias("ref_norm"), F.length(T.normalised(F.col("ref"))).cast("long").alias("n_chars"))
 
 
+def _words_sql(x: str) -> str:
+    return f"list_filter(string_split(coalesce({_norm(x)}, ''), ' '), lambda w: w <> '')"
+
+
+def _errors_sql(table: str, group: str, ref: str, hyp: str, bounded: bool = False, chars: bool = False) -> str:
+    """Edits by DuckDB's distance, which counts bytes, of strings with one byte for each different item of a pair."""
+    items = (lambda x: f"string_split(coalesce({_norm(x)}, ''), '')") if chars else _words_sql
+    code = "array_to_string(list_transform({0}, lambda w: chr(list_position(among, w)::INT)), '')"
+    h = "h[:len(r)]" if bounded else "h"
+    return f"""
+a AS (SELECT {group}, list_filter({items(ref)}, lambda w: w <> '') AS r, list_filter({items(hyp)}, lambda w: w <> '') AS h FROM {table}),
+b AS (SELECT {group}, r, {h} AS h FROM a), c AS (SELECT {group}, r, h, list_distinct(list_concat(r, h)) AS among FROM b),
+e AS (SELECT {group}, len(r) AS n_ref, CASE WHEN len(r) = 0 THEN 0 ELSE levenshtein({code.format("r")}, {code.format("h")}) END AS edits FROM c)"""
+
+
+_RATE = "round(sum(edits) * 100.0 / greatest(1, sum(n_ref)), 6)"
+
+
+def _rates(e, group, name):
+    return e.groupBy(group).agg(F.sum("edits").alias("edits"), F.sum("n_ref").alias("n_ref"), F.round(M.micro_rate(F.col("edits"), F.col("n_ref")), 6).alias(name))
+
+
+@query(f"WITH {_errors_sql('asr_pairs', 'decoder', 'ref', 'hyp')} SELECT decoder, count(*) AS n, sum(edits)::BIGINT AS edits, sum(n_ref)::BIGINT AS n_ref, {_RATE} AS wer FROM e GROUP BY decoder")
 def wer_by_decoder(spark, d):
-    """Plain word error rate, micro-averaged, with composed texts."""
-    p = spread(read(spark, d, "asr_pairs").select("decoder", "ref", "hyp")).select("decoder", T.nfc("ref").alias("ref"), T.nfc("hyp").alias("hyp"))
-    e = M.word_errors(p)
+    """Plain word error rate, micro-averaged."""
+    e = M.word_errors(spread(read(spark, d, "asr_pairs").select("decoder", "ref", "hyp")))
     return e.groupBy("decoder").agg(F.count("*").alias("n"), F.sum("edits").alias("edits"), F.sum("n_ref").alias("n_ref"), F.round(M.micro_rate(F.col("edits"), F.col("n_ref")), 6).alias("wer"))
 
 
+@query(f"WITH {_errors_sql('asr_pairs', 'decoder', 'ref', 'hyp', True)} SELECT decoder, sum(edits)::BIGINT AS edits, sum(n_ref)::BIGINT AS n_ref, {_RATE} AS wer FROM e GROUP BY decoder")
 def wer_bounded(spark, d):
     """Word error rate with the hypothesis cut to the reference's length: at most 100."""
-    p = spread(read(spark, d, "asr_pairs").select("decoder", "ref", "hyp")).select("decoder", T.nfc("ref").alias("ref"), T.nfc("hyp").alias("hyp"))
-    e = M.word_errors(p, bounded=True)
-    return e.groupBy("decoder").agg(F.sum("edits").alias("edits"), F.sum("n_ref").alias("n_ref"), F.round(M.micro_rate(F.col("edits"), F.col("n_ref")), 6).alias("wer"))
+    return _rates(M.word_errors(spread(read(spark, d, "asr_pairs").select("decoder", "ref", "hyp")), bounded=True), "decoder", "wer")
 
 
+@query(f"WITH {_errors_sql('asr_pairs', 'decoder', 'ref', 'hyp', chars=True)} SELECT decoder, sum(edits)::BIGINT AS edits, sum(n_ref)::BIGINT AS n_ref, {_RATE} AS cer FROM e GROUP BY decoder")
 def cer_by_decoder(spark, d):
     """Character error rate by the built-in distance, in code points."""
-    e = M.char_errors(read(spark, d, "asr_pairs").select("decoder", "ref", "hyp"))
-    return e.groupBy("decoder").agg(F.sum("edits").alias("edits"), F.sum("n_ref").alias("n_ref"), F.round(M.micro_rate(F.col("edits"), F.col("n_ref")), 6).alias("cer"))
+    return _rates(M.char_errors(spread(read(spark, d, "asr_pairs").select("decoder", "ref", "hyp"))), "decoder", "cer")
+
+
+@query(f"WITH {_errors_sql('asr_pairs', 'decoder', 'ref', 'hyp', True, True)} SELECT decoder, sum(edits)::BIGINT AS edits, sum(n_ref)::BIGINT AS n_ref, {_RATE} AS cer FROM e GROUP BY decoder")
+def cer_bounded(spark, d):
+    """Character error rate with the hypothesis cut to the reference's length: at most 100."""
+    return _rates(M.char_errors(spread(read(spark, d, "asr_pairs").select("decoder", "ref", "hyp")), bounded=True), "decoder", "cer")
+
 
+_QUOTE = _trim(r"""regexp_extract(t, '(?s)["“”](.+?)["“”]', 1)""")
+_REST = "t"
+for _p in (*T.LEADS, *T.TRAILERS):
+    _REST = f"regexp_replace({_REST}, '(?i){_p}', '')"
+_UNWRAPPED = f"(SELECT model, reference, CASE WHEN {_QUOTE} <> '' THEN {_QUOTE} ELSE {_trim(_REST)} END AS hyp FROM (SELECT model, reference, {_trim('coalesce(hypothesis, chr(32))')} AS t FROM decodes))"
 
+
+@query(f"WITH {_errors_sql(_UNWRAPPED, 'model', 'reference', 'hyp')} SELECT model, sum(edits)::BIGINT AS edits, sum(n_ref)::BIGINT AS n_ref, {_RATE} AS wer FROM e GROUP BY model")
 def wer_stripped(spark, d):
     """Word error rate after chat phrases are taken off the hypotheses."""
     p = spread(read(spark, d, "decodes").select("model", "reference", "hypothesis")).select("model", F.col("reference").alias("ref"), T.unwrapped(F.coalesce("hypothesis", F.lit(""))).alias("hyp"))
-    e = M.word_errors(p)
-    return e.groupBy("model").agg(F.sum("edits").alias("edits"), F.sum("n_ref").alias("n_ref"), F.round(M.micro_rate(F.col("edits"), F.col("n_ref")), 6).alias("wer"))
+    return _rates(M.word_errors(p), "model", "wer")
+
+
+def _grams_sql(tokens: str, orders: str) -> str:
+    """n-gram counts of each row, kind of token and order: matches, of the hypothesis and of the reference, by unnesting."""
+    return f"""
+rows AS (SELECT row_number() OVER () AS k, row_id, model, condition, coalesce(reference, '') AS ref, coalesce(hypothesis, '') AS hyp FROM decodes),
+sides AS (SELECT k, 'r' AS side, ref AS t FROM rows UNION ALL SELECT k, 'h', hyp FROM rows),
+tokens AS ({tokens}),
+grams AS (SELECT k, side, kind, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], chr(31)))) AS g FROM tokens, (VALUES {orders}) AS o(kind2, n) WHERE kind = kind2 AND len(w) >= n),
+counts AS (SELECT k, kind, n, g, count(*) FILTER (WHERE side = 'h') AS h, count(*) FILTER (WHERE side = 'r') AS r FROM grams GROUP BY ALL),
+stats AS (SELECT k, kind, n, sum(least(h, r)) AS m, sum(h) AS h, sum(r) AS r FROM counts GROUP BY ALL)"""
+
+
+_ASCII_MARKS = r"""'!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~'"""
+_LIST = f"list_filter(regexp_split_to_array(t, '{_SP}'), lambda x: x <> '')"
+_CHRF_TOKENS = f"""
+SELECT k, side, 'c' AS kind, list_filter(string_split(regexp_replace(t, '{_SP}', '', 'g'), ''), lambda x: x <> '') AS w FROM sides
+UNION ALL SELECT k, side, 'w', flatten(list_transform({_LIST}, lambda x: CASE WHEN length(x) > 1 AND contains({_ASCII_MARKS}, right(x, 1)) THEN [left(x, -1), right(x, 1)] WHEN length(x) > 1 AND contains({_ASCII_MARKS}, left(x, 1)) THEN [left(x, 1), right(x, -1)] ELSE [x] END)) FROM sides"""
+_CHRF_STATS = _grams_sql(_CHRF_TOKENS, ", ".join([f"('c', {n})" for n in range(1, 7)] + ["('w', 1)", "('w', 2)"]))
 
 
+def _chrf_sql(by: str, more: str = "") -> str:
+    group = "GROUP BY ALL"
+    return f"""WITH {_CHRF_STATS},
+own AS (SELECT k, kind, n, m, CASE WHEN r > 0 THEN h ELSE 0 END AS h, r FROM stats),
+summed AS (SELECT {by}, kind, n, sum(m) AS m, sum(h) AS h, sum(r) AS r FROM own JOIN rows USING (k) {group}),
+means AS (SELECT {by}, avg(m / h) FILTER (WHERE h > 0 AND r > 0) AS p, avg(m / r) FILTER (WHERE h > 0 AND r > 0) AS q FROM summed {group}),
+asked AS (SELECT {by}, count(*) AS n FROM rows {group})
+SELECT {by.replace("k, ", "")}{more}, round(CASE WHEN p + q > 0 THEN 500.0 * p * q / (4 * p + q) ELSE 0.0 END, 6) AS chrfpp FROM asked LEFT JOIN means USING ({by})"""
+
+
+@query(_chrf_sql("model, condition", ", n"))
 def chrf_by_model(spark, d):
     """Corpus chrF++: summed n-gram counts, then the score."""
     s = spread(read(spark, d, "decodes").select("model", "condition", "reference", "hypothesis")).select("model", "condition", M.chrf_stats("reference", "hypothesis").alias("c"))
@@ -65,21 +129,35 @@ def chrf_by_model(spark, d):
     return g.select("model", "condition", "n", F.round(M.chrf_of("c"), 6).alias("chrfpp"))
 
 
+@query(_chrf_sql("k, row_id"))
 def chrf_sentences(spark, d):
     s = spread(read(spark, d, "decodes").select("row_id", "reference", "hypothesis")).select("row_id", M.chrf_stats("reference", "hypothesis").alias("c"))
     return s.select("row_id", F.round(M.chrf_of("c"), 6).alias("chrfpp"))
 
 
+_13A = rf"replace(replace(replace(regexp_replace(t, '{_SP}$', ''), '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+for _name, _ch in M.ENTITIES.items():
+    _13A = f"replace({_13A}, '{_name}', '{_ch}')"
+_13A = f"' ' || {_13A} || ' '"
+for _a, _b in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+    _13A = f"regexp_replace({_13A}, '{_a}', '{_b}', 'g')"
+_BLEU_TOKENS = f"SELECT k, side, 'w' AS kind, list_filter(regexp_split_to_array({_13A}, '{_SP}'), lambda x: x <> '') AS w FROM sides"
+
+
+@query(f"""WITH {_grams_sql(_BLEU_TOKENS, "('w', 1), ('w', 2), ('w', 3), ('w', 4)")},
+lens AS (SELECT model, condition, sum(CASE WHEN side = 'h' THEN len(w) ELSE 0 END) AS hl, sum(CASE WHEN side = 'r' THEN len(w) ELSE 0 END) AS rl FROM tokens JOIN rows USING (k) GROUP BY ALL),
+summed AS (SELECT model, condition, n, sum(m) AS m, sum(h) AS h FROM stats JOIN rows USING (k) GROUP BY ALL),
+halved AS (SELECT *, sum(CASE WHEN m = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY model, condition ORDER BY n) AS z FROM summed),
+logs AS (SELECT model, condition, max(CASE WHEN n = 4 THEN h END) AS h4, sum(m) AS matched, sum(ln(CASE WHEN m = 0 THEN 1.0 / (pow(2, z) * greatest(h, 1)) ELSE m / h END)) AS l FROM halved GROUP BY ALL)
+SELECT model, condition, round(CASE WHEN matched > 0 AND h4 > 0 THEN 100.0 * exp(l / 4) * CASE WHEN hl < rl THEN exp(1 - rl / hl) ELSE 1.0 END ELSE 0.0 END, 6) AS bleu, hl::BIGINT AS hyp_words, rl::BIGINT AS ref_words
+FROM lens LEFT JOIN logs USING (model, condition)""")
 def bleu_by_model(spark, d):
+    """Corpus BLEU by the 13a rules, with exponential smoothing, and both lengths."""
     s = spread(read(spark, d, "decodes").select("model", "condition", "reference", "hypothesis")).select("model", "condition", M.bleu_stats("reference", "hypothesis").alias("c"))
     g = s.groupBy("model", "condition").agg(M.summed("c", 10).alias("c"))
     return g.select("model", "condition", F.round(M.bleu_of("c"), 6).alias("bleu"), F.col("c")[8].alias("hyp_words"), F.col("c")[9].alias("ref_words"))
 
 
-for _f in (wer_by_decoder, wer_bounded, cer_by_decoder, wer_stripped, chrf_by_model, chrf_sentences, bleu_by_model):
-    query()(_f)
-
-
 @query(r"""
 SELECT row_id, regexp_replace(hypothesis, '(?s)<\|[^|>]{1,40}\|>.*$', '') AS cut, ((length(hypothesis) - length(replace(hypothesis, '<|endoftext|>', ''))) // 13)::BIGINT AS n_marks FROM decodes""")
 def cut_at_special(spark, d):

@@ -21,11 +21,13 @@ def plain_edits(a, b):
     return int(d[-1, -1])
 
 
-def test_edit_distance_against_the_full_table():
+def test_edit_distance_against_the_full_table(spark):
     rnd = random.Random(1)
-    for _ in range(300):
-        a, b = ([rnd.choice("abcd") for _ in range(rnd.randint(0, 9))] for _ in range(2))
-        assert M.edit_distance(a, b) == plain_edits(a, b)
+    rows = [tuple([rnd.choice(["an", "teach", "mór", "tá", ""]) for _ in range(rnd.randint(0, 9))] for _ in range(2)) for _ in range(300)]
+    rows += [([f"w{k}" for k in range(700)], [f"w{k}" for k in range(5, 700, 2)]), ([], ["a"])]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    for r in df.select("a", "b", M.word_edits(F.col("a"), F.col("b")).alias("n")).collect():
+        assert r.n == (plain_edits(r.a, r.b) if r.a else 0)
 
 
 def test_error_rates(spark):
@@ -40,15 +42,73 @@ def test_error_rates(spark):
     assert M.word_errors(df.limit(0)).count() == 0
 
 
-def test_chrf_and_bleu():
-    assert M.chrf_score(M.chrf_counts("an teach mór", "an teach mór")) == pytest.approx(100)
-    assert M.chrf_score(M.chrf_counts("abc", "xyz")) == 0 and M.chrf_score(M.chrf_counts(None, None)) == 0
-    c = M.chrf_counts("ab", "ac")
-    assert c[:6] == [1, 2, 2, 0, 1, 1]
-    assert M.bleu_score(M.bleu_counts("the cat sat on the mat", "the cat sat on the mat")) == pytest.approx(100)
-    short = M.bleu_score(M.bleu_counts("the cat sat on the mat", "the cat sat on"))
-    assert short == pytest.approx(100 * np.exp(1 - 6 / 4))
-    assert M.bleu_counts("a, b.", "a b")[9] == 4
+def plain_chrf(c):
+    """By the public definition: means of precision and recall over the orders that both sides have, then one F."""
+    used = [c[k : k + 3] for k in range(0, 24, 3) if c[k + 1] and c[k + 2]]
+    p, r = (sum(x[0] / x[at] for x in used) / len(used) if used else 0 for at in (1, 2))
+    return 500 * p * r / (4 * p + r) if p + r else 0.0
+
+
+def plain_bleu(c):
+    if not any(c[0:8:2]) or not c[7]:
+        return 0.0
+    logs, half = 0.0, 1.0
+    for k in range(4):
+        if c[2 * k] == 0:
+            half *= 2
+            logs += np.log(1 / (half * c[2 * k + 1]))
+        else:
+            logs += np.log(c[2 * k] / c[2 * k + 1])
+    return 100 * np.exp(logs / 4) * (np.exp(1 - c[9] / c[8]) if c[8] < c[9] else 1)
+
+
+def test_chrf_and_bleu(spark):
+    def chrf(r, h):
+        return spark.createDataFrame([(M.chrf_counts(r, h),)], "c array<bigint>").select(M.chrf_of("c").alias("x")).first().x
+
+    def bleu(r, h):
+        return spark.createDataFrame([(M.bleu_counts(r, h),)], "c array<bigint>").select(M.bleu_of("c").alias("x")).first().x
+
+    assert chrf("an teach mór", "an teach mór") == pytest.approx(100)
+    assert chrf("abc", "xyz") == 0 and chrf(None, None) == 0 and chrf("", "abc") == 0
+    assert M.chrf_counts("ab", "ac")[:6] == [1, 2, 2, 0, 1, 1] and M.chrf_counts("", "ac")[:3] == [0, 0, 0]
+    assert M._chrf_words("“dia” (cat) mór, a. . cafe\u0301") == ["“dia”", "(cat", ")", "mór", ",", "a", ".", ".", "cafe\u0301"]
+    assert bleu("the cat sat on the mat", "the cat sat on the mat") == pytest.approx(100)
+    assert bleu("the cat sat on the mat", "the cat sat on") == pytest.approx(100 * np.exp(1 - 6 / 4))
+    # three words in a row, no four: the last order counts half of one
+    assert bleu("the cat sat on the mat", "the cat sat upon a mat") == pytest.approx(100 * (4 / 6 * 2 / 5 * 1 / 4 * 1 / (2 * 3)) ** 0.25)
+    assert bleu("a b", "c d") == 0 and bleu("a b c d", "") == 0 and bleu("a b c", "a b c") == 0
+    assert M.bleu_counts("a, b.", "a b")[9] == 4 and M._bleu_words("&lt;a&gt; &amp; 3.5-4") == ["<", "a", ">", "&", "3.5", "-", "4"]
+    rnd = random.Random(4)
+    rows = [[" ".join(rnd.choice(["an", "teach", "mór.", "(tá", "“sé”"]) for _ in range(rnd.randint(0, 12))) for _ in range(2)] for _ in range(150)]
+    df = spark.createDataFrame(rows, "r string, h string").select(M.chrf_stats("r", "h").alias("c"), M.bleu_stats("r", "h").alias("b"))
+    for r in df.select("c", "b", M.chrf_of("c").alias("x"), M.bleu_of("b").alias("y")).collect():
+        assert r.x == pytest.approx(plain_chrf(r.c)) and r.y == pytest.approx(plain_bleu(r.b))
+
+
+def test_composition_is_found_where_it_changes_a_text(spark):
+    import unicodedata
+
+    rows = [(c, unicodedata.normalize("NFC", c)) for c in map(chr, [*range(1, 0xD800), *range(0xE000, 0x30000)])]
+    odd = [r for r in rows if r[0] != r[1]] + [("cafe\u0301", "café"), ("mór", "mór"), (None, None)]
+    df = spark.createDataFrame(odd, "a string, b string")
+    assert df.where(~T.composed(F.col("a")).eqNullSafe(F.col("b"))).count() == 0
+    assert one(spark, T.normalised(F.lit("CAFE\u0301 x\u0323!"))) == "café x" or one(spark, T.normalised(F.lit("CAFE\u0301"))) == "café"
+
+
+def test_outside_classifiers(spark):
+    calls = []
+
+    def model(texts):
+        calls.append(len(texts))
+        return [("ga" if "tá" in t else "en", 0.5 + len(t) / 1000) for t in texts]
+
+    df = spark.createDataFrame([(1, "tá\n sé"), (2, None), (3, " \t"), (4, "it is")], "i int, t string")
+    got = {r.i: tuple(r.c) for r in df.select("i", T.classified(F.col("t"), model).alias("c")).collect()}
+    assert got == {1: ("ga", 0.505), 2: ("empty", 1.0), 3: ("empty", 1.0), 4: ("en", 0.505)}
+    assert df.limit(0).select(T.classified(F.col("t"), model).alias("c")).count() == 0
+    with pytest.raises(Exception, match="labels for"):
+        df.select(T.classified(F.col("t"), lambda ts: []).alias("c")).collect()
 
 
 def test_text_columns(spark):
@@ -66,9 +126,15 @@ def test_text_columns(spark):
 def test_unwrapped_answers(spark):
     for s, want in [
         ('The exact words spoken in the audio are: "Dia duit."', "Dia duit."),
+        ('The words spoken in the audio are “dia is muire”. If you want more, feel free to ask.', "dia is muire"),
         ("The audio says: dia duit. If you have any other questions, ask!", "dia duit."),
         ("Sure! Here's the transcription: dia duit Let me know.", "dia duit"),
         ("dia duit", "dia duit"),
+        ('He said "dia duit" and then more text', "dia duit"),
+        ("I'm sorry, the speaker said 'hello'", "I'm sorry, the speaker said 'hello'"),
+        ("I'm sorry, I can't make it out. Maybe you could send it again.", "I'm sorry, I can't make it out."),
+        ('an "" teach', 'an "" teach'),
+        ('"a\nb" rud', "a\nb"),
     ]:
         assert one(spark, T.unwrapped(F.lit(s))) == want
 
