@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 QUESTION = "array<struct<question_id:string,question_number:string,text_ga:string,rubric_ga:string,marks_available:int,blanks_required:int,canuint:string>>"
@@ -55,10 +55,41 @@ def last_of(df: DataFrame, by: str, order: str) -> DataFrame:
     return df.groupBy(by).agg(F.max_by(F.struct(*[F.col(c) for c in df.columns]), order).alias("_r")).select("_r.*")
 
 
-def at_most_fraction(df: DataFrame, by: str, fraction: str) -> DataFrame:
-    """Rows at the greatest fraction of their group, within the tolerance of a float comparison."""
-    top = F.max(fraction).over(W.partitionBy(by))
-    return df.withColumn("_top", top).where(F.abs(F.col(fraction) - F.col("_top")) <= 1e-8 + 1e-5 * F.abs("_top")).drop("_top")
+def judged(rows: DataFrame, verdicts: DataFrame, answer: str = "answer") -> DataFrame:
+    """`rows` with the `marks` and `reason` of their stored verdict on (model, question_id, condition).
+
+    Without one a blank answer has 0 marks and its reason, any other has null marks: it is pending.
+    """
+    v = verdicts.select("model", "question_id", "condition", F.col("marks").alias("_marks"), F.col("reason").alias("_reason"), F.lit(True).alias("_told"))
+    blank = F.coalesce(F.trim(answer), F.lit("")) == ""
+    j = rows.join(v, ["model", "question_id", "condition"], "left")
+    marks = F.when(F.col("_told"), F.col("_marks")).when(blank, 0)
+    reason = F.when(F.col("_told"), F.coalesce("_reason", F.lit(""))).when(blank, "no answer given")
+    return j.withColumns({"marks": marks, "reason": reason}).drop("_marks", "_reason", "_told")
+
+
+def best_over(scores: DataFrame, by: list[str], layer: str, score: str) -> DataFrame:
+    """`by, best, best_layer`: the greatest score over layers, the first layer that has it; from 0, so layer 0 where none is above it.
+
+    Scores that are null or not a number are left out.
+    """
+    s = F.when(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & (F.col(score) > 0), F.col(score))
+    best = F.max_by(layer, F.when(s.isNotNull(), F.struct(s, -F.col(layer))))
+    return scores.groupBy(*by).agg(F.coalesce(F.max(s), F.lit(0.0)).alias("best"), F.coalesce(best, F.lit(0)).alias("best_layer"))
+
+
+def chart(df: DataFrame, mark: str, x: str, y: str, value: str | None = None, limit: int = 5000) -> str:
+    """A small report frame as a Vega-Lite document: `rect` with `value` is a heat map, `bar` groups by it, `line` has one for each."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows")
+    kind = {f.name: "quantitative" if f.dataType.typeName() in ("double", "float", "long", "integer", "bigint", "int") else "nominal" for f in df.schema}
+    axes = {"x": {"field": x, "type": "nominal" if mark in ("rect", "bar") else kind[x]}, "y": {"field": y, "type": "nominal" if mark == "rect" else kind[y]}}
+    if value:
+        axes["color"] = {"field": value, "type": kind[value]}
+        if mark == "bar":
+            axes["xOffset"] = {"field": value}
+    return json.dumps({"$schema": "https://vega.github.io/schema/vega-lite/v5.json", "mark": mark, "data": {"values": [r.asDict(recursive=True) for r in rows]}, "encoding": axes}, ensure_ascii=False, default=str)
 
 
 def markdown(df: DataFrame, limit: int = 1000) -> str:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glasra.session import checkpointed
@@ -56,12 +56,16 @@ def chunk_starts(n: Column, size: int) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
 
 
-def chunks(df: DataFrame, items: str, size: int, keep: list[str]) -> DataFrame:
-    """`keep` columns, `chunk`, `start`, `part`: windows of at most `size` items in order, the last one as it falls; size 0 is one window."""
+def chunks(df: DataFrame, items: str, size: int, keep: list[str], least: int = 1) -> DataFrame:
+    """`keep` columns, `chunk`, `start`, `part`: windows of at most `size` items in order, the last one as it falls; size 0 is one window.
+
+    Windows of fewer than `least` items are dropped.
+    """
     c = F.col(items)
     if size <= 0:
-        return df.where(F.size(c) > 0).select(*keep, F.lit(0).alias("chunk"), F.lit(0).alias("start"), c.alias("part"))
-    return df.select(*keep, c.alias("_c"), F.posexplode(chunk_starts(F.size(c), size)).alias("chunk", "start")).select(*keep, "chunk", "start", F.slice("_c", F.col("start") + 1, F.lit(size)).alias("part"))
+        return df.where(F.size(c) >= max(1, least)).select(*keep, F.lit(0).alias("chunk"), F.lit(0).alias("start"), c.alias("part"))
+    starts = F.filter(chunk_starts(F.size(c), size), lambda at: F.size(c) - at >= least)
+    return df.select(*keep, c.alias("_c"), F.posexplode(starts).alias("chunk", "start")).select(*keep, "chunk", "start", F.slice("_c", F.col("start") + 1, F.lit(size)).alias("part"))
 
 
 def reassembled(df: DataFrame, key: str, chunk: str = "chunk", part: str = "part") -> DataFrame:
@@ -108,6 +112,12 @@ def packed(df: DataFrame, items: str, order: str, length: int, by: list[str] | N
     return d.groupBy(*keys, "window").agg(tokens.alias("tokens")).where(F.size("tokens") == length).select(*by, "window", "tokens")
 
 
+def audio_tokens(frames: Column) -> Column:
+    """Tokens that an audio encoder makes of so many mel frames by its lengths alone: a convolution of stride 2, then pooling by 2; 25 of 100."""
+    conv = F.floor((frames - 1) / 2) + 1
+    return F.when(frames > 0, F.greatest(F.lit(0), F.floor((conv - 2) / 2) + 1)).otherwise(0).cast("long")
+
+
 def padded(df: DataFrame, items: str, batch: str, value: int = -100) -> DataFrame:
     """`df` with `items` filled up to the longest of its batch, and `mask` of what is real. Batches are small by their nature."""
     longest = df.groupBy(batch).agg(F.max(F.size(items)).alias("_most"))
@@ -151,24 +161,34 @@ def first_of(items: Column, stops: list[int]) -> Column:
 
 
 def changed(df: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
-    """Rows whose value differs from the one before in their group: run-length dedup of a long table."""
-    w = W.partitionBy(by).orderBy(*order)
-    prev = F.lag(value).over(w)
-    return df.withColumn("_first", F.row_number().over(w) == 1).withColumn("_new", ~F.col(value).eqNullSafe(prev)).where("_first or _new").drop("_first", "_new")
+    """Rows whose value differs from the one before in their group, and first ones: run-length dedup of a long table, however large a group."""
+    from glasra.operators.sampling import previous
+
+    d = previous(df, [by], F.struct(by, *order), value, "_before")
+    return d.where(F.col("_before").isNull() | ~F.col(value).eqNullSafe(F.col("_before.value"))).drop("_before")
 
 
-def restored_turns(df: DataFrame, key: str, turns: str, work, batch: int = 2000) -> DataFrame:
+def restored_turns(df: DataFrame, key: str, turns: str, work, batch: int = 2000, tries: int = 3, wait: float = 1.0) -> DataFrame:
     """`key`, `turns` with `work` (list of texts to list of texts) done on all turns in batches that cross records; blank turns pass by as ''.
 
-    A batch whose answer has another length is halved and tried again, so each turn gets one answer.
+    A batch whose answer has another length is halved and tried again, so each turn gets one answer; a single turn that doesn't
+    ends the job. A call that fails is made again, `tries` times in all, after `wait` seconds, then twice that, and so on.
     """
 
+    def call(texts: list[str]) -> list[str]:
+        for k in range(1, tries):
+            try:
+                return list(work(texts))
+            except Exception:  # noqa: BLE001 a service may fail in any way
+                time.sleep(wait * k)
+        return list(work(texts))
+
     def one_each(texts: list[str]) -> list[str]:
-        got = list(work(texts))
+        got = call(texts)
         if len(got) == len(texts):
             return got
         if len(texts) == 1:
-            return texts
+            raise ValueError(f"{len(got)} answers for one turn")
         k = len(texts) // 2
         return one_each(texts[:k]) + one_each(texts[k:])
 

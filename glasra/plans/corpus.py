@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from glasra.functions.text import n_words
 from glasra.operators import sampling as S
-from glasra.tables import read
+from glasra.session import checkpointed
+from glasra.tables import read, source_name
 
 QUERIES: dict = {}
 SQL: dict = {}
 
+#: Source in one spelling, as `source_name` has it.
+SOURCE_SQL = r"regexp_replace(regexp_replace(lower(trim(source)), '(\.parquet|\.jsonl|\.json|\.txt)$', ''), '[\s\-]+', '_', 'g')"
 _WORDS = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s\\v\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+'), lambda x: x <> ''))"
 _TOKENS = r"len(regexp_extract_all(coalesce(text, ''), '[\p{L}]+|\p{N}|[^\s\p{L}\p{N}]'))"
 
@@ -26,6 +29,12 @@ def query(sql: str | None = None):
     return add
 
 
+def _counted(spark, d, *columns, where="true"):
+    """The given columns, words and bytes of the documents, cut from their lineage: texts are read and split once, whatever follows."""
+    t = read(spark, d, "documents").where(where)
+    return checkpointed(t.select(*columns, n_words(F.col("text")).alias("n_words"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes")))
+
+
 def _docs(spark, d):
     return read(spark, d, "documents").withColumn("n_words", n_words(F.col("text")))
 
@@ -77,10 +86,10 @@ UNION ALL SELECT '(all)', sum(total_words)::BIGINT, sum(sample_words)::BIGINT, s
   round(sum(CASE WHEN sample_words > 0 THEN total_words * (sample_tokens / sample_words::DOUBLE) ELSE 0 END), 3) FROM s""")
 def stratified_token_estimate(spark, d):
     """Each source's words times the token ratio of its sample; small sources whole, larger ones by hash acceptance."""
-    b = _docs(spark, d).where("source is not null").select("source", "doc_id", "n_words", _tokens().alias("t"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
+    b = _counted(spark, d, "source", "doc_id", _tokens().alias("t"), where="source is not null")
     total = b.groupBy("source").agg(F.sum("bytes").alias("all_bytes"))
     p = total.select("source", F.when(F.col("all_bytes") < 20000, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.lit(20000.0) / (F.col("all_bytes") / 7.0))).alias("p"))
-    j = b.join(F.broadcast(p), "source")  # a row a source
+    j = b.join(p, "source")
     ok = S.accept(F.col("doc_id"), F.col("p"), "ratio")
     s = j.groupBy("source").agg(F.sum("n_words").alias("total_words"), F.sum(F.when(ok, F.col("n_words")).otherwise(0)).alias("sample_words"), F.sum(F.when(ok, F.col("t")).otherwise(0)).alias("sample_tokens"))
     s = s.withColumn("est", F.when(F.col("sample_words") > 0, F.col("total_words") * (F.col("sample_tokens") / F.col("sample_words"))).otherwise(0.0))
@@ -113,7 +122,7 @@ c AS (SELECT *, coalesce(sum(n_words) OVER (PARTITION BY source ORDER BY doc_id
 SELECT doc_id, source, n_words::BIGINT AS n_words FROM c WHERE before < 5000""")
 def word_budget_prefix(spark, d):
     """Documents of each source in order until 5,000 words are reached, the crossing one included."""
-    b = _docs(spark, d).where("source is not null and text <> ''").select("doc_id", "source", "n_words")
+    b = _counted(spark, d, "doc_id", "source", where="source is not null and text <> ''").drop("bytes")
     return S.budget_prefix(b, ["source"], "doc_id", F.col("n_words"), F.lit(5000))
 
 
@@ -124,9 +133,9 @@ c AS (SELECT *, coalesce(sum(n_words) OVER (PARTITION BY source, rg ORDER BY doc
 SELECT source, rg, count(*) AS n_docs, sum(n_words)::BIGINT AS n_words FROM c WHERE before < slice GROUP BY source, rg""")
 def row_group_budget(spark, d):
     """A source's budget cut evenly over its row groups (blocks of 250 ids here)."""
-    b = _docs(spark, d).where("source is not null and text <> ''").select("doc_id", "source", F.expr("doc_id div 250").alias("rg"), "n_words")
+    b = _counted(spark, d, "doc_id", "source", F.expr("doc_id div 250").alias("rg"), where="source is not null and text <> ''").drop("bytes")
     t = b.groupBy("source").agg(F.greatest(F.lit(1), F.ceil(F.lit(6000.0) / F.countDistinct("rg"))).alias("slice"))
-    out = S.budget_prefix(b.join(F.broadcast(t), "source"), ["source", "rg"], "doc_id", F.col("n_words"), F.col("slice"))
+    out = S.budget_prefix(b.join(t, "source"), ["source", "rg"], "doc_id", F.col("n_words"), F.col("slice"))
     return out.groupBy("source", "rg").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"))
 
 
@@ -140,12 +149,12 @@ c AS (SELECT *, coalesce(sum(n_words) OVER (PARTITION BY source ORDER BY doc_id
 SELECT source, stride, count(*) AS n_docs, sum(n_words)::BIGINT AS n_words FROM c WHERE before < target GROUP BY source, stride""")
 def proportional_stride_sample(spark, d):
     """Targets in proportion to bytes, reached by every n-th document; ordinals count empty rows too."""
-    b = _docs(spark, d).where("source is not null").select("doc_id", "source", "n_words", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
+    b = _counted(spark, d, "doc_id", "source", where="source is not null")
     t = b.groupBy("source").agg(F.sum("n_words").alias("words"), F.sum("bytes").alias("sb"))
     t = t.withColumn("target", F.lit(20000.0) * F.col("sb") / F.sum("sb").over(W.partitionBy(F.lit(1)))).where("target > 0")  # a row a source
     t = t.select("source", "target", F.greatest(F.lit(1), F.bround(F.col("words") / (3.0 * F.col("target")))).cast("long").alias("stride"))
-    o = S.ordinal(b.join(F.broadcast(t), "source"), ["source"], "doc_id")
-    k = o.where("ordinal % stride = 0 and n_words > 0").drop("ordinal")
+    o = S.ordinal(b.join(t, "source"), ["source"], "doc_id")
+    k = checkpointed(o.where("ordinal % stride = 0 and n_words > 0").drop("ordinal"))
     out = S.budget_prefix(k, ["source"], "doc_id", F.col("n_words"), F.col("target"))
     return out.groupBy("source", "stride").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"))
 
@@ -156,7 +165,7 @@ c AS (SELECT *, coalesce(sum(n_words) OVER (PARTITION BY source, batch ORDER BY
 SELECT doc_id, source, batch, n_words::BIGINT AS n_words FROM c WHERE before < 500""")
 def batch_shuffle_budget(spark, d):
     """Batches of 256 shuffled by hash, each taken up to its budget."""
-    b = _docs(spark, d).where("source is not null").withColumn("batch", F.expr("doc_id div 256"))
+    b = _counted(spark, d, "doc_id", "source", F.expr("doc_id div 256").alias("batch"), where="source is not null")
     b = b.select("doc_id", "source", "batch", "n_words", F.conv(F.substring(S.sha_rank("7", F.col("batch"), F.col("doc_id")), 1, 12), 16, 10).cast("long").alias("h"))
     return S.running_total(b, ["source", "batch"], "h", F.col("n_words"), "before", 1 << 40).where("before < 500").select("doc_id", "source", "batch", "n_words")
 
@@ -167,8 +176,8 @@ c AS (SELECT *, coalesce(sum(n_words) OVER (ORDER BY h ROWS BETWEEN UNBOUNDED PR
 SELECT doc_id, n_words::BIGINT AS n_words FROM c WHERE before < 30000""")
 def permuted_budget(spark, d):
     """All documents in hash order up to a budget; the running total goes over blocks of hashes."""
-    b = _docs(spark, d).where("text <> ''").select("doc_id", "n_words", F.conv(F.substring(S.sha_rank("11", F.col("doc_id")), 1, 12), 16, 10).cast("long").alias("h"), F.lit(1).alias("one"))
-    return S.running_total(b, ["one"], "h", F.col("n_words"), "before", 1 << 36).where("before < 30000").select("doc_id", "n_words")
+    b = _counted(spark, d, "doc_id", where="text <> ''").select("doc_id", "n_words", F.conv(F.substring(S.sha_rank("11", F.col("doc_id")), 1, 12), 16, 10).cast("long").alias("h"), F.lit(1).alias("one"))
+    return S.running_total(b, ["one"], "h", F.col("n_words"), "before").where("before < 30000").select("doc_id", "n_words")
 
 
 @query("SELECT doc_id FROM documents ORDER BY sha256('42:' || doc_id::VARCHAR), doc_id LIMIT 100")
@@ -224,9 +233,8 @@ WITH s AS (SELECT id, model, row_number() OVER (PARTITION BY model ORDER BY id,
 SELECT model, id, CASE WHEN r <= 3 THEN 'demo' ELSE 'test' END AS part FROM s""")
 def demo_test_split(spark, d):
     """The first three rows of each model are demonstrations."""
-    w = W.partitionBy("model").orderBy("id", "row_id")
-    first = read(spark, d, "decodes").select("model", "id", "row_id")
-    return first.withColumn("r", F.row_number().over(w)).select("model", "id", F.when(F.col("r") <= 3, "demo").otherwise("test").alias("part"))
+    t = S.first_rows(read(spark, d, "decodes").select("model", "id", "row_id"), ["model"], ["id", "row_id"], 3)
+    return t.select("model", "id", F.when(F.col("is_first"), "demo").otherwise("test").alias("part"))
 
 
 @query("""
@@ -259,14 +267,14 @@ def modality_schedule(spark, d):
 
 
 @query(f"""
-WITH b AS (SELECT doc_id, source, {_WORDS} AS n_words FROM documents WHERE text <> ''),
+WITH b AS (SELECT doc_id, {SOURCE_SQL} AS source, {_WORDS} AS n_words FROM documents WHERE text <> ''),
 q AS (SELECT * FROM (VALUES ('hplt3_mono', 0.4), ('finepdfs', 0.4), ('nce', 0.2)) AS t(source, weight)),
 c AS (SELECT b.*, weight, coalesce(sum(n_words) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b JOIN q USING (source))
 SELECT source, count(*) AS n_docs, sum(n_words)::BIGINT AS n_words FROM c WHERE before < 10000 * weight GROUP BY source""")
 def stream_quota(spark, d):
     """Streams of weights 0.4, 0.4 and 0.2 filled up to their share of a budget."""
     q = spark.createDataFrame([("hplt3_mono", 0.4), ("finepdfs", 0.4), ("nce", 0.2)], "source string, weight double")
-    b = _docs(spark, d).where("text <> ''").select("doc_id", "source", "n_words").join(F.broadcast(q), "source")
+    b = _counted(spark, d, "doc_id", source_name(F.col("source")).alias("source"), where="text <> ''").drop("bytes").join(q, "source")
     out = S.budget_prefix(b, ["source"], "doc_id", F.col("n_words"), F.lit(10000) * F.col("weight"))
     return out.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"))
 
@@ -302,16 +310,7 @@ def head_by_id(spark, d):
     return read(spark, d, "eval_items").orderBy("item_id").limit(100).select("item_id", "suite", "text")
 
 
-@query("SELECT doc_id FROM documents ORDER BY doc_id::VARCHAR COLLATE \"binary\" LIMIT 50")
-def sort_as_text(spark, d):
-    """Ids sorted as strings, by code points."""
-    return read(spark, d, "documents").select("doc_id").orderBy(F.col("doc_id").cast("string")).limit(50)
-
-
-SQL["sort_as_text"] = "SELECT doc_id FROM documents ORDER BY doc_id::VARCHAR LIMIT 50"
-
-
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id::VARCHAR) - 1 AS place FROM documents")
-def sort_as_text_whole(spark, d):
-    """Every id with its place from 0 among all ids sorted as strings; sort_as_text keeps to the limit of its SQL."""
+def sort_as_text(spark, d):
+    """Every id with its place from 0 among all ids sorted as strings, by code points."""
     return S.placed(read(spark, d, "documents").select("doc_id"), F.col("doc_id").cast("string"), "place")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glasra.functions.text import basename, stem, words
+from glasra.operators import sampling as S
 from glasra.operators import sequences as Q
-from glasra.plans.corpus import query
+from glasra.plans.corpus import QUERIES, SQL, query
 from glasra.tables import read
 
 
@@ -62,9 +63,11 @@ def sanity_counts(spark, d):
 @query("""
 SELECT label, min(duration_s) AS shortest, round(quantile_cont(duration_s, 0.5), 6) AS median, max(duration_s) AS longest FROM aligned_setup WHERE duration_s > 0 GROUP BY label""")
 def duration_stats(spark, d):
-    """Exact median; over very large groups percentile_approx takes its place."""
-    g = _m(spark, d).where("duration_s > 0").groupBy("label")
-    return g.agg(F.min("duration_s").alias("shortest"), F.round(F.percentile("duration_s", 0.5), 6).alias("median"), F.max("duration_s").alias("longest"))
+    """Least, greatest and exact median duration of each label; a large label is no task's own, see `exact_median`."""
+    t = _m(spark, d).where("duration_s > 0").select("label", "duration_s")
+    ends = t.groupBy("label").agg(F.min("duration_s").alias("shortest"), F.max("duration_s").alias("longest"))
+    m = S.exact_median(t, ["label"], "duration_s").withColumnRenamed("label", "_label")
+    return ends.join(m, F.col("label").eqNullSafe(F.col("_label"))).select("label", "shortest", F.round("median", 6).alias("median"), "longest")
 
 
 @query("""
@@ -85,7 +88,12 @@ def nextfit_shards(spark, d):
     return out.groupBy("part", "shard").agg(F.count("*").alias("n_files"), F.round(F.sum("duration_s") / 3600, 6).alias("hours"))
 
 
-query()(nextfit_shards)
+SQL["nextfit_shards"] = """
+WITH RECURSIVE o AS (SELECT label, coalesce(duration_s, 0.0) AS s, row_number() OVER (PARTITION BY label ORDER BY coalesce(duration_s, 0.0) DESC, audio || '|' || strftime(added_at AT TIME ZONE 'UTC', '%Y%m%d%H%M%S%f')) AS r FROM aligned_setup),
+f AS (SELECT label, r, s, s AS used, 0 AS shard FROM o WHERE r = 1
+ UNION ALL SELECT o.label, o.r, o.s, CASE WHEN f.used + o.s > 18000.0 THEN o.s ELSE f.used + o.s END, CASE WHEN f.used + o.s > 18000.0 THEN f.shard + 1 ELSE f.shard END FROM f JOIN o ON o.label = f.label AND o.r = f.r + 1)
+SELECT label || '/0' AS part, shard, count(*) AS n_files, round(sum(s) / 3600, 6) AS hours FROM f GROUP BY label, shard"""
+QUERIES["nextfit_shards"] = nextfit_shards
 
 
 @query(r"""
@@ -257,3 +265,37 @@ def duplicate_keys(spark, d):
 
     return duplicates(read(spark, d, "orders").select(F.col("o_custkey").alias("key")), ["key"])
 
+
+@query("""
+WITH u AS (SELECT DISTINCT ON (key) key, len(units) AS n FROM cluas_units WHERE len(units) > 0)
+SELECT key, (s // 1500)::INT AS chunk, least(1500, n - s)::INT AS size FROM u, unnest(range(0, n, 1500)) AS r(s) WHERE n - s >= 400""")
+def long_chunks(spark, d):
+    """Windows of 30 s at 50 units a second; those under 8 s are too short to learn from."""
+    return Q.chunks(sequences(spark, d), "units", 1500, ["key"], 400).select("key", "chunk", F.size("part").alias("size"))
+
+
+@query("""
+SELECT frames, CASE WHEN frames > 0 THEN greatest(0, floor((floor((frames - 1) / 2) + 1 - 2) / 2) + 1) ELSE 0 END::BIGINT AS n_tokens
+FROM (SELECT DISTINCT greatest(0, (duration_s * 100)::BIGINT) AS frames FROM aligned_setup WHERE duration_s IS NOT NULL)""")
+def audio_token_counts(spark, d):
+    """Tokens of an utterance by the length of its mel frames."""
+    f = _m(spark, d).where("duration_s is not null").select(F.greatest(F.lit(0).cast("long"), F.bround(F.col("duration_s") * 100).cast("long")).alias("frames")).distinct()
+    return f.select("frames", Q.audio_tokens(F.col("frames")).alias("n_tokens"))
+
+
+@query("""
+SELECT event_id // 100 AS step_window, count(*) AS n, round(count(*) / nullif((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 0), 6) AS events_a_second FROM events GROUP BY 1""")
+def throughput_windows(spark, d):
+    """Throughput of each logging window of 100 steps by its first and last time."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    seconds = (F.max(at) - F.min(at)) / 1e6
+    e = read(spark, d, "events").groupBy(F.expr("event_id div 100").alias("step_window"))
+    return e.agg(F.count("*").alias("n"), F.round(F.count("*") / F.nullif(seconds, F.lit(0.0)), 6).alias("events_a_second"))
+
+
+@query("""SELECT run_id, round(elapsed_sec / nullif(total_corpus_words / 9000.0, 0), 12) AS real_time_factor, round(total_corpus_words / elapsed_sec, 3) AS words_a_second FROM text_token_ratio_report WHERE elapsed_sec > 0""")
+def run_rates(spark, d):
+    """Time taken by time covered (9,000 words are an hour's speech) and throughput of each run."""
+    r = read(spark, d, "text_token_ratio_report").where("elapsed_sec > 0")
+    w, t = F.col("total_corpus_words"), F.col("elapsed_sec")
+    return r.select("run_id", F.round(t / F.nullif(w / 9000.0, F.lit(0.0)), 12).alias("real_time_factor"), F.round(w / t, 3).alias("words_a_second"))

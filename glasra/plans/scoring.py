@@ -11,7 +11,7 @@ from glasra.operators import gates as G
 from glasra.operators import review as R
 from glasra.operators import sequences as Q
 from glasra.operators import vectors as V
-from glasra.plans.corpus import query
+from glasra.plans.corpus import SOURCE_SQL, query
 from glasra.plans.manifest import sequences
 from glasra.tables import lang_code, read, source_name, spread
 
@@ -291,7 +291,7 @@ def packets_with_questions(spark, d):
 
 
 def _verdicts(spark, d):
-    """Verdicts made up by rule, as tables of them would be read: marks by a hash of the answer, none for every eleventh."""
+    """Verdicts made up by rule, as the test tables have none: marks by a hash of the answer, none for every eleventh."""
     p = read(spark, d, "packets").select("packet_id", "model", "question_id", "marks_available", "answers").dropDuplicates(["packet_id"])
     cond = F.explode(F.create_map(F.lit("just_audio"), F.col("answers.just_audio"), F.lit("no_context"), F.col("answers.no_context"), F.lit("just_transcript"), F.col("answers.just_transcript"))).alias("condition", "answer")
     v = p.select("packet_id", "model", "question_id", "marks_available", cond)
@@ -305,6 +305,25 @@ h AS (SELECT *, ('0x' || substr(md5(coalesce(answer, '')), 1, 6))::BIGINT AS h F
 v AS (SELECT *, CASE WHEN h % 11 <> 0 THEN h % (coalesce(marks_available, 2) + 1) END AS marks FROM h)"""
 
 
+_STORED = f"""WITH {_V}, j AS (SELECT packet_id, model, question_id, condition, answer, CASE WHEN h % 11 <> 0 THEN marks WHEN trim(coalesce(answer, '')) = '' THEN 0 END AS marks,
+ CASE WHEN h % 11 <> 0 THEN 'by rule' WHEN trim(coalesce(answer, '')) = '' THEN 'no answer given' END AS reason FROM v)"""
+
+
+@query(_STORED + """ SELECT model, condition, count(*) AS n, count(marks) AS n_judged, count_if(marks IS NULL) AS n_pending, count_if(reason = 'no answer given') AS n_blank, sum(marks)::BIGINT AS marks FROM j GROUP BY ALL""")
+def stored_verdicts(spark, d):
+    """Answers beside a table of verdicts that is written and read again; blank answers without one have no marks, others are pending."""
+    from glasra.sources import sinks
+
+    p = sinks.scratch(spark, "verdicts")
+    v = _verdicts(spark, d)
+    told = v.where("marks is not null").select("model", F.concat_ws("#", "question_id", "packet_id").alias("question_id"), "condition", F.col("marks").cast("int").alias("marks"), F.lit("by rule").alias("reason"))
+    sinks.nested_json(told.groupBy("model", "question_id").agg(F.map_from_entries(F.collect_list(F.struct("condition", F.struct("marks", "reason")))).alias("by_condition")), p)
+    read_again = spark.read.text(p).select(F.from_json("value", "model string, question_id string, by_condition map<string,struct<marks:int,reason:string>>").alias("r"))
+    flat = read_again.select("r.model", "r.question_id", F.explode("r.by_condition").alias("condition", "w")).select("model", "question_id", "condition", "w.marks", "w.reason")
+    j = R.judged(v.select("model", F.concat_ws("#", "question_id", "packet_id").alias("question_id"), "condition", "answer"), flat)
+    return j.groupBy("model", "condition").agg(F.count("*").alias("n"), F.count("marks").alias("n_judged"), F.count_if(F.col("marks").isNull()).alias("n_pending"), F.count_if(F.col("reason") == "no answer given").alias("n_blank"), F.sum("marks").alias("marks"))
+
+
 @query(f"""WITH {_V} SELECT model, condition, count(*) AS n, count(marks) AS n_judged, sum(marks)::BIGINT AS marks, sum(CASE WHEN marks IS NOT NULL THEN marks_available END)::BIGINT AS available FROM v GROUP BY model, condition""")
 def marks_by_condition(spark, d):
     """Marks over judged rows only; null where none is judged."""
@@ -377,18 +396,9 @@ def last_per_model(spark, d):
 
 
 @query("""
-SELECT row_id, model, NULL AS decoder, lang, generated_tokens FROM decodes WHERE row_id <= 50 UNION ALL SELECT row_id, NULL, decoder, lang, NULL FROM asr_pairs WHERE duration_s > 12""")
+SELECT row_id, model, NULL AS decoder, lang, generated_tokens FROM decodes UNION ALL SELECT row_id, NULL, decoder, lang, NULL FROM asr_pairs""")
 def ragged_union(spark, d):
     """Tables with different columns one under another."""
-    a = read(spark, d, "decodes").where("row_id <= 50").select("row_id", "model", "lang", "generated_tokens")
-    b = read(spark, d, "asr_pairs").where("duration_s > 12").select("row_id", "decoder", "lang")
-    return R.union_all([a, b]).select("row_id", "model", "decoder", "lang", "generated_tokens")
-
-
-@query("""
-SELECT row_id, model, NULL AS decoder, lang, generated_tokens FROM decodes UNION ALL SELECT row_id, NULL, decoder, lang, NULL FROM asr_pairs""")
-def ragged_union_whole(spark, d):
-    """ragged_union of all rows; that one keeps to the rows of its SQL."""
     a = read(spark, d, "decodes").select("row_id", "model", "lang", "generated_tokens")
     b = read(spark, d, "asr_pairs").select("row_id", "decoder", "lang")
     return R.union_all([a, b]).select("row_id", "model", "decoder", "lang", "generated_tokens")
@@ -419,12 +429,22 @@ def mapped_labels(spark, d):
 
 
 @query("""
-WITH m AS (SELECT model, max(unique_token_ratio) AS top FROM decodes GROUP BY model) SELECT row_id, model FROM decodes JOIN m USING (model) WHERE abs(unique_token_ratio - top) <= 1e-8 + 1e-5 * abs(top)""")
+SELECT event_id, k AS key, json_extract_string(props, '$.' || k) AS value FROM events, unnest(json_keys(props::JSON)) AS u(k)
+WHERE json_type(props::JSON, '$.' || k) NOT IN ('OBJECT', 'ARRAY', 'NULL') AND (k <> 'ref' OR json_extract_string(props, '$.' || k) = 'ad')""")
+def scalar_props(spark, d):
+    """Only the plain values of nested JSON, and of one key only those of a given list."""
+    e = read(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+    plain = F.col("value").isNotNull() & ~F.col("value").rlike(r"^\s*[\[{]")
+    return e.where(plain & ((F.col("key") != "ref") | (F.col("value") == "ad"))).select("event_id", "key", "value")
+
+
+@query("""
+WITH m AS (SELECT model, max(unique_token_ratio) AS top FROM decodes GROUP BY model) SELECT row_id, model FROM decodes JOIN m USING (model) WHERE model = 'base' OR abs(unique_token_ratio - top) <= 1e-8 + 1e-5 * abs(top)""")
 def top_fraction(spark, d):
-    """Rows at their group's greatest fraction, within a tolerance: an aggregate and a join, as groups may be large."""
+    """Rows at their group's greatest fraction, within a tolerance, and all of the base: an aggregate and a join, as groups may be large."""
     t = read(spark, d, "decodes").select("row_id", "model", "unique_token_ratio")
     m = t.groupBy("model").agg(F.max("unique_token_ratio").alias("top"))
-    return t.join(F.broadcast(m), "model").where("abs(unique_token_ratio - top) <= 1e-8 + 1e-5 * abs(top)").select("row_id", "model")  # a row a model
+    return t.join(m, "model").where("model = 'base' or abs(unique_token_ratio - top) <= 1e-8 + 1e-5 * abs(top)").select("row_id", "model")
 
 
 @query("SELECT row_id, greatest(8, (ceil(len(list_filter(regexp_split_to_array(coalesce(reference, ''), '\\s+'), lambda x: x <> '')) * 1.25) + 1)::BIGINT) AS budget, least(40, greatest(8, (ceil(len(list_filter(regexp_split_to_array(coalesce(reference, ''), '\\s+'), lambda x: x <> '')) * 2.5) + 1)::BIGINT)) AS wide FROM decodes")
@@ -493,9 +513,10 @@ def unpivoted_objects(spark, d):
 WITH p AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)
 SELECT user_id, event_type, count(*) AS n, max(r) - min(r) + 1 = count(*) AS contiguous FROM p GROUP BY ALL""")
 def contiguous_marks(spark, d):
-    """Whether the places of a mark in its sequence are without a gap."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    p = read(spark, d, "events").select("user_id", "event_type", F.row_number().over(w).alias("r"))
+    """Whether the places of a mark in its sequence are without a gap: places among all rows do, as a sequence lies together."""
+    from glasra.operators.sampling import placed
+
+    p = placed(read(spark, d, "events").select("user_id", "event_type", "ts", "event_id"), F.struct("user_id", "ts", "event_id"), "r")
     return p.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), (F.max("r") - F.min("r") + 1 == F.count("*")).alias("contiguous"))
 
 
@@ -558,37 +579,64 @@ def conserved_rows(spark, d):
     return spark.createDataFrame([("clips", n.clips), ("questions", n.questions), ("exploded", n.questions)], "what string, n long")
 
 
+_PCM = """
+WITH h AS (SELECT snippet_id, hex(audio) AS h, octet_length(audio) // 2 AS n FROM clips),
+s AS (SELECT snippet_id, unnest(list_transform(range(0, n), lambda i: ('0x' || substr(h, 4 * i + 3, 2) || substr(h, 4 * i + 1, 2))::INT)) AS u FROM h),
+x AS (SELECT snippet_id, (CASE WHEN u >= 32768 THEN u - 65536 ELSE u END) / 32768.0::DOUBLE AS x FROM s),
+l AS (SELECT snippet_id, round(max(abs(x)), 9) AS peak, round(sqrt(avg(x * x)), 9) AS level FROM x GROUP BY snippet_id)
+SELECT h.snippet_id, n AS n_samples, peak, level FROM h LEFT JOIN l USING (snippet_id)"""
+
+
+@query(_PCM)
 def pcm_levels(spark, d):
-    """Samples, peak and mean level of 16-bit PCM, and seconds at the clip's rate; null audio stays null."""
+    """Samples, peak and mean level of 16-bit PCM; null audio stays null."""
     import numpy as np
     import pandas as pd
 
+    from glasra.functions.audio import pcm16
+
     def levels(batches):
         for b in batches:
-            x = [None if a is None else np.frombuffer(bytes(a)[: len(a) // 2 * 2], "<i2").astype("float64") / 32768 for a in b.audio]
+            x = [None if a is None else pcm16(bytes(a)) for a in b.audio]
             out = pd.DataFrame({"snippet_id": b.snippet_id})
             out["n_samples"] = pd.array([None if v is None else len(v) for v in x], "Int64")
-            out["peak"] = [None if v is None or not len(v) else float(abs(v).max()) for v in x]
-            out["level"] = [None if v is None or not len(v) else float(np.sqrt((v**2).mean())) for v in x]
+            out["peak"] = [None if v is None or not len(v) else round(float(abs(v).max()), 9) for v in x]
+            out["level"] = [None if v is None or not len(v) else round(float(np.sqrt((v**2).mean())), 9) for v in x]
             yield out
 
     return read(spark, d, "clips").select("snippet_id", "audio").mapInPandas(levels, "snippet_id string, n_samples long, peak double, level double")
 
 
-query()(pcm_levels)
+def resampled_clips(spark, d):
+    """Clips at 16 kHz: samples after and the level, which resampling hardly changes; null audio and rates stay null."""
+    import numpy as np
+    import pandas as pd
+
+    from glasra.functions.audio import pcm16, resampled
+
+    def run(batches):
+        for b in batches:
+            x = [None if a is None or not sr or sr < 0 else resampled(pcm16(bytes(a)), int(sr), 16000) for a, sr in zip(b.audio, b.sr, strict=True)]
+            yield pd.DataFrame({"snippet_id": b.snippet_id, "n_samples": pd.array([None if v is None else len(v) for v in x], "Int64"), "level": [None if v is None or not len(v) else float(np.sqrt((v**2).mean())) for v in x]})
+
+    return read(spark, d, "clips").select("snippet_id", "audio", "sr").mapInPandas(run, "snippet_id string, n_samples long, level double")
+
+
+query()(resampled_clips)
 
 
-@query("SELECT doc_id, regexp_split_to_array(text, '\\r?\\n')[1] AS first_turn, len(regexp_split_to_array(text, '\\r?\\n'))::INT AS n_turns, md5(upper(array_to_string(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda t: trim(t)), '|'))) AS digest FROM documents WHERE source = 'conversations_ga' AND text IS NOT NULL")
+_TURNS = r"regexp_split_to_array(text, '\r?\n')"
+
+
+@query(f"""SELECT doc_id, {_TURNS}[1] AS first_turn, len({_TURNS})::INT AS n_turns,
+ md5(array_to_string(list_transform({_TURNS}, lambda t: CASE WHEN {_trim('t')} = '' THEN '' ELSE '[' || {_trim('t')} || ']' END), '|')) AS digest FROM documents WHERE {SOURCE_SQL} = 'conversations_ga' AND text IS NOT NULL""")
 def restored_turns(spark, d):
-    """Turns of conversations sent in batches across records to a service (here: upper case), put back where they came from."""
+    """Turns of conversations sent in batches across records to a service (here: brackets), put back where they came from."""
     t = read(spark, d, "documents").where((source_name(F.col("source")) == "conversations_ga") & F.col("text").isNotNull()).select("doc_id", F.split("text", r"\r?\n").alias("turns"))
-    r = Q.restored_turns(t, "doc_id", "turns", lambda xs: [x.upper() for x in xs]).withColumnRenamed("turns", "done")
+    r = Q.restored_turns(t, "doc_id", "turns", lambda xs: [f"[{x}]" for x in xs]).withColumnRenamed("turns", "done")
     return t.join(r, "doc_id").select("doc_id", F.get("turns", F.lit(0)).alias("first_turn"), F.size("turns").alias("n_turns"), F.md5(F.array_join("done", "|")).alias("digest"))
 
 
-SQL.pop("restored_turns")  # upper case differs between engines for some letters
-
-
 @query("""
 WITH n AS (SELECT count(*) AS n FROM eval_items), o AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i FROM eval_items)
 SELECT a.item_id, b.item_id AS other_id FROM o a, n JOIN o b ON b.i = (a.i + 1) % n.n""")
@@ -602,34 +650,47 @@ def mismatch_pairs(spark, d):
     return a.join(o.withColumnRenamed("item_id", "other_id"), "i").select("item_id", "other_id")
 
 
-def _pairs(spark, d, centred=False):
-    """Two aligned sets of 100 vectors: places 0 to 99 and 100 to 199 of the table, the table's first vectors being the fixture."""
-    e = read(spark, d, "embeddings").where("vec_id >= 0 and vec_id < 200").select(F.lit("base").alias("model"), F.pmod("vec_id", F.lit(100)).alias("i"), F.expr("vec_id div 100").alias("side"), "embedding")
+def _halves(spark, d, centred=False):
+    """Two aligned sets of each layer (`label`): the vector at place i by vec_id, and the one half the layer further; an odd last one has no partner."""
+    from glasra.operators.sampling import ordinal
+
+    t = read(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    half = t.groupBy("label").agg(F.floor(F.count("*") / 2).alias("half"))
+    e = ordinal(t, ["label"], "vec_id", "p").join(half, "label").where(F.col("p") < 2 * F.col("half"))
+    e = e.select("label", F.pmod("p", F.col("half")).alias("i"), F.when(F.col("p") < F.col("half"), 0).otherwise(1).alias("side"), "embedding")
     if centred:
-        e = V.centred(e, ["model", "side"], "i", "embedding")
-    a, b = (e.where(F.col("side") == s).select("model", "i", F.col("embedding").alias(n)) for s, n in ((0, "a"), (1, "b")))
-    return a.join(b, ["model", "i"])
+        e = V.centred(e, ["label", "side"], "i", "embedding")
+    return tuple(e.where(F.col("side") == s).select("label", "i", F.col("embedding").alias(n)) for s, n in ((0, "a"), (1, "b")))
+
 
+def _aligned(spark, d, centred=False):
+    a, b = _halves(spark, d, centred)
+    return V.alignment(a.join(b, ["label", "i"]), ["label"], "a", "b")
 
-def _mexa_sql(vec: str) -> str:
+
+_PLACED = "(SELECT label, p % h AS i, p // h AS side, embedding FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS p, count(*) OVER (PARTITION BY label) // 2 AS h, embedding FROM embeddings) WHERE p < 2 * h)"
+_RAW = f"SELECT label, i, side, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM {_PLACED}"
+_CENTRED = f"SELECT label, i, side, list(x - m ORDER BY d) AS v FROM (SELECT *, avg(x) OVER (PARTITION BY label, side, d) AS m FROM (SELECT label, i, side, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM {_PLACED})) GROUP BY label, i, side"
+
+
+def _mexa_sql(vec: str, p: str = "") -> str:
     return f"""
-WITH e AS ({vec}), s AS (SELECT a.i, b.i AS j, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM e a JOIN e b ON a.side = 0 AND b.side = 1),
-dd AS (SELECT i, s AS own FROM s WHERE i = j),
-r AS (SELECT s.i, 1 + count_if(j <> s.i AND (s > own OR (s = own AND j < s.i))) AS row_rank, count_if(j <> s.i AND s >= own) AS e FROM s JOIN dd USING (i) GROUP BY s.i),
-c AS (SELECT s.j AS i, 1 + count_if(s.i <> j AND (s > own OR (s = own AND s.i < j))) AS col_rank, count_if(s.i <> j AND s >= own) AS e FROM s JOIN dd ON s.j = dd.i GROUP BY s.j)
-"""
+{p}e AS ({vec}), {p}s AS (SELECT label, a.i, b.i AS j, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM {p}e a JOIN {p}e b USING (label) WHERE a.side = 0 AND b.side = 1),
+{p}dd AS (SELECT label, i, s AS own FROM {p}s WHERE i = j),
+{p}r AS (SELECT label, s.i, 1 + count_if(j <> s.i AND (s > own OR (s = own AND j < s.i))) AS row_rank, count_if(j <> s.i AND s >= own) AS e FROM {p}s s JOIN {p}dd d ON s.label = d.label AND s.i = d.i GROUP BY s.label, s.i),
+{p}c AS (SELECT label, s.j AS i, 1 + count_if(s.i <> j AND (s > own OR (s = own AND s.i < j))) AS col_rank, count_if(s.i <> j AND s >= own) AS e FROM {p}s s JOIN {p}dd d ON s.label = d.label AND s.j = d.i GROUP BY s.label, s.j)
+""".replace("(SELECT label, s.i, 1", "(SELECT s.label, s.i, 1").replace("(SELECT label, s.j AS i", "(SELECT s.label, s.j AS i")
 
 
-_RAW = "SELECT vec_id % 100 AS i, vec_id // 100 AS side, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id >= 0 AND vec_id < 200"
-_CENTRED = """SELECT i, side, list(x - m ORDER BY d) AS v FROM (SELECT *, avg(x) OVER (PARTITION BY side, d) AS m FROM (SELECT vec_id % 100 AS i, vec_id // 100 AS side, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings WHERE vec_id >= 0 AND vec_id < 200)) GROUP BY i, side"""
-_SCORE = "SELECT count(*) AS n, round(avg(CASE WHEN r.e = 0 AND c.e = 0 THEN 1.0 ELSE 0.0 END), 6) AS mexa, round(avg(CASE WHEN row_rank <= 10 AND col_rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS mexa_at10, round(avg(CASE WHEN row_rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(CASE WHEN row_rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS top5, quantile_cont(row_rank, 0.5) AS median_rank FROM r JOIN c USING (i)"
+_SCORE = "SELECT label, count(*) AS n, round(avg(CASE WHEN r.e = 0 AND c.e = 0 THEN 1.0 ELSE 0.0 END), 6) AS mexa, round(avg(CASE WHEN row_rank <= 10 AND col_rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS mexa_at10, round(avg(CASE WHEN row_rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(CASE WHEN row_rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS top5, quantile_cont(row_rank, 0.5) AS median_rank FROM r JOIN c USING (label, i) GROUP BY label"
 
 
 def _score(al):
+    """Scores of each layer; `mexa` is null where a vector of the layer has no direction."""
     hit = lambda c: F.round(F.avg(c.cast("double")), 6)
-    return al.agg(
+    return al.groupBy("label").agg(
         F.count("*").alias("n"),
-        hit(F.col("strict")).alias("mexa"),
+        F.when(~F.max("missing"), hit(F.col("strict"))).alias("mexa"),
         hit((F.col("row_rank") <= 10) & (F.col("col_rank") <= 10)).alias("mexa_at10"),
         hit(F.col("row_rank") == 1).alias("top1"),
         hit(F.col("row_rank") <= 5).alias("top5"),
@@ -637,55 +698,52 @@ def _score(al):
     )
 
 
-@query(_mexa_sql(_RAW) + _SCORE)
+@query("WITH " + _mexa_sql(_RAW) + _SCORE)
 def mexa_raw(spark, d):
-    """Strict mutual nearest neighbours, mutual top ten and directional retrieval of two aligned sets."""
-    return _score(V.alignment(_pairs(spark, d), ["model"], "a", "b"))
+    """Strict mutual nearest neighbours, mutual top ten and directional retrieval of two aligned sets, for each layer."""
+    return _score(_aligned(spark, d))
 
 
-@query(_mexa_sql(_CENTRED) + _SCORE)
+@query("WITH " + _mexa_sql(_CENTRED) + _SCORE)
 def mexa_centred(spark, d):
-    return _score(V.alignment(_pairs(spark, d, True), ["model"], "a", "b"))
+    return _score(_aligned(spark, d, True))
 
 
-@query(_mexa_sql(_RAW) + "SELECT i, row_rank, col_rank, r.e = 0 AND c.e = 0 AS strict FROM r JOIN c USING (i)")
+@query("WITH " + _mexa_sql(_RAW) + "SELECT label, i, row_rank, col_rank, r.e = 0 AND c.e = 0 AS strict FROM r JOIN c USING (label, i)")
 def alignment_ranks(spark, d):
-    return V.alignment(_pairs(spark, d), ["model"], "a", "b").select("i", "row_rank", "col_rank", "strict")
-
-
-def _halves(spark, d, centred=False):
-    """Two aligned sets of the whole table: the vector at place i by vec_id, and the one half the table further; an odd last one has no partner."""
-    from glasra.operators.sampling import ordinal
-
-    e = ordinal(read(spark, d, "embeddings").select("vec_id", "embedding", F.lit("base").alias("model")), ["model"], "vec_id", "p")
-    half = F.floor(F.col("n") / 2)
-    n = read(spark, d, "embeddings").agg(F.count("*").alias("n"))  # one row
-    e = e.crossJoin(F.broadcast(n)).where(F.col("p") < 2 * half).select("model", F.pmod("p", half).alias("i"), F.when(F.col("p") < half, 0).otherwise(1).alias("side"), "embedding")
-    if centred:
-        e = V.centred(e, ["model", "side"], "i", "embedding")
-    a, b = (e.where(F.col("side") == s).select("model", "i", F.col("embedding").alias(n)) for s, n in ((0, "a"), (1, "b")))
-    return a.join(b, ["model", "i"])
-
-
-_PLACED = "(SELECT p % h AS i, p // h AS side, embedding FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS p, count(*) OVER () // 2 AS h, embedding FROM embeddings) WHERE p < 2 * h)"
-_RAW_WHOLE = f"SELECT i, side, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM {_PLACED}"
-_CENTRED_WHOLE = f"SELECT i, side, list(x - m ORDER BY d) AS v FROM (SELECT *, avg(x) OVER (PARTITION BY side, d) AS m FROM (SELECT i, side, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM {_PLACED})) GROUP BY i, side"
+    return _aligned(spark, d).select("label", "i", "row_rank", "col_rank", "strict")
 
 
-@query(_mexa_sql(_RAW_WHOLE) + _SCORE)
-def mexa_raw_whole(spark, d):
-    """mexa_raw over the whole table; that one keeps to the fixture of its SQL."""
-    return _score(V.alignment(_halves(spark, d), ["model"], "a", "b"))
+@query("WITH " + _mexa_sql(_RAW) + "," + _mexa_sql(_CENTRED, "z") + """,
+m AS (SELECT 'raw' AS kind, label, avg(CASE WHEN r.e = 0 AND c.e = 0 THEN 1.0 ELSE 0.0 END) AS s FROM r JOIN c USING (label, i) GROUP BY label
+ UNION ALL SELECT 'centred', label, avg(CASE WHEN r.e = 0 AND c.e = 0 THEN 1.0 ELSE 0.0 END) FROM zr r JOIN zc c USING (label, i) GROUP BY label)
+SELECT kind, round(coalesce(max(s) FILTER (WHERE s > 0), 0.0), 6) AS best, coalesce(arg_min(label, (-s, label)) FILTER (WHERE s > 0), 0)::INT AS best_layer FROM m GROUP BY kind""")
+def best_layers(spark, d):
+    """The best layer by either score, layers without a score left out."""
+    raw, centred = (_score(_aligned(spark, d, c)).select(F.lit(k).alias("kind"), "label", "mexa") for k, c in (("raw", False), ("centred", True)))
+    b = R.best_over(raw.unionByName(centred), ["kind"], "label", "mexa")
+    return b.select("kind", F.round("best", 6).alias("best"), F.col("best_layer").cast("int").alias("best_layer"))
 
 
-@query(_mexa_sql(_CENTRED_WHOLE) + _SCORE)
-def mexa_centred_whole(spark, d):
-    return _score(V.alignment(_halves(spark, d, True), ["model"], "a", "b"))
+@query(f"""
+WITH a AS (SELECT label, i, len(embedding) AS s FROM {_PLACED} WHERE side = 0), b AS (SELECT label, i + (label % 2) AS i, len(embedding) AS s FROM {_PLACED} WHERE side = 1)
+SELECT label, i, CASE WHEN b.s IS NULL THEN 'only left' ELSE 'only right' END AS problem FROM a FULL JOIN b USING (label, i) WHERE a.s IS NULL OR b.s IS NULL""")
+def parallel_shapes(spark, d):
+    """Row-for-row gate of two sets: here the second one's places are shifted by one in every other layer."""
+    a, b = _halves(spark, d)
+    b = b.withColumn("i", F.col("i") + F.pmod("label", F.lit(2)))
+    return V.unparallel(a.withColumnRenamed("a", "v"), b.withColumnRenamed("b", "v"), ["label", "i"], "v")
 
 
-@query(_mexa_sql(_RAW_WHOLE) + "SELECT i, row_rank, col_rank, r.e = 0 AND c.e = 0 AS strict FROM r JOIN c USING (i)")
-def alignment_ranks_whole(spark, d):
-    return V.alignment(_halves(spark, d), ["model"], "a", "b").select("i", "row_rank", "col_rank", "strict")
+@query("""
+SELECT vec_id, CASE WHEN bad THEN 'not finite' ELSE 'zero' END AS problem FROM (
+ SELECT vec_id, vec_id % 50 = 7 AS bad, vec_id % 50 = 7 OR vec_id % 50 = 11 OR list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) = 0 AS odd FROM embeddings) WHERE odd""")
+def vector_violations(spark, d):
+    """Vectors of no direction; to show, every fiftieth is given a NaN and the one four places on is made zero."""
+    e = read(spark, d, "embeddings").select("vec_id", "embedding")
+    k = F.pmod("vec_id", F.lit(50))
+    v = F.transform("embedding", lambda x, i: F.when((k == 7) & (i == 3), float("nan")).when(k == 11, 0.0).otherwise(x))
+    return V.violations(e.withColumn("v", v), ["vec_id"], "v")
 
 
 @query("""
@@ -696,7 +754,8 @@ def layer_summary(spark, d):
     """Mean and greatest score over layers and the first layer that has it."""
     e = read(spark, d, "embeddings").select(F.col("label").alias("layer"), F.pmod("vec_id", F.lit(7)).alias("object"), F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")).alias("x"))
     s = e.groupBy("layer", "object").agg(F.avg("x").alias("score"))
-    best = F.max_by("layer", F.struct(F.round("score", 9), -F.col("layer")))
+    s = s.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))  # a layer that isn't a number has no score
+    best = F.max_by("layer", F.when(F.col("score").isNotNull(), F.struct(F.round("score", 9), -F.col("layer"))))
     return s.groupBy("object").agg(F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.max("score"), 6).alias("best_score"), best.alias("best_layer"))
 
 
@@ -712,6 +771,10 @@ def pooled_vectors(spark, d):
     return V.weighted_mean(e, ["label"], "p", "embedding").select("label", "dim", F.round("weighted", 6).alias("weighted"), F.round("last", 6).alias("last"))
 
 
+@query("""
+WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), m AS (SELECT label, d, avg(x) AS m FROM x GROUP BY ALL),
+s AS (SELECT vec_id, m.label, sqrt(sum((x - m) * (x - m))) AS s FROM x JOIN m USING (d) GROUP BY ALL), k AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS k FROM (SELECT DISTINCT label FROM m))
+SELECT vec_id, arg_min(k, (round(s, 9), k))::INT AS centroid, round(min(s), 6) AS distance FROM s JOIN k USING (label) GROUP BY vec_id""")
 def nearest_centroids(spark, d):
     """Each vector's nearest label mean; labels are a fixed few."""
     import numpy as np
@@ -722,10 +785,7 @@ def nearest_centroids(spark, d):
     c = np.zeros((len(labels), dims))
     for r in m:
         c[labels.index(r.label), r.dim] = r.x
-    return V.nearest(e, c, "vec_id", "embedding")
-
-
-query()(nearest_centroids)
+    return V.nearest(e, c, "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
 
 
 @query("SELECT id FROM decodes WHERE condition = 'asr_ga' INTERSECT SELECT id FROM decodes WHERE condition = 'asr_en'")
@@ -750,4 +810,68 @@ def ordered_distinct(spark, d):
     return u.select("key", F.md5(F.array_join(a, ",")).alias("digest"), F.size(a).alias("n"))
 
 
-_ = W
+@query("""SELECT row_id, (n + greatest(8, (ceil(n * 2.5) + 1)::BIGINT))::BIGINT AS total FROM (SELECT row_id, len(list_filter(regexp_split_to_array(coalesce(reference, ''), '\\s+'), lambda x: x <> '')) AS n FROM decodes) WHERE n + greatest(8, ceil(n * 2.5) + 1) > 48""")
+def prompt_budget_gate(spark, d):
+    """Prompts that leave no room for what is to be generated: both together over 48 tokens here."""
+    n = T.n_words(F.col("reference"))
+    return G.too_long(read(spark, d, "decodes"), ["row_id"], [n, T.token_budget(n, 2.5)], 48)
+
+
+@query("""SELECT domain, wanted, least(have, wanted) AS got, have >= wanted AS reached FROM (SELECT domain, 40::BIGINT AS wanted, count(*) AS have FROM documents WHERE domain IS NOT NULL GROUP BY domain)""")
+def sample_size_gate(spark, d):
+    """Whether the requested number of rows is reached in each stratum; the sum of what there is has to be at least one stratum's."""
+    t = read(spark, d, "documents").where("domain is not null").select("domain")
+    G.at_least(t, 40, "documents")
+    return t.groupBy("domain").agg(F.count("*").alias("have")).select("domain", F.lit(40).cast("long").alias("wanted"), F.least("have", F.lit(40)).cast("long").alias("got"), (F.col("have") >= 40).alias("reached"))
+
+
+@query("""SELECT year, count(*) AS n FROM clips WHERE year >= 2015 GROUP BY year""")
+def clips_of_years(spark, d):
+    """Clips of given years; none at all would end the job."""
+    return G.some_of(read(spark, d, "clips").select("year"), F.col("year") >= 2015, "clips since 2015").groupBy("year").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH r AS (SELECT id, model, row_number() OVER (PARTITION BY model ORDER BY id, row_id) AS r FROM decodes)
+SELECT DISTINCT model, id FROM r a WHERE r <= 3 AND EXISTS (SELECT 1 FROM r b WHERE b.model = a.model AND b.id = a.id AND b.r > 3)""")
+def demo_overlap(spark, d):
+    """Items that stand among the demonstrations and among the tests: the gate of the split."""
+    from glasra.plans.corpus import demo_test_split
+
+    s = demo_test_split(spark, d)
+    return G.in_both(s.where("part = 'demo'"), s.where("part = 'test'"), ["model", "id"])
+
+
+@query("""
+WITH p AS (SELECT row_id, audio, duration_s FROM asr_pairs), u AS (SELECT DISTINCT ON (audio) audio, label, duration_s AS listed_s FROM aligned_setup WHERE audio IS NOT NULL ORDER BY audio, added_at, label, listed_s),
+q AS (SELECT DISTINCT row_id, reference FROM decodes WHERE reference IS NOT NULL)
+SELECT row_id, label, reference FROM p JOIN u USING (audio) JOIN q USING (row_id)""")
+def utterances_joined(spark, d):
+    """Utterances with their manifest row and their transcript: two inner joins, gated on repeated keys of the manifest."""
+    m = read(spark, d, "aligned_setup").where("audio is not null").groupBy("audio").agg(F.min_by("label", F.struct("added_at", "label", F.coalesce("duration_s", F.lit(float("inf"))))).alias("label"))
+    G.enforce(G.duplicates(m, ["audio"]), "manifest")
+    t = read(spark, d, "decodes").where("reference is not null").select("row_id", "reference").distinct()
+    return read(spark, d, "asr_pairs").select("row_id", "audio").join(m, "audio").join(t, "row_id").select("row_id", "label", "reference")
+
+
+@query("""
+WITH s AS (SELECT id, lang, max(reference) AS reference FROM decodes WHERE lang IN ('ga', 'en') AND reference IS NOT NULL GROUP BY id, lang), u AS (SELECT row_id AS id, lang, max(length(hyp)) AS n_chars FROM asr_pairs WHERE lang IN ('ga', 'en') AND hyp IS NOT NULL GROUP BY row_id, lang)
+SELECT id, lang, reference, n_chars FROM s JOIN u USING (id, lang)""")
+def sentences_with_outputs(spark, d):
+    """Sentences and outputs joined on (id, language)."""
+    both = F.col("lang").isin("ga", "en")
+    s = read(spark, d, "decodes").where(both & F.col("reference").isNotNull()).groupBy(F.col("id").cast("long").alias("id"), "lang").agg(F.max("reference").alias("reference"))
+    u = read(spark, d, "asr_pairs").where(both & F.col("hyp").isNotNull()).groupBy(F.col("row_id").alias("id"), "lang").agg(F.max(F.length("hyp")).cast("long").alias("n_chars"))
+    return s.join(u, ["id", "lang"]).select(F.col("id").cast("int").alias("id"), "lang", "reference", "n_chars")
+
+
+@query("""
+SELECT row_id, round(avg(l), 6) AS mean_logprob, count(*) AS n_tokens FROM (
+ SELECT row_id, unnest(list_transform(range(0, least(generated_tokens, 50)), lambda i: mean_logprob * (1 + ((i * 7) % 11 - 5) / 10.0::DOUBLE))) AS l FROM (SELECT DISTINCT ON (row_id) * FROM decodes WHERE mean_logprob IS NOT NULL AND generated_tokens > 0 ORDER BY row_id, decoded_at, mean_logprob, generated_tokens)) GROUP BY row_id""")
+def token_logprobs(spark, d):
+    """Mean log-probability of a decode from those of its tokens, which are made up here around the stored mean."""
+    t = read(spark, d, "decodes").where("mean_logprob is not null and generated_tokens > 0").groupBy("row_id").agg(F.min_by(F.struct("mean_logprob", "generated_tokens"), F.struct("decoded_at", "mean_logprob", "generated_tokens")).alias("r"))
+    each = F.transform(F.sequence(F.lit(0), F.least(F.col("r.generated_tokens"), F.lit(50)) - 1), lambda i: F.col("r.mean_logprob") * (1 + ((i * 7) % 11 - 5) / F.lit(10.0)))
+    t = t.select("row_id", each.alias("logprobs"))
+    mean = F.aggregate("logprobs", F.lit(0.0), lambda s, x: s + x) / F.size("logprobs")
+    return t.select("row_id", F.round(mean, 6).alias("mean_logprob"), F.size("logprobs").cast("long").alias("n_tokens"))

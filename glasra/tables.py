@@ -35,7 +35,7 @@ def lang_code(label: Column) -> Column:
 def source_name(source: Column) -> Column:
     """Source in one spelling: lower case, no file ending, no blanks, `_` between parts; null stays null.
 
-    `uni-archives` and `uni_archives` are one source; `canonical_source` gives the spelling of the targets.
+    `uni-archives` and `uni_archives` are one source, in the spelling of the targets.
     """
     s = F.regexp_replace(F.lower(F.trim(source)), r"(\.parquet|\.jsonl|\.json|\.txt)$", "")
     s = F.regexp_replace(s, r"[\s\-]+", "_")

@@ -110,6 +110,23 @@ def test_turns_keep_their_places_when_a_service_fails(spark):
     assert got == {1: ["A", "", "B C"], 2: [], 3: ["D", "E", "F", "G"]}
 
 
+def test_failing_services(spark):
+    tries = []
+
+    def late(xs):
+        tries.append(1)
+        if len(tries) % 3:
+            raise ConnectionError("down")
+        return xs
+
+    df = spark.createDataFrame([(1, ["a", "b"])], "id int, turns array<string>")
+    assert Q.restored_turns(df, "id", "turns", late, wait=0.01).first().turns == ["a", "b"]
+    with pytest.raises(Exception, match="down"):
+        Q.restored_turns(df, "id", "turns", late, tries=2, wait=0.01).collect()
+    with pytest.raises(Exception, match="answers for one turn"):
+        Q.restored_turns(df, "id", "turns", lambda xs: []).collect()
+
+
 def test_best_rows_and_ties(spark):
     rows = [("c", 1, 0.5, 2), ("c", 1, 0.5, 1), ("c", 1, None, 0), ("d", 1, None, 5)]
     df = spark.createDataFrame(rows, "cond string, q int, s double, o int")
@@ -161,6 +178,102 @@ def test_gates(spark):
     v = spark.createDataFrame([("q1", "x", 3, "r"), ("q2", "x", 1, " "), ("q3", "x", 0, "r"), ("q1", "y", None, "r")], "question_id string, condition string, marks int, reason string")
     got = {(r.question_id, r.condition): r.problem for r in G.verdict_violations(v, packets, ["x", "y"]).collect()}
     assert got == {("q1", "x"): "marks out of range", ("q2", "x"): "no reason", ("q3", "x"): "unknown", ("q1", "y"): "no marks", ("q2", "y"): "missing"}
+    open_marks = spark.createDataFrame([("q1", None)], "question_id string, marks_available int")
+    ok = spark.createDataFrame([("q1", "x", 9, "r")], "question_id string, condition string, marks int, reason string")
+    assert G.verdict_violations(ok, open_marks, ["x"]).count() == 0
+    G.at_least(df, 3, "rows")
+    with pytest.raises(G.GateError):
+        G.at_least(df, 4, "rows")
+    assert G.some_of(df, F.col("k") == 1, "ones").count() == 2
+    with pytest.raises(G.GateError):
+        G.some_of(df, F.col("k") == 9, "nines")
+    assert [tuple(r) for r in G.too_long(df, ["v"], [F.col("k"), F.lit(1)], 2).collect()] == [("c", 3)]
+    assert [r.k for r in G.in_both(df, other, ["k"]).collect()] == [2]
+
+
+def test_verdicts_joined_to_answers(spark):
+    rows = spark.createDataFrame([("m", "q1", "x", "tá"), ("m", "q1", "y", " "), ("m", "q2", "x", None), ("m", "q3", "x", "rud"), (None, "q1", "x", "a")], "model string, question_id string, condition string, answer string")
+    told = spark.createDataFrame([("m", "q1", "x", 2, None), ("m", "q9", "x", 1, "r")], "model string, question_id string, condition string, marks int, reason string")
+    got = {(r.model, r.question_id, r.condition): (r.marks, r.reason) for r in R.judged(rows, told).collect()}
+    assert got == {("m", "q1", "x"): (2, ""), ("m", "q1", "y"): (0, "no answer given"), ("m", "q2", "x"): (0, "no answer given"), ("m", "q3", "x"): (None, None), (None, "q1", "x"): (None, None)}
+
+
+def test_best_layer_leaves_out_what_is_no_number(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", 0, nan), ("a", 1, 0.2), ("a", 2, 0.5), ("a", 3, 0.5), ("b", 4, nan), ("b", 5, None), ("c", 3, -1.0)], "k string, layer int, s double")
+    assert {tuple(r) for r in R.best_over(df, ["k"], "layer", "s").collect()} == {("a", 0.5, 2), ("b", 0.0, 0), ("c", 0.0, 0)}
+
+
+def test_chart_documents(spark):
+    import json
+
+    d = json.loads(R.chart(spark.createDataFrame([("ga", "asr", 1.5), ("en", "asr", None)], "lang string, task string, v double"), "rect", "task", "lang", "v"))
+    assert d["mark"] == "rect" and d["encoding"]["color"]["field"] == "v" and len(d["data"]["values"]) == 2
+    with pytest.raises(ValueError):
+        R.chart(spark.range(9), "bar", "id", "id", limit=3)
+
+
+def test_first_rows_medians_and_what_comes_before(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), rnd.randrange(40), rnd.choice([None, *[float(k) for k in range(9)]])) for _ in range(3000)] + [("one", 1, 2.5)]
+    df = spark.createDataFrame(rows, "g string, o int, v double").repartition(7)
+    by = {}
+    for r in rows:
+        by.setdefault(r[0], []).append(r)
+    got = {}
+    for r in S.first_rows(df.select("g", "o"), ["g"], ["o"], 3, parts=5).collect():
+        got.setdefault(r.g, []).append((r.o, r.is_first))
+    for g, rs in by.items():
+        os = sorted(r[1] for r in rs)
+        assert sorted(got[g]) == sorted([(o, True) for o in os[:3]] + [(o, False) for o in os[3:]])
+    medians = {r.g: r.median for r in S.exact_median(df, ["g"], "v").collect()}
+    assert medians == {g: float(np.median([r[2] for r in rs if r[2] is not None])) for g, rs in by.items()}
+    skew = spark.createDataFrame([(float(k) ** 3,) for k in range(1001)] + [(1e12,)] * 200, "v double").withColumn("g", F.lit(1))
+    assert S.exact_median(skew, ["g"], "v").first().median == float(np.median([float(k) ** 3 for k in range(1001)] + [1e12] * 200))
+    assert S.exact_median(df.limit(0), ["g"], "v").count() == 0 and S.first_rows(df.select("g", "o").limit(0), ["g"], ["o"], 3).count() == 0
+    seq = spark.createDataFrame([(k % 3, k, None if k % 11 == 0 else k // 7) for k in range(500)], "g int, o int, v int").repartition(5)
+    S.BLOCK, held = 16, S.BLOCK
+    try:
+        back = {(r.g, r.o): r.b for r in S.previous(seq, ["g"], F.struct("g", "o"), "v", "b").collect()}
+    finally:
+        S.BLOCK = held
+    for k in range(500):
+        assert (back[k % 3, k] is None) == (k < 3) and (k < 3 or back[k % 3, k].value == (None if (k - 3) % 11 == 0 else (k - 3) // 7))
+
+
+def test_running_totals_over_hashes_have_few_blocks(spark):
+    df = spark.range(20000).select(F.lit("x").alias("g"), F.xxhash64("id").alias("o"), F.lit(1).alias("v"))
+    width = S.block_width(df, "o")
+    assert df.select(F.floor(F.col("o") / width)).distinct().count() <= 8
+    assert S.running_total(df, ["g"], "o", F.col("v"), "t").agg(F.max("t")).first()[0] == 19999
+
+
+def test_vectors_without_direction(spark):
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(12, 4)), rng.normal(size=(12, 4))
+    b[:] = a
+    rows = [(1, k, a[k].tolist(), b[k].tolist()) for k in range(12)]
+    rows[3] = (1, 3, [0.0] * 4, b[3].tolist())
+    rows[5] = (1, 5, a[5].tolist(), [float("nan"), 1.0, 1.0, 1.0])
+    rows[7] = (1, 7, None, b[7].tolist())
+    df = spark.createDataFrame(rows, "m int, i long, a array<double>, b array<double>")
+    got = {r.i: (r.row_rank, r.col_rank, r.strict, r.missing) for r in V.alignment(df, ["m"], "a", "b").collect()}
+    assert got == {k: (12, 12, False, True) if k in (3, 5, 7) else (1, 1, True, False) for k in range(12)}
+    assert {(r.i, r.problem) for r in V.violations(df, ["i"], "a").collect()} == {(3, "zero"), (7, "missing")}
+    assert {(r.i, r.problem) for r in V.violations(df, ["i"], "b").collect()} == {(5, "not finite")}
+    with pytest.raises(G.GateError):
+        G.enforce(V.violations(df, ["i"], "a"), "vectors")
+    left, right = df.select("i", F.col("b").alias("v")).where("i < 11"), df.select("i", F.col("b").alias("v")).where("i > 0")
+    right = right.withColumn("v", F.when(F.col("i") == 4, F.slice("v", 1, 2)).otherwise(F.col("v"))).unionByName(right.where("i = 6"))
+    assert {(r.i, r.problem) for r in V.unparallel(left, right, ["i"], "v").collect()} == {(0, "only left"), (11, "only right"), (4, "sizes differ"), (6, "repeated")}
+
+
+def test_chunks_and_audio_tokens(spark):
+    df = spark.createDataFrame([("a", list(range(10))), ("b", [1])], "key string, u array<int>")
+    assert [(r.key, r.part) for r in Q.chunks(df, "u", 4, ["key"], 3).orderBy("start").collect()] == [("a", [0, 1, 2, 3]), ("a", [4, 5, 6, 7])]
+    assert Q.chunks(df, "u", 0, ["key"], 2).count() == 1
+    got = spark.createDataFrame([(k,) for k in (0, 1, 2, 4, 100, 3000)], "n int").select(Q.audio_tokens(F.col("n")).alias("t")).collect()
+    assert [r.t for r in got] == [0, 0, 0, 1, 25, 750]
 
 
 def test_alignment_of_a_whole_table(spark, tmp_path):
@@ -168,12 +281,12 @@ def test_alignment_of_a_whole_table(spark, tmp_path):
 
     x = np.random.default_rng(6).normal(size=(461, 8))  # the last has no partner
     ids = [7 * k for k in range(461)]
-    spark.createDataFrame(pd.DataFrame({"vec_id": ids, "label": 0, "embedding": x.tolist()})).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame(pd.DataFrame({"vec_id": ids, "label": 4, "embedding": x.tolist()})).write.parquet(f"{tmp_path}/embeddings.parquet")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u[:230] @ u[230:460].T
-    got = {r.i: (r.row_rank, r.col_rank) for r in scoring.alignment_ranks_whole(spark, str(tmp_path)).collect()}
+    got = {r.i: (r.row_rank, r.col_rank) for r in scoring.alignment_ranks(spark, str(tmp_path)).collect()}
     assert got == {i: ((s[i] > s[i, i]).sum() + 1, (s[:, i] > s[i, i]).sum() + 1) for i in range(230)}
-    assert scoring.mexa_raw_whole(spark, str(tmp_path)).first().n == scoring.mexa_centred_whole(spark, str(tmp_path)).first().n == 230
+    assert scoring.mexa_raw(spark, str(tmp_path)).first().n == scoring.mexa_centred(spark, str(tmp_path)).first().n == 230
 
 
 def test_ragged_union_of_whole_tables(spark, tmp_path):
@@ -181,7 +294,7 @@ def test_ragged_union_of_whole_tables(spark, tmp_path):
 
     spark.createDataFrame([(k, "base", "ga", k) for k in range(120)], "row_id long, model string, lang string, generated_tokens int").write.parquet(f"{tmp_path}/decodes.parquet")
     spark.createDataFrame([(k, "ctc", "en", float(k)) for k in range(30)], "row_id long, decoder string, lang string, duration_s double").write.parquet(f"{tmp_path}/asr_pairs.parquet")
-    got = sorted(map(tuple, scoring.ragged_union_whole(spark, str(tmp_path)).collect()), key=str)
+    got = sorted(map(tuple, scoring.ragged_union(spark, str(tmp_path)).collect()), key=str)
     assert got == sorted([(k, "base", None, "ga", k) for k in range(120)] + [(k, None, "ctc", "en", None) for k in range(30)], key=str)
 
 
@@ -190,7 +303,7 @@ def test_places_of_all_ids_sorted_as_text(spark, tmp_path):
 
     ids = [*range(997), 10, 10]
     spark.createDataFrame([(k,) for k in ids], "doc_id long").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted((r.place, r.doc_id) for r in corpus.sort_as_text_whole(spark, str(tmp_path)).collect())
+    got = sorted((r.place, r.doc_id) for r in corpus.sort_as_text(spark, str(tmp_path)).collect())
     assert got == list(enumerate(sorted(ids, key=str)))
     assert S.placed(spark.range(0), F.col("id")).count() == 0
 
