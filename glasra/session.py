@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN: dict[str, str] = {}
+_SCRATCH: dict[str, list[str]] = {}
 
 
 def local_session(cores: int = 8, memory: str = "12g") -> SparkSession:
@@ -20,6 +25,7 @@ def local_session(cores: int = 8, memory: str = "12g") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -47,13 +53,43 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: that of spark.checkpoint.dir. A local session without one gets a folder of its own, which
+    goes when Python ends; on a cluster there has to be one, as a folder of one machine would lose data.
+    """
+    set_one = spark.conf.get("spark.checkpoint.dir", None)
+    if set_one:
+        return set_one.rstrip("/")
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = path = tempfile.mkdtemp(prefix="glasra-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return _OWN[sc.applicationId]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder; `clean` takes away those of this application."""
+    path = f"{shared_folder(spark)}/glasra-{name}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the scratch folders of this application, once the frames that read them are no longer needed."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a copy in the folder that all executors share.
 
-    The folder is that of spark.checkpoint.dir; one is made up only where it is unset, as in tests.
+    The session deletes a copy when nothing refers to it, if spark.cleaner.referenceTracking.cleanCheckpoints is on.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glasra-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

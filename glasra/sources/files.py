@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import io
 import json
+import re
 import struct
 import tarfile
 import zipfile
@@ -13,9 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glasra.functions.audio import decoded
 from glasra.operators.gates import GateError, enforce, exact_columns
+from glasra.session import checkpointed
 
 
 def parquet(spark: SparkSession, path: str, columns: list[str] | None = None, optional: dict[str, str] | None = None) -> DataFrame:
@@ -33,6 +37,25 @@ def file_sizes(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
 
 
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """`file, bytes, row_groups, rows` of the Parquet files of a path from their footers, read by the workers; contents aren't."""
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path", "length")
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.parquet as pq
+        from pyarrow.fs import FileSystem
+
+        for b in batches:
+            rows = []
+            for p, n in zip(b.path, b.length, strict=True):
+                fs, at = FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", p))
+                m = pq.read_metadata(at, filesystem=fs)
+                rows.append((p.rsplit("/", 1)[-1], n, m.num_row_groups, m.num_rows))
+            yield pd.DataFrame(rows, columns=["file", "bytes", "row_groups", "rows"])
+
+    return names.mapInPandas(look, "file string, bytes long, row_groups int, rows long")
+
+
 def jsonl(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.schema(schema).json(path)
     if columns:
@@ -92,11 +115,10 @@ def required(spark: SparkSession, path: str, glob: str) -> DataFrame:
 
 
 def until_budget(files: DataFrame, budget: int) -> DataFrame:
-    """Files in order of path until the bytes are reached; a listing has a row a file, in blocks of its hash-free order."""
-    from glasra.operators.sampling import running_total
-    from pyspark.sql import Window as W
+    """Files in order of path until the bytes are reached; the order is that of ranges, so no task sorts all of them."""
+    from glasra.operators.sampling import placed, running_total
 
-    o = files.withColumn("_o", F.row_number().over(W.orderBy("path")).cast("long")).withColumn("_one", F.lit(1))
+    o = checkpointed(placed(files.withColumn("_one", F.lit(1)), F.col("path"), "_o"))
     return running_total(o, ["_one"], "_o", F.col("bytes"), "_before").where(F.col("_before") < budget).select(*files.columns)
 
 
@@ -165,6 +187,15 @@ def embedding_store(spark: SparkSession, path: str, glob: str = "*.npz") -> Data
     return _binary(spark, path, glob).mapInPandas(run, "store string, object string, pooling string, layer int, sent_idx int, v array<float>")
 
 
+def embedding_store_with(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """`embedding_store` whose every store has a JSON sidecar of its name with the given keys; a store without one ends the job."""
+    stores = _binary(spark, path, "*.npz").select(F.regexp_replace("name", r"\.npz$", "").alias("store")).distinct()
+    sides = _binary(spark, path, "*.json").select(F.regexp_replace("name", r"\.json$", "").alias("store"), F.decode("content", "UTF-8").alias("raw"))
+    missing = F.array_except(F.array(*[F.lit(k) for k in keys]), F.coalesce(F.json_object_keys("raw"), F.array().cast("array<string>")))
+    enforce(stores.join(sides, "store", "left").select("store", missing.alias("missing")).where("size(missing) > 0"), "sidecars")
+    return embedding_store(spark, path)
+
+
 def sidecar(raw: str, keys: list[str]) -> dict:
     """A JSON sidecar that has to have given keys."""
     d = json.loads(raw)
@@ -187,21 +218,29 @@ def synthetic_tokens(spark: SparkSession, n: int, vocabulary: int, seed: int) ->
     return spark.range(n).select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(vocabulary)).cast("int").alias("token"))
 
 
-def wav_info(content: bytes) -> tuple[int, int, float] | None:
-    """(rate, channels, seconds) of a RIFF file, None if it isn't one."""
-    import wave
+def wav_files(spark: SparkSession, path: str) -> DataFrame:
+    """`name, rate, n_samples, seconds` of the RIFF files of 16-bit PCM in a folder; nulls for files of another kind."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [decoded(bytes(c)) for c in b.content]
+            rows = [(None, None, None) if g is None else (g[1], len(g[0]), len(g[0]) / max(1, g[1])) for g in got]
+            out = pd.DataFrame({"name": b.name, "rate": pd.array([r[0] for r in rows], "Int32"), "n_samples": pd.array([r[1] for r in rows], "Int64"), "seconds": [r[2] for r in rows]})
+            yield out
 
-    try:
-        with wave.open(io.BytesIO(content)) as w:
-            return w.getframerate(), w.getnchannels(), w.getnframes() / max(1, w.getframerate())
-    except (wave.Error, EOFError):
-        return None
+    return _binary(spark, path, "*.wav").mapInPandas(run, "name string, rate int, n_samples long, seconds double")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """`file, ordinal, value` of text files, one record a line; the ordinal is the line's place in its own file.
 
-    Files are read whole, a row each, so places need no shuffle.
+    Files are read in splits like any text. A line's number within its split comes from the order in which it is read, and the
+    numbers of lines of the splits before (one row each) are added.
     """
-    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("ls"))
-    return t.select("file", F.posexplode("ls").alias("ordinal", "value"))
+    t = spark.read.option("lineSep", "\n").text(path)
+    m = F.col("_metadata")
+    t = checkpointed(t.select(m.file_path.alias("path"), m.file_block_start.alias("_start"), F.regexp_replace("value", r"\r$", "").alias("value"), F.monotonically_increasing_id().alias("_id")))
+    s = t.groupBy("path", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("path").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    j = t.join(s.withColumn("_before", before), ["path", "_start"])
+    return j.select(F.element_at(F.split("path", "/"), -1).alias("file"), (F.col("_id") - F.col("_first") + F.col("_before")).cast("int").alias("ordinal"), "value")

@@ -26,6 +26,13 @@ def test_text_sources(spark, tmp_path):
     assert files.csv_with_mark(spark, str(tmp_path / "c.csv")).columns == ["id", "t"]
     with pytest.raises(GateError):
         files.csv_with_mark(spark, str(tmp_path / "c.csv"), "id")
+    (tmp_path / "many").mkdir()
+    for k in range(3):
+        (tmp_path / "many" / f"l{k}.txt").write_text("".join(f"líne {k} {i}\r\n" if i % 2 else f"líne {k} {i}\n" for i in range(4000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")  # many splits a file
+    got = {(r.file, r.ordinal): r.value for r in files.lines(spark, str(tmp_path / "many")).collect()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {(f"l{k}.txt", i): f"líne {k} {i}" for k in range(3) for i in range(4000)}
     assert [(r.ordinal, r.value) for r in files.lines(spark, str(tmp_path / "p.txt")).orderBy("ordinal").collect()][1] == (1, "ga:raw: Dia duit")
 
 
@@ -69,6 +76,73 @@ def test_documents_and_sinks(spark, tmp_path):
     assert files.file_sizes(spark, f"{tmp_path}/k").count() >= 1
 
 
+def test_files_of_rows(spark, tmp_path):
+    p = str(tmp_path)
+    df = spark.createDataFrame([("a", 1, 2, [7, 8]), ("a", 1, 1, [5]), ("a", 2, 1, []), ("b", 0, 1, [4294967295])], "source string, rg int, pos int, ids array<bigint>")
+    made = sinks.token_shards(df, f"{p}/t", "source", "rg", "pos", "ids")
+    assert sorted(map(tuple, made.collect())) == [("a__rg0001.bin", 12), ("b__rg0000.bin", 4)]
+    more = sinks.token_shards(df.unionByName(spark.createDataFrame([("a", 3, 1, [9])], df.schema)), f"{p}/t", "source", "rg", "pos", "ids")
+    assert sorted(map(tuple, more.collect())) == [("a__rg0001.bin", 12), ("a__rg0003.bin", 4), ("b__rg0000.bin", 4)]
+    names = more.select(F.concat(F.substring_index("name", "__", 1), F.lit(".bin")).alias("target"), F.col("name").alias("place"), "name")
+    assert sorted(map(tuple, sinks.joined_files(spark, names, f"{p}/t", f"{p}/j").collect())) == [("a.bin", 16), ("b.bin", 4)]
+    assert {r.name: r.tokens for r in files.token_streams(spark, f"{p}/j").collect()} == {"a.bin": [5, 7, 8, 9], "b.bin": [4294967295]}
+    clips = spark.createDataFrame([("x.wav", b"\x00\x40\x00\xc0", 8000), ("y.wav", None, 8000), ("z.wav", b"\x01\x00", None)], "name string, audio binary, sr int")
+    sinks.write_files(clips.select("name", sinks.wav_bytes("audio", "sr").alias("content")), f"{p}/w")
+    assert [(r.name, r.rate, r.n_samples) for r in files.wav_files(spark, f"{p}/w").collect()] == [("x.wav", 8000, 2)]
+    e = spark.createDataFrame([("s", "text_ga", "weighted", l, i, [float(l), float(i)]) for l in range(2) for i in range(3)], "store string, object string, pooling string, layer int, sent_idx int, v array<double>")
+    sinks.embedding_files(e, f"{p}/e", {"model": "base"})
+    back = files.embedding_store_with(spark, f"{p}/e", ["model", "arrays"])
+    assert {(r.layer, r.sent_idx, tuple(r.v)) for r in back.collect()} == {(l, i, (float(l), float(i))) for l in range(2) for i in range(3)}
+    with pytest.raises(GateError):
+        files.embedding_store_with(spark, f"{p}/e", ["model", "step"])
+    with pytest.raises(Exception, match="vectors"):
+        sinks.embedding_files(e.where("layer = 0 or sent_idx = 0"), f"{p}/f", {})
+    spark.range(1000).coalesce(1).write.parquet(f"{p}/q")
+    assert [(r.row_groups, r.rows) for r in files.footers(spark, f"{p}/q").collect()] == [(1, 1000)]
+    assert '"rows": 2' in sinks.sorted_tsv(clips.select("name", "sr").where("sr > 0"), f"{p}/s", ["name"])
+    sinks.csv_of_all([spark.range(1).withColumn("a", F.lit("x")), spark.range(1).withColumn("b", F.lit("y"))], f"{p}/c")
+    assert files.csv_with_mark(spark, f"{p}/c").columns == ["id", "a", "b"]
+
+
+def test_resampled_tones_keep_their_pitch_and_level():
+    from glasra.functions import audio
+
+    for rate, to in ((44100, 16000), (8000, 16000), (48000, 16000), (16000, 16000)):
+        t = np.arange(rate) / rate
+        x = 0.5 * np.sin(2 * np.pi * 440 * t)
+        y = audio.resampled(x, rate, to)
+        want = 0.5 * np.sin(2 * np.pi * 440 * np.arange(to) / to)
+        assert len(y) == to and np.abs(y[500:-500] - want[500:-500]).max() < 0.01
+        high = audio.resampled(np.sin(2 * np.pi * 0.48 * rate * t), rate, to)
+        assert to >= rate or np.abs(high[500:-500]).max() < 0.05  # beyond the new rate's half
+    assert audio.pcm16(b"\x00\x40\x00\xc0\x00\x40\x00\x40", 2).tolist() == [0.0, 0.5] and len(audio.pcm16(b"\x00")) == 0
+    assert audio.decoded(b"none") is None and len(audio.resampled(np.zeros(0), 8000, 16000)) == 0
+    back = audio.decoded(audio.encoded(np.array([0.25, -0.5]), 8000))
+    assert back[0].tolist() == [0.25, -0.5] and back[1] == 8000
+
+
+def test_shared_folder(spark, tmp_path):
+    from glasra import session
+
+    path = sinks.scratch(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    session.clean(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+    class Cluster:
+        conf = {"spark.checkpoint.dir": "hdfs://n/shared/"}
+
+        class sparkContext:
+            master, applicationId = "spark://n:7077", "a"
+
+    assert session.shared_folder(Cluster()) == "hdfs://n/shared"
+    Cluster.conf = {}
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Cluster())
+
+
 def test_streams(spark, tmp_path):
     rows = [(1, 0, 2, "a"), (1, 1, 2, "b"), (2, 0, 3, "c"), (1, 0, 2, "a")]
     kids = spark.createDataFrame(rows, "p long, i int, of int, v string")
@@ -93,5 +167,5 @@ def test_package_stands_without_its_subpackage():
     import subprocess
     import sys
 
-    code = "import sys; sys.modules['glasra.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'corpus_profile' in q and not any(k.startswith('p1_') for k in q)"
+    code = "import sys; sys.modules['glasra.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'corpus_profile' in q and not any(k.startswith('p1_') for k in q); from glasra.session import local_session; s = local_session(2, '1g'); assert q['total_hours'](s, '/root/testdata/sf0.001').count() == 1; s.stop()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
