@@ -78,6 +78,12 @@ def best_over(scores: DataFrame, by: list[str], layer: str, score: str) -> DataF
     return scores.groupBy(*by).agg(F.coalesce(F.max(s), F.lit(0.0)).alias("best"), F.coalesce(best, F.lit(0)).alias("best_layer"))
 
 
+def before_after(head: Column, before: Column, after: Column) -> Column:
+    """A block of text that sets what was beside what is now; null is a dash."""
+    dash = lambda c: F.coalesce(c, F.lit("–"))
+    return F.concat(F.lit("## "), head, F.lit("\n- before: "), dash(before), F.lit("\n- after: "), dash(after))
+
+
 def chart(df: DataFrame, mark: str, x: str, y: str, value: str | None = None, limit: int = 5000) -> str:
     """A small report frame as a Vega-Lite document: `rect` with `value` is a heat map, `bar` groups by it, `line` has one for each."""
     rows = df.limit(limit + 1).collect()
