@@ -119,11 +119,11 @@ def streamed_append(spark, d):
     return spark.read.parquet(f"{p}/out").select("row_id", "model", "stop")
 
 
-@query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT event_type, strftime(ts, '%Y-%m-%d %H') AS hour, count(*) AS n FROM events GROUP BY ALL")
 def streamed_windows(spark, d):
     """Event-time windows of an hour, as a stream into a table of batches."""
     p = sinks.scratch(spark, "windows")
-    s = jobs.stream_parquet(spark, f"{d}/events.parquet*").withColumn("hour", F.date_trunc("hour", "ts"))
+    s = jobs.stream_parquet(spark, f"{d}/events.parquet*").withColumn("hour", F.date_format("ts", "yyyy-MM-dd HH"))
     jobs.counted_into(s, ["event_type", "hour"], f"{p}/out", f"{p}/state")
     return spark.read.parquet(f"{p}/out").groupBy("event_type", "hour").agg(F.sum("n").alias("n"))
 
