@@ -16,11 +16,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glasra.operators.sequences import one_of_each
+from glasra.operators.sequences import REPEATED_KEYS
 from glasra.session import checkpointed
 
 # The encodings of one byte a character that texts are commonly misread as or from.
@@ -32,6 +34,10 @@ RARER = 0.25
 BROADCAST_ROWS = 200_000
 #: Longer tokens meet by a hash of them, so that their forms aren't written out.
 SPELT = 100
+#: Tokens whose hashes go to every worker (8 bytes each), to leave out forms that are none of them; beyond, all forms are joined.
+KNOWN_TOKENS = 4_000_000
+#: Fixed value: the seed of Spark's xxhash64.
+HASH_SEED = 42
 #: Words that a task garbles: much work for few bytes, so their number tells the tasks.
 WORDS_A_TASK = 2_000
 #: Parts that the tokens of documents are dealt into where the table is joined by shuffle, as some token may be in most documents.
@@ -170,20 +176,35 @@ def odd_tokens(text: str | None) -> list[str]:
 
 
 def _token_counts(df: DataFrame, text: str) -> DataFrame:
-    """`token, n`: occurrences in distinct texts, counted within each task first, so that what is shuffled then is vocabulary."""
+    """`token, n`: occurrences in distinct texts, counted within each task first, so that what is shuffled then is vocabulary.
+
+    A text that stands in m rows counts 1/m in each of them: repeated texts are known by a hash, and no text is moved to meet its
+    copies. A table of checked size says which they are; a larger one is joined by shuffle.
+    """
+    plain = df.select(df[text].alias("text")).where("text is not null")
+    h = F.xxhash64("text").alias("_hash")
+    again = checkpointed(plain.select(h).groupBy("_hash").agg(F.count("*").alias("_m")).where("_m > 1"))
+    weighed = plain.withColumn("_hash", h).join(F.broadcast(again) if again.count() <= REPEATED_KEYS else again, "_hash", "left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(odd_tokens(t))
+            for t, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if m is None:
+                    seen.update(odd_tokens(t))
+                else:
+                    for w in odd_tokens(t):
+                        seen[w] += 1 / m
             if len(seen) > HELD_TOKENS:
-                yield pa.RecordBatch.from_pydict({"token": list(seen), "n": list(seen.values())})
+                yield counted(seen)
                 seen.clear()
         if seen:
-            yield pa.RecordBatch.from_pydict({"token": list(seen), "n": list(seen.values())})
+            yield counted(seen)
+
+    def counted(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.float64())], names=["token", "n"])
 
-    return one_of_each(df.select(df[text].alias("text")), ["text"]).mapInArrow(count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    return weighed.select("text", "_m").mapInArrow(count, "token string, n double").groupBy("token").agg(F.greatest(F.lit(1), F.round(F.sum("n"))).cast("long").alias("n"))
 
 
 def garbled_tokens(df: DataFrame, text: str = "text") -> DataFrame:
@@ -202,18 +223,33 @@ def garbled_tokens(df: DataFrame, text: str = "text") -> DataFrame:
     def met(w: str) -> str:
         return w if len(w) <= SPELT else "\0" + hashlib.sha256(w.encode("utf-8", "surrogatepass")).hexdigest()
 
+    # forms that no token has needn't leave their worker; a table of hashes of checked size says which those are
+    n_tokens = tokens.count()
+    known = None
+    if n_tokens <= KNOWN_TOKENS:
+        hashes = np.sort(np.array(tokens.select(F.xxhash64("met").alias("h")).toArrow().column(0).to_numpy(), np.int64))
+        known = df.sparkSession.sparkContext.broadcast(hashes)
+
+    def held(made: list[str]) -> np.ndarray:
+        """Which of the forms some token may equal."""
+        if known is None or not len(known.value):
+            return np.full(len(made), known is None)
+        h = np.array([xxhash.xxh64_intdigest(f.encode("utf-8", "surrogatepass"), HASH_SEED) for f in made], np.uint64).view(np.int64)
+        return known.value[np.minimum(np.searchsorted(known.value, h), len(known.value) - 1)] == h
+
     def garble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {"form": [], "origin": [], "chain": [], "n_original": []}
             for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 made = [(met(f), c) for f, c in forms(w).items() if len(f) > 1 or f in "?�"]  # a single character that turns into another proves nothing
+                made = [x for x, ok in zip(made, held([f for f, _ in made]).tolist(), strict=True) if ok] if made else made
                 out["form"] += [f for f, _ in made]
                 out["chain"] += [c for _, c in made]
                 out["origin"] += [met(w)] * len(made)
                 out["n_original"] += [n] * len(made)
-            yield pa.RecordBatch.from_pydict(out)
+            yield pa.RecordBatch.from_arrays([pa.array(out[c], pa.int64() if c == "n_original" else pa.string()) for c in out], names=list(out))
 
-    tasks = max(1, -(-tokens.count() // WORDS_A_TASK))
+    tasks = max(1, -(-n_tokens // WORDS_A_TASK))
     made = words.unionByName(chars).repartition(tasks, "token").mapInArrow(garble, "form string, origin string, chain string, n_original bigint")
     plain = F.col("chain").startswith("utf-8 as ") | F.col("token").contains("�") | F.col("token").rlike(r"\p{L}\?+\p{L}")
     best = F.max_by(F.struct("origin", "chain"), F.struct("n_original", "origin"))

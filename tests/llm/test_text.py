@@ -74,9 +74,23 @@ def test_garbled_documents_by_shuffle(garbled_docs, monkeypatch):
     assert got == {1000, 1001, 1002, 1003, 1004, 2000, 2001, 2002, 2003}
 
 
+def test_token_counts_are_those_of_distinct_texts(spark, monkeypatch):
+    from collections import Counter
+
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choice(["tá", "fáil", "an", "é?", "Ã©"]) for _ in range(rnd.randint(0, 9))) for _ in range(120)] + [None]
+    rows = [rnd.choice(texts[:40]) if rnd.random() < 0.5 else rnd.choice(texts) for _ in range(900)]
+    want = Counter(w for t in set(rows) for w in garbled.odd_tokens(t))
+    df = spark.createDataFrame([(t,) for t in rows], "text string").repartition(5)
+    for limit in (garbled.REPEATED_KEYS, 0):
+        monkeypatch.setattr(garbled, "REPEATED_KEYS", limit)
+        assert {r.token: r.n for r in garbled._token_counts(df, "text").collect()} == want
+
+
 @pytest.mark.parametrize("limit", [garbled.BROADCAST_ROWS, 0])
 def test_restored_text(garbled_docs, monkeypatch, limit):
     monkeypatch.setattr(garbled, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(garbled, "KNOWN_TOKENS", limit * 10)
     assert garbled.restored(garbled_docs).count() == 9
     got = {r.doc_id: r for r in garbled.restored(garbled_docs).collect()}
     for k in (1000, 1001, 1004):
