@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import unicodedata
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -173,3 +175,35 @@ def classified(c: Column, model) -> Column:
         return out
 
     return run(F.coalesce(trimmed(F.regexp_replace(c, SPACES, " ")), F.lit("")))
+
+
+def counted_tokens(c: Column, count) -> Column:
+    """Tokens of each text by an outside tokenizer, `count(list of texts) -> list of numbers`, in batches; null and empty texts have 0."""
+
+    @F.pandas_udf("bigint")
+    def run(s: pd.Series) -> pd.Series:
+        out = pd.Series([0] * len(s), dtype="int64")
+        asked = [i for i, t in enumerate(s) if t]
+        if asked:
+            out.iloc[asked] = list(count([s.iloc[i] for i in asked]))
+        return out
+
+    return run(c)
+
+
+_LOADED: dict = {}
+
+
+def word_tokenizer(path: str):
+    """Counts of tokens without special ones by a tokenizer file of the `tokenizers` library, loaded once a worker; from the file shipped to it, if there is one."""
+
+    def count(texts: list[str]) -> list[int]:
+        if path not in _LOADED:
+            from tokenizers import Tokenizer
+
+            shipped = SparkFiles.get(os.path.basename(path))
+            _LOADED[path] = Tokenizer.from_file(shipped if os.path.exists(shipped) else path)
+            _LOADED[path].encode_special_tokens = True  # their strings in a text are ordinary text
+        return [len(e.ids) for e in _LOADED[path].encode_batch(texts, add_special_tokens=False)]
+
+    return count

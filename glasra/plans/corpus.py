@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glasra.functions.text import n_words
+from glasra.functions.text import n_words, word_tokenizer
 from glasra.operators import sampling as S
 from glasra.session import checkpointed
-from glasra.tables import read, source_name
+from glasra.tables import read, source_name, spread
+
+#: A public tokenizer's file, unless the environment names another.
+TOKENIZER = os.environ.get("GLASRA_WORD_TOKENIZER", "/opt/tokenizers/word_bpe_49k.json")
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -31,12 +36,12 @@ def query(sql: str | None = None):
 
 def _counted(spark, d, *columns, where="true"):
     """The given columns, words and bytes of the documents, cut from their lineage: texts are read and split once, whatever follows."""
-    t = read(spark, d, "documents").where(where)
+    t = spread(read(spark, d, "documents").where(where).select("doc_id", "source", "text"))
     return checkpointed(t.select(*columns, n_words(F.col("text")).alias("n_words"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes")))
 
 
 def _docs(spark, d):
-    return read(spark, d, "documents").withColumn("n_words", n_words(F.col("text")))
+    return spread(read(spark, d, "documents").select("doc_id", "source", "text")).withColumn("n_words", n_words(F.col("text")))
 
 
 def _tokens():
@@ -279,11 +284,34 @@ def stream_quota(spark, d):
     return out.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"))
 
 
-@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM packets p WHERE p.packet_id = d.doc_id)")
+@query(f"SELECT doc_id, source FROM documents WHERE {SOURCE_SQL} IS DISTINCT FROM 'nce'")
 def skip_existing(spark, d):
-    """Work that has no output yet: an anti join on the key."""
-    done = read(spark, d, "packets").select(F.col("packet_id").alias("doc_id"))
-    return read(spark, d, "documents").select("doc_id", "source").join(done, "doc_id", "left_anti")
+    """Work that has no output yet: one source is done and written, the others come out of an anti join with what is there."""
+    from glasra.session import scratch
+
+    p = scratch(spark, "done")
+    t = read(spark, d, "documents").select("doc_id", "source")
+    t.where(source_name(F.col("source")) == "nce").write.parquet(p)
+    return t.join(spark.read.parquet(p).select("doc_id"), "doc_id", "left_anti")
+
+
+def tokenizer_estimate(spark, d):
+    """Each source's words times the tokens a word of its sample, by a real tokenizer over the sampled texts only."""
+    from glasra.functions.text import counted_tokens
+
+    if os.path.exists(TOKENIZER):
+        spark.sparkContext.addFile(TOKENIZER)
+    b = spread(read(spark, d, "documents").where("source is not null").select("doc_id", source_name(F.col("source")).alias("source"), "text"))
+    w = checkpointed(b.select("doc_id", "source", n_words(F.col("text")).alias("n_words"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes")))
+    p = w.groupBy("source").agg(F.sum("n_words").alias("total_words"), F.sum("bytes").alias("all"))
+    p = p.withColumn("p", F.when(F.col("all") < 20000, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.lit(20000.0) / (F.col("all") / 7.0))))
+    sample = b.join(p, "source").where(S.accept(F.col("doc_id"), F.col("p"), "ratio")).select("source", n_words(F.col("text")).alias("w"), counted_tokens(F.col("text"), word_tokenizer(TOKENIZER)).alias("t"))
+    s = sample.groupBy("source").agg(F.sum("w").alias("sample_words"), F.sum("t").alias("sample_tokens"))
+    ratio = F.col("sample_tokens") / F.nullif(F.col("sample_words"), F.lit(0))
+    return p.join(s, "source", "left").select("source", "total_words", "sample_words", "sample_tokens", F.round(F.coalesce(F.col("total_words") * ratio, F.lit(0.0)), 3).alias("est_tokens"))
+
+
+query()(tokenizer_estimate)
 
 
 @query("SELECT DISTINCT audio FROM asr_pairs WHERE audio NOT IN (SELECT audio FROM aligned_setup WHERE audio IS NOT NULL)")

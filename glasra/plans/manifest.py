@@ -8,7 +8,7 @@ from glasra.functions.text import basename, stem, words
 from glasra.operators import sampling as S
 from glasra.operators import sequences as Q
 from glasra.plans.corpus import QUERIES, SQL, query
-from glasra.tables import read
+from glasra.tables import read, spread
 
 
 def _m(spark, d):
@@ -207,7 +207,7 @@ g AS (SELECT tok, row_number() OVER (ORDER BY doc_id, i) - 1 AS p FROM e)
 SELECT (p // 512)::BIGINT AS win, sum(tok)::BIGINT AS total, max(tok)::INT AS longest FROM g GROUP BY ALL HAVING count(*) = 512""")
 def packed_windows(spark, d):
     """Documents with a separator after each, laid end to end and cut into windows of 512; the remainder is dropped."""
-    t = read(spark, d, "documents").select("doc_id", F.concat(F.transform(words(F.col("text")), lambda x: F.length(x)), F.array(F.lit(0))).alias("tokens"))
+    t = spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.concat(F.transform(words(F.col("text")), lambda x: F.length(x)), F.array(F.lit(0))).alias("tokens"))
     p = Q.packed(t, "tokens", "doc_id", 512)
     return p.select(F.col("window").alias("win"), F.aggregate("tokens", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.array_max("tokens").alias("longest"))
 

@@ -496,6 +496,16 @@ def flattened_text(spark, d):
     return read(spark, d, "decodes").select("row_id", T.trimmed(F.regexp_replace("hypothesis", T.SPACES, " ")).alias("flat"))
 
 
+_FLAT = _trim(rf"regexp_replace(coalesce(hypothesis, ''), '{_SP}', ' ', 'g')")
+
+
+@query(f"SELECT row_id, CASE WHEN {_FLAT} = '' THEN 'empty' WHEN contains({_FLAT}, ' an ') THEN 'ga' ELSE 'en' END AS label, CASE WHEN {_FLAT} = '' THEN 1.0::DOUBLE WHEN contains({_FLAT}, ' an ') THEN 0.75 ELSE 0.5 END AS confidence FROM decodes")
+def classified_outputs(spark, d):
+    """A language by an outside classifier, here a stand-in of one word; blank outputs aren't asked about."""
+    c = T.classified(F.col("hypothesis"), lambda ts: [("ga", 0.75) if " an " in t else ("en", 0.5) for t in ts])
+    return spread(read(spark, d, "decodes").select("row_id", "hypothesis")).select("row_id", c.alias("c")).select("row_id", "c.label", "c.confidence")
+
+
 @query("SELECT row_id, CASE WHEN length(hypothesis) > length(reference) THEN 'longer' WHEN length(reference) > length(hypothesis) THEN 'shorter' ELSE 'tie' END AS route FROM decodes")
 def score_routes(spark, d):
     """A three-way label by which of two scores is greater."""

@@ -160,3 +160,16 @@ def test_batched_ngram_counts_equal_the_plain_ones(spark):
     df = spark.createDataFrame(pairs, "r string, h string")
     for r in df.select("r", "h", M.chrf_stats("r", "h").alias("c"), M.bleu_stats("r", "h").alias("b")).collect():
         assert list(r.c) == M.chrf_counts(r.r, r.h) and list(r.b) == M.bleu_counts(r.r, r.h)
+
+
+def test_outside_tokenizers(spark):
+    texts = [None, "", "Tá sé <|endoftext|> go maith", "x" * 5000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.n for r in df.select("i", T.counted_tokens(F.col("t"), lambda ts: [len(t) for t in ts]).alias("n")).orderBy("i").collect()] == [0, 0, len(texts[2]), 5000]
+    from glasra.plans.corpus import TOKENIZER
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(TOKENIZER)
+    tok.encode_special_tokens = True
+    got = df.select("i", T.counted_tokens(F.col("t"), T.word_tokenizer(TOKENIZER)).alias("n")).orderBy("i").collect()
+    assert [r.n for r in got] == [0, 0, *[len(tok.encode(t, add_special_tokens=False).ids) for t in texts[2:]]]
