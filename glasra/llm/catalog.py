@@ -37,6 +37,7 @@ QUERIES = {
         language.p4_stretches,
         mixing.p5_mix,
         mixing.p5_shares,
+        mixing.p5_quotas,
         pieces.p6_found,
         pieces.p6_pieces,
         pieces.p6_piece_report,
@@ -54,6 +55,7 @@ QUERIES = {
 
 SQL = {
     **sample.SQL,
+    **mixing.SQL,
     "p6_found": """
 WITH c AS (SELECT DISTINCT key, units FROM cluas_units WHERE units IS NOT NULL AND len(units) > 0),
 u AS (SELECT key, units, unnest(units) AS unit, generate_subscripts(units, 1) - 1 AS pos FROM c),

@@ -66,7 +66,7 @@ def quotas(available: dict[str, int], targets: list[tuple[str, float, int]], bud
     if not usable or budget <= 0:
         return {}
     size = min(float(budget), *(available[s] * r * whole / p for s, p, r in usable))
-    return {s: int(size * p / whole) for s, p, _ in usable}
+    return {s: int(size * p / whole + 1e-6) for s, p, _ in usable}
 
 
 def plan(blocks: dict[str, dict[int, int]], targets: list[tuple[str, float, int]], budget: int, shards: int = SHARDS, seed: int = 42) -> list[tuple[str, int, int, int, int]]:
@@ -145,6 +145,21 @@ def _mixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixes(sizes, read(spark, sf_dir, "mix_targets"), report_budget(read(spark, sf_dir, "text_token_ratio_report")))
 
 
+def p5_quotas(spark, sf_dir: str) -> DataFrame:
+    """What is planned: words that each source of a mix has, its target, and the quota of words that it gives."""
+    docs = read(spark, sf_dir, "documents").select(source_name(F.col("source")).alias("source"), word_count(F.col("text")).alias("words"))
+    have = docs.where("source is not null and words > 0").groupBy("source").agg(F.sum("words").alias("available"))
+    t = read(spark, sf_dir, "mix_targets").groupBy("mix", source_name(F.col("source")).alias("source")).agg(F.sum("target_share").alias("target"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
+    rows = t.join(have, "source", "left").collect()  # a row for each source of a mix
+    budget = report_budget(read(spark, sf_dir, "text_token_ratio_report"))
+    out = []
+    for m in sorted({r.mix for r in rows}):
+        own = [r for r in rows if r.mix == m]
+        q = quotas({r.source: r.available or 0 for r in own}, [(r.source, float(r.target or 0), int(r.max_repeats)) for r in own], budget)
+        out += [(m, r.source, r.available, r.target, int(r.max_repeats), q.get(r.source)) for r in own]
+    return spark.createDataFrame(out, "mix string, source string, available long, target double, max_repeats int, quota long")
+
+
 def p5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two mixes of mix_targets at the budget of the latest report; a shard's own order is that of `place`."""
     return _mixes(spark, sf_dir)
@@ -158,4 +173,15 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(got, ["mix", "source"], "left").withColumn("off_target", F.coalesce("share", F.lit(0.0)) - F.col("target_share"))
 
 
-SQL: dict[str, str] = {}
+_SOURCE = r"regexp_replace(regexp_replace(lower(trim(source)), '(\.parquet|\.jsonl|\.json|\.txt)$', ''), '[\s\-]+', '_', 'g')"
+SQL = {
+    "p5_quotas": rf"""
+WITH d AS (SELECT {_SOURCE} AS source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\s\v\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+'), lambda x: x <> '')) AS words FROM documents),
+h AS (SELECT source, sum(words)::BIGINT AS available FROM d WHERE source IS NOT NULL AND words > 0 GROUP BY source),
+t AS (SELECT mix, {_SOURCE} AS source, sum(target_share) AS target, max(coalesce(max_repeats, 1)) AS max_repeats FROM mix_targets GROUP BY ALL),
+j AS (SELECT t.*, h.available, target > 0 AND max_repeats > 0 AND coalesce(available, 0) > 0 AS usable FROM t LEFT JOIN h USING (source)),
+b AS (SELECT coalesce(arg_max(budget, (created_at, run_id)) FILTER (WHERE model = 'tok-8b'), arg_max(budget, (created_at, run_id)))::DOUBLE AS budget FROM text_token_ratio_report),
+w AS (SELECT mix, sum(target) AS whole FROM j WHERE usable GROUP BY mix),
+s AS (SELECT j.mix, least(any_value(b.budget), min(available * max_repeats * whole / target)) AS size FROM j JOIN w USING (mix), b WHERE usable GROUP BY j.mix)
+SELECT j.mix, source, available, target, max_repeats::INT AS max_repeats, CASE WHEN usable THEN floor(size * target / whole + 1e-6)::BIGINT END AS quota FROM j LEFT JOIN w USING (mix) LEFT JOIN s USING (mix)"""
+}

@@ -75,3 +75,20 @@ def test_cube_sums(spark):
     cube = {(r.level, r.source, r.lang, r.domain): (r.n_docs, r.n_words) for r in token_cube(t).collect()}
     assert cube[7, None, None, None] == (3, 5) and cube[3, "nce", None, None] == (2, 5) and cube[0, "nce", "ga", "(none)"] == (1, 3)
     assert cube[3, "(none)", None, None] == (1, 0)
+
+
+def test_counts_are_stored_and_only_new_texts_encoded(spark, tmp_path, monkeypatch):
+    from glasra.llm import budget
+
+    rows = [(1, "Tá sé go maith", "a", "ga", "x"), (2, "", "a", None, None), (3, None, None, "en", "y"), (4, "rud eile", "b", "ga", "x"), (4, "rud eile", "b", "ga", "x")]
+    schema = "doc_id long, text string, source string, lang string, domain string"
+    df = spark.createDataFrame(rows, schema)
+    path = str(tmp_path / "counts")
+    first = sorted(map(str, budget.stored_tokens(df, path).collect()))
+    assert first == sorted(map(str, budget.document_tokens(df).collect()))
+    more = df.where("doc_id <> 1").unionByName(spark.createDataFrame([(1, "Tá sé go dona", "a", "ga", "x"), (5, "nua", "c", "ga", "x")], schema))
+    encoded = []
+    plain = budget.document_tokens
+    monkeypatch.setattr(budget, "document_tokens", lambda d, *a, **k: encoded.extend(r.doc_id for r in d.collect()) or plain(d, *a, **k))
+    again = sorted(map(str, budget.stored_tokens(more, path).collect()))
+    assert sorted(encoded) == [1, 5] and again == sorted(map(str, plain(more).collect()))
