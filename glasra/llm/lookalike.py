@@ -129,15 +129,25 @@ def is_odd(text: str | None) -> bool:
 
 def skeleton(text: str | None) -> str | None:
     """Decompose, put prototypes, decompose again; quotes, dashes and runs of spaces count as looking alike."""
+    return form_and_skeleton(text)[1]
+
+
+def form_and_skeleton(text: str | None) -> tuple[str | None, str | None]:
+    """`one_form` and `skeleton`, with the prototypes put once."""
     if text is None:
-        return None
-    s = unicodedata.normalize("NFD", text if not UNUSUAL.search(text) else _put(text))
-    return unicodedata.normalize("NFD", " ".join(s.translate(_SHAPES).split()))
+        return None, None
+    put = _put(text) if UNUSUAL.search(text) else text
+    s = unicodedata.normalize("NFD", put)
+    if _SHAPED.search(s):
+        s = unicodedata.normalize("NFD", s.translate(_SHAPES))
+    return (text if put is text else unicodedata.normalize("NFC", put)), " ".join(s.split())
 
 
 # Marks that look alike in one line of text.
 _SHAPES = str.maketrans({"‘": "'", "’": "'", "‛": "'", "ʼ": "'", "“": '"', "”": '"', "‟": '"', "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "―": "-"} | SURE)
 
+_SHAPED = re.compile(f"[{''.join(map(chr, _SHAPES))}]")
+
 
 def _sides(df: DataFrame, key: str, sides: tuple[str, ...], want: str, schema: str) -> DataFrame:
     plain = df.select(df[key], *[df[s] for s in sides])
@@ -152,8 +162,8 @@ def _sides(df: DataFrame, key: str, sides: tuple[str, ...], want: str, schema: s
                     if at:
                         yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array([s] * len(at), pa.string())], names=[key, "side"])
             else:
-                f = [[one_form(t) for t in ts] for ts in texts]
-                g = [[skeleton(t) for t in ts] for ts in texts]
+                both = [list(map(form_and_skeleton, ts)) for ts in texts]
+                f, g = ([[x[i] for x in xs] for xs in both] for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([keys, *[pa.array(x, pa.string()) for x in f], *[pa.array(x, pa.string()) for x in g]], names=[key, *[f"{s}_form" for s in sides], *[f"{s}_skeleton" for s in sides]])
 
     return plain.mapInArrow(run, schema)
