@@ -110,7 +110,7 @@ MOST_NUMBERS = 50_000_000
 
 
 def nearest(df: DataFrame, centroids: np.ndarray, key: str, v: str) -> DataFrame:
-    """`key, centroid, distance` of the nearest of a fixed set of centroids, the first on ties."""
+    """`key, centroid, distance` of the nearest of a fixed set of centroids, the first on ties; null for a vector that is missing or of another size."""
     if centroids.size > MOST_NUMBERS:
         raise ValueError(f"{centroids.shape} is more than a worker may hold")
     shared = df.sparkSession.sparkContext.broadcast(centroids.astype(np.float64))
@@ -118,9 +118,15 @@ def nearest(df: DataFrame, centroids: np.ndarray, key: str, v: str) -> DataFrame
     def assign(batches):
         c = shared.value
         for b in batches:
-            x = np.array(b[v].tolist(), np.float64).reshape(len(b), -1)
-            d = (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None, :]
-            k = d.argmin(1)
-            yield pd.DataFrame({key: b[key], "centroid": k.astype("int32"), "distance": np.sqrt(np.maximum(0, d[np.arange(len(b)), k]))})
+            ok = np.array([x is not None and len(x) == c.shape[1] and len(c) > 0 for x in b[v]], bool)
+            x = np.array([x for x, good in zip(b[v], ok, strict=True) if good], np.float64).reshape(ok.sum(), c.shape[1])
+            k, near = np.full(len(b), None, object), np.full(len(b), np.nan)
+            if len(x):
+                d = (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None, :]
+                k[ok] = d.argmin(1)
+                near[ok] = np.sqrt(np.maximum(0, d.min(1)))
+            out = pd.DataFrame({key: b[key], "centroid": pd.array(k, "Int32"), "distance": near})
+            out["distance"] = out["distance"].astype(object).where(ok, None)
+            yield out
 
     return df.select(key, v).mapInPandas(assign, f"`{key}` {df.schema[key].dataType.simpleString()}, centroid int, distance double")

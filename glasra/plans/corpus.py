@@ -139,7 +139,7 @@ SELECT source, rg, count(*) AS n_docs, sum(n_words)::BIGINT AS n_words FROM c WH
 def row_group_budget(spark, d):
     """A source's budget cut evenly over its row groups (blocks of 250 ids here)."""
     b = _counted(spark, d, "doc_id", "source", F.expr("doc_id div 250").alias("rg"), where="source is not null and text <> ''").drop("bytes")
-    t = b.groupBy("source").agg(F.greatest(F.lit(1), F.ceil(F.lit(6000.0) / F.countDistinct("rg"))).alias("slice"))
+    t = b.groupBy("source").agg(F.greatest(F.lit(1), F.ceil(F.lit(6000.0) / F.greatest(F.lit(1), F.countDistinct("rg")))).alias("slice"))
     out = S.budget_prefix(b.join(t, "source"), ["source", "rg"], "doc_id", F.col("n_words"), F.col("slice"))
     return out.groupBy("source", "rg").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"))
 

@@ -239,13 +239,14 @@ def tar_members_back(spark, d):
     return files.tar_members(spark, p).select("archive", "name", F.octet_length("content").alias("bytes"))
 
 
-@query("SELECT label::VARCHAR AS store, 'text_ga' AS object, count(*) AS n, max(len(embedding))::INT AS width FROM embeddings GROUP BY label")
+@query("SELECT label::VARCHAR AS store, 'text_ga' AS object, count(DISTINCT vec_id) AS n, max(len(embedding))::INT AS width FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY label")
 def embedding_store_back(spark, d):
     """An array file of each label's vectors with its sidecar, which has to have its keys."""
     from glasra.operators.sampling import ordinal
 
     p = sinks.scratch(spark, "npz")
-    e = ordinal(read(spark, d, "embeddings").select("label", "vec_id", "embedding"), ["label"], "vec_id", "sent_idx")
+    known = read(spark, d, "embeddings").where("label is not null and vec_id is not null and embedding is not null").dropDuplicates(["label", "vec_id"])
+    e = ordinal(known.select("label", "vec_id", "embedding"), ["label"], "vec_id", "sent_idx")
     sinks.embedding_files(e.select(F.col("label").cast("string").alias("store"), F.lit("text_ga").alias("object"), F.lit("weighted").alias("pooling"), F.lit(0).alias("layer"), F.col("sent_idx").cast("int").alias("sent_idx"), F.col("embedding").alias("v")), p, {"model": "base", "step": 0})
     back = files.embedding_store_with(spark, p, ["model", "step", "store"])
     return back.groupBy(F.regexp_replace("store", r"\.npz$", "").alias("store"), "object").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"))
@@ -328,7 +329,7 @@ def footer_rows(spark, d):
     p = sinks.scratch(spark, "footers")
     read(spark, d, "documents").select("doc_id").repartition(4).write.parquet(p)
     f = files.footers(spark, p)
-    G.enforce(f.where("row_groups < 1 or bytes < 1"), "footers")
+    G.enforce(f.where("bytes < 1 or row_groups < 1 and rows > 0"), "footers")
     return f.agg(F.sum("rows").alias("n_rows"), F.count("*").cast("int").alias("n_files"))
 
 

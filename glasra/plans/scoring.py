@@ -583,7 +583,7 @@ SELECT 'clips' AS what, count(*) AS n FROM clips UNION ALL SELECT 'questions', s
 def conserved_rows(spark, d):
     """Rows before and after an explode; a gate ends the job if any is lost."""
     c = read(spark, d, "clips")
-    n = c.agg(F.count("*").alias("clips"), F.sum(F.coalesce(F.size(F.from_json("questions_json", R.QUESTION)), F.lit(0)).cast("long")).alias("questions")).first()
+    n = c.agg(F.count("*").alias("clips"), F.coalesce(F.sum(F.greatest(F.coalesce(F.size(F.from_json("questions_json", R.QUESTION)), F.lit(0)), F.lit(0)).cast("long")), F.lit(0)).alias("questions")).first()
     q = R.questions(c)
     G.row_count(q, n.questions, "questions")
     return spark.createDataFrame([("clips", n.clips), ("questions", n.questions), ("exploded", n.questions)], "what string, n long")
@@ -626,7 +626,7 @@ def resampled_clips(spark, d):
 
     def run(batches):
         for b in batches:
-            x = [None if a is None or not sr or sr < 0 else resampled(pcm16(bytes(a)), int(sr), 16000) for a, sr in zip(b.audio, b.sr, strict=True)]
+            x = [None if a is None or sr is None or not sr > 0 else resampled(pcm16(bytes(a)), int(sr), 16000) for a, sr in zip(b.audio, b.sr, strict=True)]
             yield pd.DataFrame({"snippet_id": b.snippet_id, "n_samples": pd.array([None if v is None else len(v) for v in x], "Int64"), "level": [None if v is None or not len(v) else float(np.sqrt((v**2).mean())) for v in x]})
 
     return read(spark, d, "clips").select("snippet_id", "audio", "sr").mapInPandas(run, "snippet_id string, n_samples long, level double")
@@ -790,7 +790,7 @@ def nearest_centroids(spark, d):
     import numpy as np
 
     e = read(spark, d, "embeddings")
-    m = e.select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("x")).collect()
+    m = e.where("label is not null").select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("x")).collect()
     labels, dims = sorted({r.label for r in m}), 1 + max((r.dim for r in m), default=0)
     c = np.zeros((len(labels), dims))
     for r in m:

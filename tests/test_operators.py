@@ -314,3 +314,10 @@ def test_conversations_in_any_spelling(spark, tmp_path):
     names = ["conversations_ga", "Conversations-GA ", "conversations_ga.parquet", "nce", None]
     spark.createDataFrame([(k, n, "a\nb") for k, n in enumerate(names)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id for r in scoring.restored_turns(spark, str(tmp_path)).collect()} == {0, 1, 2}
+
+
+def test_nearest_centroids_of_odd_vectors(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, None), (3, [1.0]), (None, [9.0, 9.0]), (5, [0.0, 0.0])], "k int, v array<double>")
+    got = {r.k: (r.centroid, r.distance) for r in V.nearest(df, np.array([[0.0, 0.0], [0.0, 2.0]]), "k", "v").collect()}
+    assert got[1] == (0, 1.0) and got[2] == got[3] == (None, None) and got[None][0] == 1 and got[5] == (0, 0.0)
+    assert V.nearest(df, np.zeros((0, 2)), "k", "v").where("centroid is null").count() == 5
