@@ -99,13 +99,13 @@ def plan(blocks: dict[str, dict[int, int]], targets: list[tuple[str, float, int]
 def mixes(sizes: DataFrame, targets: DataFrame, budget: int, shards: int = SHARDS, seed: int = 42) -> DataFrame:
     """`mix, shard, place, doc_id, source, copy, words`: the composed set of each mix. `sizes` as by `document_sizes`, cut from its lineage.
 
-    Sources without target aren't used; a target's null `max_repeats` counts as 1. Empty tables give an empty set. What goes
+    Sources without target aren't used, nor are targets without a mix; a target's null `max_repeats` counts as 1. Empty tables give an empty set. What goes
     to the driver is a row for each source of the targets and block. All mixes are planned from one count of the blocks and
     drawn in one pass over the documents.
     """
     spark = sizes.sparkSession
     goals: dict[str, list[tuple[str, float, int]]] = defaultdict(list)
-    rows = targets.groupBy("mix", source_name(F.col("source")).alias("source")).agg(F.sum("target_share").alias("p"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("r"))
+    rows = targets.where("mix is not null").groupBy("mix", source_name(F.col("source")).alias("source")).agg(F.sum("target_share").alias("p"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("r"))
     for r in rows.orderBy("mix", "source").collect():
         goals[r.mix].append((r.source, float(r.p or 0), int(r.r)))
     wanted = in_blocks(sizes, sorted({s for g in goals.values() for s, _, _ in g if s is not None}))
@@ -150,7 +150,7 @@ def p5_quotas(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(source_name(F.col("source")).alias("source"), word_count(F.col("text")).alias("words"))
     have = docs.where("source is not null and words > 0").groupBy("source").agg(F.sum("words").alias("available"))
     t = read(spark, sf_dir, "mix_targets").groupBy("mix", source_name(F.col("source")).alias("source")).agg(F.sum("target_share").alias("target"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
-    rows = t.join(have, "source", "left").collect()  # a row for each source of a mix
+    rows = t.where("mix is not null").join(have, "source", "left").collect()  # a row for each source of a mix
     budget = report_budget(read(spark, sf_dir, "text_token_ratio_report"))
     out = []
     for m in sorted({r.mix for r in rows}):
@@ -178,7 +178,7 @@ SQL = {
     "p5_quotas": rf"""
 WITH d AS (SELECT {_SOURCE} AS source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\s\v\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+'), lambda x: x <> '')) AS words FROM documents),
 h AS (SELECT source, sum(words)::BIGINT AS available FROM d WHERE source IS NOT NULL AND words > 0 GROUP BY source),
-t AS (SELECT mix, {_SOURCE} AS source, sum(target_share) AS target, max(coalesce(max_repeats, 1)) AS max_repeats FROM mix_targets GROUP BY ALL),
+t AS (SELECT mix, {_SOURCE} AS source, sum(target_share) AS target, max(coalesce(max_repeats, 1)) AS max_repeats FROM mix_targets WHERE mix IS NOT NULL GROUP BY ALL),
 j AS (SELECT t.*, h.available, target > 0 AND max_repeats > 0 AND coalesce(available, 0) > 0 AS usable FROM t LEFT JOIN h USING (source)),
 b AS (SELECT coalesce(arg_max(budget, (created_at, run_id)) FILTER (WHERE model = 'tok-8b'), arg_max(budget, (created_at, run_id)))::DOUBLE AS budget FROM text_token_ratio_report),
 w AS (SELECT mix, sum(target) AS whole FROM j WHERE usable GROUP BY mix),
