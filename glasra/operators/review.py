@@ -78,6 +78,12 @@ def best_over(scores: DataFrame, by: list[str], layer: str, score: str) -> DataF
     return scores.groupBy(*by).agg(F.coalesce(F.max(s), F.lit(0.0)).alias("best"), F.coalesce(best, F.lit(0)).alias("best_layer"))
 
 
+def nested_as_json(df: DataFrame) -> DataFrame:
+    """`df` with nested columns (structs, arrays, maps) as JSON text, nulls inside kept; plain columns stay as they are."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+    return df.select(*[F.to_json(c, {"ignoreNullFields": "false"}).alias(c) if kinds[c] in ("struct", "array", "map") else F.col(c) for c in df.columns])
+
+
 def before_after(head: Column, before: Column, after: Column) -> Column:
     """A block of text that sets what was beside what is now; null is a dash."""
     dash = lambda c: F.coalesce(c, F.lit("–"))

@@ -343,3 +343,15 @@ def streamed_turns(spark, d):
     s = jobs.whole_parents(jobs.stream_parquet(spark, f"{p}/in", 1), "doc_id", "i", "of", "turn")
     jobs.drained(s, f"{p}/out", f"{p}/state")
     return spark.read.parquet(f"{p}/out").select("doc_id", F.size("values").alias("n_turns"), F.md5(F.array_join("values", "|")).alias("digest"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def watermarked_windows(spark, d):
+    """Event-time windows of an hour that the watermark closes: a last record, far ahead, lets all others go; its own window stays open."""
+    p = sinks.scratch(spark, "watermark")
+    e = read(spark, d, "events").where("ts is not null").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    e.coalesce(1).write.parquet(f"{p}/in")
+    e.agg((F.max("ts") + F.expr("interval 4000 days")).alias("ts")).select("ts", F.lit("end").alias("event_type")).write.mode("append").parquet(f"{p}/in")
+    s = jobs.windowed_counts(jobs.stream_parquet(spark, f"{p}/in", 1), "ts", "1 hour", "3650 days", ["event_type"])
+    jobs.drained(s, f"{p}/out", f"{p}/state")
+    return spark.read.parquet(f"{p}/out").select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")

@@ -885,3 +885,11 @@ def token_logprobs(spark, d):
     t = t.select("row_id", each.alias("logprobs"))
     mean = F.aggregate("logprobs", F.lit(0.0), lambda s, x: s + x) / F.size("logprobs")
     return t.select("row_id", F.round(mean, 6).alias("mean_logprob"), F.size("logprobs").cast("long").alias("n_tokens"))
+
+
+@query("SELECT packet_id, json_extract_string(answers::JSON, '$.just_audio') AS just_audio, json_extract_string(answers::JSON, '$.no_context') AS no_context, len(json_keys(answers::JSON))::INT AS n_keys, model FROM packets")
+def nested_values(spark, d):
+    """Nested columns as JSON text beside plain ones, and what can be taken from it again."""
+    t = R.nested_as_json(read(spark, d, "packets").select("packet_id", "answers", "model"))
+    part = lambda k: F.get_json_object("answers", f"$.{k}")
+    return t.select("packet_id", part("just_audio").alias("just_audio"), part("no_context").alias("no_context"), F.size(F.json_object_keys("answers")).alias("n_keys"), "model")

@@ -321,3 +321,9 @@ def test_nearest_centroids_of_odd_vectors(spark):
     got = {r.k: (r.centroid, r.distance) for r in V.nearest(df, np.array([[0.0, 0.0], [0.0, 2.0]]), "k", "v").collect()}
     assert got[1] == (0, 1.0) and got[2] == got[3] == (None, None) and got[None][0] == 1 and got[5] == (0, 0.0)
     assert V.nearest(df, np.zeros((0, 2)), "k", "v").where("centroid is null").count() == 5
+
+
+def test_nested_columns_as_json(spark):
+    df = spark.createDataFrame([(1, (None, "b"), {"k": 1}, [1, None]), (2, None, None, None)], "i int, s struct<a:string,b:string>, m map<string,int>, l array<int>")
+    got = {r.i: (r.s, r.m, r.l) for r in R.nested_as_json(df).collect()}
+    assert got == {1: ('{"a":null,"b":"b"}', '{"k":1}', "[1,null]"), 2: (None, None, None)}
