@@ -12,6 +12,7 @@ some run of words favours another language by more than a change of language cos
 from __future__ import annotations
 
 import hashlib
+import io
 import os
 import re
 import unicodedata
@@ -21,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -326,6 +328,26 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     return fit([_total([c for c in by[k] if own(c, i)]) for i, k in enumerate(LANGS)], pieces)
 
 
+def save(model: Model, path: str) -> None:
+    """Keep a model in one file of the shared folder, so that later jobs needn't read the corpus to fit it again."""
+    out = io.BytesIO()
+    np.savez_compressed(out, table=model.table, pieces=np.array(list(model.pieces)), langs=np.array(LANGS))
+    fs, at = FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+    fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(f"{at}.part") as f:
+        f.write(out.getvalue())
+    fs.move(f"{at}.part", at)
+
+
+def load(path: str) -> Model:
+    """A model that `save` kept; one of other languages is refused."""
+    fs, at = FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+    with fs.open_input_stream(at) as f, np.load(io.BytesIO(f.read()), allow_pickle=False) as z:
+        if tuple(z["langs"].tolist()) != LANGS:
+            raise ValueError(f"a model of {z['langs'].tolist()}")
+        return Model({p: k for k, p in enumerate(z["pieces"].tolist())}, z["table"])
+
+
 def _total(counts: list[Counter]) -> Counter:
     out: Counter = Counter()
     for c in counts:

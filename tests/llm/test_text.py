@@ -252,6 +252,17 @@ def test_languages(spark, model):
     assert {r.row_id for r in language.detect(df, model, "texts").collect()} == {1, 2, 3, 4, 5, 6, 9}
 
 
+def test_models_are_kept(model, tmp_path, monkeypatch):
+    path = f"{tmp_path}/models/m.npz"
+    language.save(model, path)
+    again = language.load(path)
+    assert again.digest() == model.digest() and again.pieces == model.pieces
+    assert (again.scores(["fhéile", "teacher"]) == model.scores(["fhéile", "teacher"])).all()
+    monkeypatch.setattr(language, "LANGS", ("ga", "en"))
+    with pytest.raises(ValueError):
+        language.load(path)
+
+
 def test_forward_sums_all_segmentations(model):
     import numpy as np
 
