@@ -18,15 +18,26 @@ from pyspark.sql.types import ArrayType, LongType
 from glasra.functions.text import normalised, words
 
 
+#: Characters that stand for the first items of a pair; further ones are made from their number.
+ALPHABET = "".join(chr(0x100 + k) for k in range(4096))
+
+
 def coded(items: Column, among: Column) -> Column:
-    """A string with one character for each item: its place in the array `among`."""
-    return F.array_join(F.transform(items, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(among, w) + 0x10000), 8, "0")), "UTF-32")), "")
+    """A string with one character for each item: that of its place in the array `among`."""
+
+    def char(w: Column) -> Column:
+        at = F.array_position(among, w).cast("int")
+        far = F.decode(F.unhex(F.lpad(F.hex(at + 0x10000), 8, "0")), "UTF-32")
+        return F.when(at <= len(ALPHABET), F.substring(F.lit(ALPHABET), at, F.lit(1))).otherwise(far)
+
+    return F.array_join(F.transform(items, char), "")
 
 
 def word_edits(ref: Column, hyp: Column) -> Column:
     """Edits between two arrays of words, by the built-in distance of strings that have a character for each word; an empty reference has none."""
-    among = F.array_distinct(F.concat(ref, hyp))
-    return F.when(F.size(ref) == 0, 0).otherwise(F.levenshtein(coded(ref, among), coded(hyp, among))).cast("long")
+    # a lambda's argument is worked out once, where an expression would be again for every word
+    both = F.transform(F.array(F.array_distinct(F.concat(ref, hyp))), lambda m: F.levenshtein(coded(ref, m), coded(hyp, m)))
+    return F.when(F.size(ref) == 0, 0).otherwise(F.get(both, F.lit(0))).cast("long")
 
 
 def word_errors(df: DataFrame, ref: str = "ref", hyp: str = "hyp", bounded: bool = False) -> DataFrame:
