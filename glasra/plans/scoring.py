@@ -660,7 +660,7 @@ def mismatch_pairs(spark, d):
     return a.join(o.withColumnRenamed("item_id", "other_id"), "i").select("item_id", "other_id")
 
 
-def _halves(spark, d, centred=False):
+def _sides(spark, d, centred=False):
     """Two aligned sets of each layer (`label`): the vector at place i by vec_id, and the one half the layer further; an odd last one has no partner."""
     from glasra.operators.sampling import ordinal
 
@@ -668,14 +668,13 @@ def _halves(spark, d, centred=False):
     half = t.groupBy("label").agg(F.floor(F.count("*") / 2).alias("half"))
     e = ordinal(t, ["label"], "vec_id", "p").join(half, "label").where(F.col("p") < 2 * F.col("half"))
     e = e.select("label", F.pmod("p", F.col("half")).alias("i"), F.when(F.col("p") < F.col("half"), 0).otherwise(1).alias("side"), "embedding")
-    if centred:
-        e = V.centred(e, ["label", "side"], "i", "embedding")
-    return tuple(e.where(F.col("side") == s).select("label", "i", F.col("embedding").alias(n)) for s, n in ((0, "a"), (1, "b")))
+    return V.centred(e, ["label", "side"], "i", "embedding") if centred else e
 
 
 def _aligned(spark, d, centred=False):
-    a, b = _halves(spark, d, centred)
-    return V.alignment(a.join(b, ["label", "i"]), ["label"], "a", "b")
+    side = lambda s: F.first(F.when(F.col("side") == s, F.col("embedding")), ignorenulls=True)
+    pairs = _sides(spark, d, centred).groupBy("label", "i").agg(side(0).alias("a"), side(1).alias("b"))  # one vector of each side
+    return V.alignment(pairs, ["label"], "a", "b")
 
 
 _PLACED = "(SELECT label, p % h AS i, p // h AS side, embedding FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS p, count(*) OVER (PARTITION BY label) // 2 AS h, embedding FROM embeddings) WHERE p < 2 * h)"
@@ -740,9 +739,9 @@ WITH a AS (SELECT label, i, len(embedding) AS s FROM {_PLACED} WHERE side = 0),
 SELECT label, i, CASE WHEN b.s IS NULL THEN 'only left' ELSE 'only right' END AS problem FROM a FULL JOIN b USING (label, i) WHERE a.s IS NULL OR b.s IS NULL""")
 def parallel_shapes(spark, d):
     """Row-for-row gate of two sets: here the second one's places are shifted by one in every other layer."""
-    a, b = _halves(spark, d)
-    b = b.withColumn("i", F.col("i") + F.pmod("label", F.lit(2)))
-    return V.unparallel(a.withColumnRenamed("a", "v"), b.withColumnRenamed("b", "v"), ["label", "i"], "v")
+    e = _sides(spark, d)
+    a, b = (e.where(F.col("side") == s).select("label", "i", F.col("embedding").alias("v")) for s in (0, 1))
+    return V.unparallel(a, b.withColumn("i", F.col("i") + F.pmod("label", F.lit(2))), ["label", "i"], "v")
 
 
 @query("""
