@@ -18,11 +18,9 @@ from pyspark.sql.types import BinaryType
 from glasra.functions.audio import encoded, pcm16
 from glasra.operators.gates import GateError
 from glasra.operators.review import union_all
-from glasra.session import checkpointed, scratch
+from glasra.session import checkpointed, scratch  # noqa: F401 sinks write to scratch folders
 from glasra.sources.files import listing
 
-__all__ = ["scratch"]
-
 MARK = "﻿"
 
 
