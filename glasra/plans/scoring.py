@@ -892,3 +892,19 @@ def nested_values(spark, d):
     t = R.nested_as_json(read(spark, d, "packets").select("packet_id", "answers", "model"))
     part = lambda k: F.get_json_object("answers", f"$.{k}")
     return t.select("packet_id", part("just_audio").alias("just_audio"), part("no_context").alias("no_context"), F.size(F.json_object_keys("answers")).alias("n_keys"), "model")
+
+
+@query("SELECT row_id, object FROM (SELECT DISTINCT row_id, o AS object, CASE WHEN o = 'ref' THEN ref ELSE hyp END AS t FROM asr_pairs, (VALUES ('ref'), ('hyp')) AS v(o)) GROUP BY row_id, object HAVING count(t) = 0")
+def missing_objects(spark, d):
+    """The gate of the unpivot: (key, object) that no row has a text for."""
+    p = read(spark, d, "asr_pairs").select("row_id", "ref", "hyp").unpivot(["row_id"], ["ref", "hyp"], "object", "text")
+    return G.without_partner(p.select("row_id", "object").distinct(), p.where("text is not null").select("row_id", "object"), ["row_id", "object"])
+
+
+@query("""
+WITH s AS (SELECT model, condition, id, round(avg(unique_token_ratio), 9) AS score FROM decodes WHERE NOT isnan(unique_token_ratio) GROUP BY ALL)
+SELECT model, condition, max(score) AS best, arg_min(id, (-score, id)) AS best_id FROM s GROUP BY model, condition""")
+def best_of_cells(spark, d):
+    """The best item of each model and condition, the first on ties; scores that are no number don't count."""
+    t = read(spark, d, "decodes").where(~F.isnan("unique_token_ratio")).groupBy("model", "condition", "id").agg(F.round(F.avg("unique_token_ratio"), 9).alias("score"))
+    return t.groupBy("model", "condition").agg(F.max("score").alias("best"), F.max_by("id", F.struct("score", -F.col("id"))).alias("best_id"))
