@@ -30,7 +30,8 @@ NEAR_CYRILLIC = dict(zip("ѡѠгкьЬпҽ", "wWrkbbne", strict=True))
 NEAR_GREEK = dict(zip("σωητεςϱϝϜ", "owntecpfF", strict=True))
 NEAR_ARMENIAN = dict(zip("առւ", "wni", strict=True))
 NEAR_CHEROKEE = dict(zip("ᎥᏆᏚᏕᎩᎽᏤᏂᏏᏧᎡᏔᏳ", "iISSyYVhbdRWG", strict=True))
-LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU", strict=True))
+# Lisu letters are drawn as Latin capitals; most are named after the one that they are drawn as
+LISU = {unicodedata.lookup(f"LISU LETTER {c}" if c in "AEIOU" else f"LISU LETTER {c}A"): c for c in "ABCDEGIJKLMNOPSTUWY"} | dict(zip("ꓜꓝꓣꓦꓧꓫ", "ZFRVHX", strict=True))
 SYLLABICS = dict(zip("ᖇᗪᑭᗷᒪᒍᑌᐯᗅᕼᗰᖴ᙭ᑯᖯᑕᗴᘜ", "RDPBLJUVAHMFXdbCEG", strict=True))
 COPTIC = dict(zip("ⲀⲂⲌⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ", "ABZHIKMNOPCTYX", strict=True))
 RUNIC = dict(zip("ᚷᛒᛕᛖᚱᛁ", "XBKMRI", strict=True))
